@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabdrift.llm import chat_format, exact_dedup, mixing, sharding, url_filter
+from tabdrift.llm import chat_format, exact_dedup, mixing, near_dedup, sharding, url_filter
 from tabdrift.llm.common import table
 
 URL_RULES = [
@@ -43,6 +43,10 @@ def op2_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"), near_dedup.NearDupSpec(words=3, percent=85))
+
+
 def op6_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select(
@@ -68,6 +72,7 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_preference_chat": op2_preference_chat,
+    "op4_near_dedup": op4_near_dedup,
     "op6_url_trust": op6_url_trust,
     "op7_rendezvous": op7_rendezvous,
     "op9_mixture": op9_mixture,
