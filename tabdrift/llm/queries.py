@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabdrift.llm import chat_format, exact_dedup, mixing, near_dedup, sharding, url_filter
+from tabdrift.llm import chat_format, exact_dedup, mixing, near_dedup, sentencepiece_codec, sharding, url_filter
 from tabdrift.llm.common import table
 
 URL_RULES = [
@@ -47,6 +48,17 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"), near_dedup.NearDupSpec(words=3, percent=85))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    coded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), model_path or public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("sp_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("sp_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("sp_decoded", 256).alias("decoded_sha256"),
+        F.element_at("sp_ends", -1).cast("long").alias("n_bytes"),
+    )
+
+
 def op6_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select(
@@ -73,6 +85,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_preference_chat": op2_preference_chat,
     "op4_near_dedup": op4_near_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_url_trust": op6_url_trust,
     "op7_rendezvous": op7_rendezvous,
     "op9_mixture": op9_mixture,
