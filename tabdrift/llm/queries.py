@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabdrift.llm import chat_format, exact_dedup, mixing, near_dedup, sentencepiece_codec, sharding, url_filter
+from tabdrift.llm import chat_format, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter
 from tabdrift.llm.common import table
+from tabdrift.llm.labelled import fold
 
 URL_RULES = [
     url_filter.Rule("block", "net", "/"),
@@ -44,6 +45,13 @@ def op2_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"), trusted)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+    return judged.select("doc_id", *(F.col(f"qr_{c}").alias(c) for c in names))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"), near_dedup.NearDupSpec(words=3, percent=85))
 
@@ -70,6 +78,13 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.FmSpec())
+    scored = toxicity.score_documents(docs, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("tx_score").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -81,14 +96,26 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), quality_classifier.NbSvmSpec())
+    scored = quality_classifier.score_documents(docs, model).select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("qc_score").alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_preference_chat": op2_preference_chat,
+    "op3_quality_rules": op3_quality_rules,
     "op4_near_dedup": op4_near_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_url_trust": op6_url_trust,
     "op7_rendezvous": op7_rendezvous,
+    "op8_toxicity": op8_toxicity,
     "op9_mixture": op9_mixture,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
