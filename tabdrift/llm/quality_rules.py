@@ -27,7 +27,7 @@ class RatioSpec:
 
     bins: int = 10_000
     smooth: float = 1.0
-    least: float = -0.25
+    least: float = -0.1
     min_words: int = 50
     max_repeated_percent: int = 50
 
