@@ -26,7 +26,8 @@ def source_targets(sized: DataFrame, source: str, weights: Sequence[float], shar
     share ``share`` times all sizes by weight; none exceeds ``cap`` times its
     source's size and what is cut off goes to the others by weight. This is water
     filling: with sources in order of cap over weight, the first that is not
-    filled at the level left by those before it sets the level of all the rest.
+    filled at the level left by those before it sets the level of all the rest; the
+    levels after it are no higher, so it is the largest.
     Windows here run over one row per source.
     """
     by_source = sized.groupBy(source).agg(F.sum("size").alias("source_size"))
@@ -40,7 +41,7 @@ def source_targets(sized: DataFrame, source: str, weights: Sequence[float], shar
         - F.coalesce(F.sum("most").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
         "rest": F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing)),
     }).withColumn("level", F.col("left") / F.col("rest"))
-    water = F.min(F.when(F.col("most") / F.col("weight") >= F.col("level"), F.col("level"))).over(whole)
+    water = F.max(F.when(F.col("most") / F.col("weight") >= F.col("level"), F.col("level"))).over(whole)
     return level.withColumn("water", water).select(
         source,
         "source_size",
@@ -104,7 +105,7 @@ level AS (
             / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST
                                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM ranked),
-water AS (SELECT *, min(CASE WHEN most / weight >= level THEN level END) OVER () AS water FROM level),
+water AS (SELECT *, max(CASE WHEN most / weight >= level THEN level END) OVER () AS water FROM level),
 targets AS (
   SELECT source, source_size,
          CASE WHEN water IS NULL OR most / weight < water THEN most ELSE water * weight END AS target
