@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabdrift.llm.common import written
+
 INDEX_SCHEMA = "digest binary, keep_id bigint, batch string"
 
 
@@ -75,7 +77,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, text: str = "text", key: st
     table read from storage, not the output of a shuffle.
 
     Equal texts meet as one partial row per task in the aggregation; the join back
-    is a plain shuffled join, whose large groups adaptive execution splits.
+    shuffles both sides by digest, so adaptive execution can split a large group.
     """
     marked = docs.withColumn("dd_digest", digest(F.col(text))).withColumn("dd_row", F.monotonically_increasing_id())
     groups = marked.groupBy(F.col("dd_digest").alias("digest")).agg(
@@ -83,6 +85,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, text: str = "text", key: st
         F.count("*").alias("dd_group_size"),
     )
     groups = groups.select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "dd_group_size")
+    groups = written(groups, "dd-groups")
     batch = uuid.uuid4().hex
     index.add(groups, batch)
     seen = index.read().withColumnRenamed("keep_id", "seen_id")
@@ -93,7 +96,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, text: str = "text", key: st
         "dd_group_size",
     )
     return (
-        marked.join(decided, "dd_digest")
+        marked.join(written(decided, "dd-decided"), "dd_digest")
         .withColumn("dd_kept", F.coalesce(F.col("dd_row") == F.col("keep_row"), F.lit(False)))
         .drop("dd_row", "keep_row")
     )
