@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
@@ -37,6 +37,8 @@ from tabdrift.llm.common import small_side, written
 SMALL_BUCKET = 32
 #: Most document ids that are broadcast to the texts; with more, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Shingles whose frequency the order of the crowd's sets knows; all others count as rare.
+COMMON = 200_000
 #: Shingles hashed at a time in a task, and words whose hashes a task remembers.
 BLOCK, REMEMBERED = 400_000, 400_000
 
@@ -237,22 +239,49 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``COMMON`` most frequent shingles of ``sets``, in order, and how often tasks saw them.
+
+    Tasks count whole sets and report what they saw twice or more. The counts only
+    set an order in which rare shingles stand first; any order finds all pairs.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                token, n = np.unique(np.concatenate(batch["shingles"].to_list()), return_counts=True)
+                yield pd.DataFrame({"token": token[n > 1], "n": n[n > 1]})
+
+    seen = sets.select("shingles").mapInPandas(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = seen.orderBy(F.desc("n"), "token").limit(COMMON).toPandas().sort_values("token")
+    return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
 def crowd_pairs(crowd: DataFrame, sets: DataFrame, spec: NearDupSpec) -> DataFrame:
     """Pairs (a, b) of ``crowd`` (cid, root) that can have the wanted similarity and differ in root.
 
-    In the order of rising frequency two such sets x (the larger) and y agree in a
+    In any fixed order of shingles two such sets x (the larger) and y agree in a
     shingle among the first |x| - ceil(t |x|) + 1 of x and the first
     |y| - ceil(2t / (1 + t) |y|) + 1 of y, and the places of the first one they share
-    leave room for the overlap that t asks for.
+    leave room for the overlap that t asks for. The order puts common shingles last.
     """
     t = spec.percent
-    held = crowd.join(sets.withColumnRenamed("id", "cid"), "cid").select("cid", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    often = held.groupBy("token").agg(F.count("*").alias("f"))
-    place = F.row_number().over(Window.partitionBy("cid", "n").orderBy("f", "token")) - 1
-    ranked = held.join(often, "token").withColumn("at", place)
-    deep = F.col("n") - F.ceil(F.col("n") * t / F.lit(100)) + 1
-    shallow = F.col("n") - F.ceil(F.col("n") * (2 * t) / F.lit(100 + t)) + 1
-    prefix = written(ranked.filter((F.col("f") > 1) & (F.col("at") < deep)).select("token", "cid", "root", "n", "at", (F.col("at") < shallow).alias("early")), "nd-prefix")
+    held = written(crowd.join(sets.withColumnRenamed("id", "cid"), "cid").select("cid", "root", "shingles"), "nd-crowd")
+    common, often = common_shingles(held)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for cid, root, x in zip(batch["cid"], batch["root"], batch["shingles"], strict=True):
+                n = len(x)
+                rank = np.zeros(n, np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    rank = np.where(common[at] == x, often[at], 0)
+                deep, early = n - -(-n * t // 100) + 1, n - -(-n * 2 * t // (100 + t)) + 1
+                first = np.lexsort((x, rank))[:deep]
+                yield pd.DataFrame({"token": x[first], "cid": cid, "root": root, "n": n, "at": np.arange(len(first)), "early": np.arange(len(first)) < early})
+
+    prefix = written(held.mapInPandas(prefixes, "token bigint, cid bigint, root bigint, n bigint, at bigint, early boolean"), "nd-prefix")
     useful = prefix.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("early").alias("e")).filter("r0 != r1 AND e").select("token")
     rows = prefix.join(useful, "token", "left_semi")
     x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cid", "root", "n", "at")))
