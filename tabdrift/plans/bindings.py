@@ -107,6 +107,7 @@ def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of ``sql`` over the driver's tables."""
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations", "benchmark", "embeddings"]
     used = [n for n in names if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for n in used:
         sql = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\1\2{{{n}}}", sql)
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in used})
