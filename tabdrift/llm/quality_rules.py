@@ -81,22 +81,27 @@ def gram_bins(hashes: Column, spec: RatioSpec) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, spec: RatioSpec, text: str, key: str) -> list[float]:
-    """log(target share / raw share) of every bin, smoothed.
+    """log(target share / raw share) of every bin.
 
     The raw counts cover all of ``docs``, the target counts those whose key is in
-    ``trusted``. Both are partial sums over ``bins`` bins, which is all the driver sees.
+    ``trusted``. Raw counts are smoothed by ``smooth`` a bin; the target backs off to the
+    raw shares with as many pseudo-counts in all, so that what the target has not seen is
+    judged by how much it has seen. Both are partial sums over ``bins`` bins, which is all
+    that the driver sees.
     """
     ids = small_side(trusted.select(F.col(key).alias("qr_key")).filter("qr_key IS NOT NULL").distinct(), BROADCAST_IDS)
     flagged = docs.select(F.col(key).alias("qr_key"), F.col(text).alias("text")).join(ids.withColumn("target", F.lit(1)), "qr_key", "left")
     hashed = flagged.select("target", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     grams = hashed.select("target", F.explode(gram_bins(F.col("h"), spec)).alias("bin"))
-    counted = grams.groupBy("bin").agg(F.count("*").alias("raw"), F.count("target").alias("good")).collect()
-    raw, good = [spec.smooth] * spec.bins, [spec.smooth] * spec.bins
-    for row in counted:
-        raw[row["bin"]] += row["raw"]
-        good[row["bin"]] += row["good"]
-    a, b = sum(good), sum(raw)
-    return [math.log(g / a) - math.log(r / b) for g, r in zip(good, raw, strict=True)]
+    counted = {r["bin"]: r for r in grams.groupBy("bin").agg(F.count("*").alias("raw"), F.count("target").alias("good")).collect()}
+    prior = spec.smooth * spec.bins
+    all_raw, all_good = (sum(r[c] for r in counted.values()) for c in ("raw", "good"))
+    out = []
+    for b in range(spec.bins):
+        raw, good = (counted[b]["raw"], counted[b]["good"]) if b in counted else (0, 0)
+        share = (raw + spec.smooth) / (all_raw + prior)
+        out.append(math.log((good + prior * share) / (all_good + prior) / share))
+    return out
 
 
 def judge_quality(docs: DataFrame, trusted: DataFrame, spec: RatioSpec = RatioSpec(), text: str = "text", key: str = "doc_id") -> DataFrame:  # noqa: B008
@@ -106,7 +111,7 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, spec: RatioSpec = RatioSp
     their number, 0 for a text without words. A document fails the base rules with
     fewer than ``min_words`` words or more than ``max_repeated_percent`` per cent of
     them in repeated windows; it is kept if it does not and its ratio is at least
-    ``least``. Without trusted documents all ratios follow the raw counts alone.
+    ``least``. Without trusted documents all ratios are 0.
     Null text counts as empty; repeated rows are judged alike.
     """
     ratios = F.from_json(F.lit(str(log_ratios(docs, trusted, spec, text, key))), "array<double>")
