@@ -31,8 +31,6 @@ def running_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left rows with the right columns of the same keys, null keys matching null keys."""
-    if not keys:
-        return left.join(F.broadcast(right.limit(1)))
     other = right.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in right.columns if c not in keys))
     same = F.lit(True)
     for k in keys:
@@ -53,3 +51,16 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str, buckets: int
     offsets = dealt.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return dealt.join(offsets, "_bucket").withColumn(name, (F.col("_o") + place - 1).cast("long")).drop("_bucket", "_o")
+
+
+def text_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The distinct non-null values of a text column with ``name``, their place in sorted order from 0.
+
+    Values are dealt by their first two bytes, which keeps their order; places run inside
+    a range and start from the count of the ranges below, at most 65,536 of them.
+    """
+    values = df.filter(F.col(column).isNotNull()).select(column).distinct().withColumn("_head", F.substring(F.hex(F.encode(column, "utf-8")), 1, 4))
+    below = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = values.groupBy("_head").agg(F.count("*").alias("_n")).select("_head", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy("_head").orderBy(column))
+    return values.join(offsets, "_head").select(column, (F.col("_o") + place - 1).cast("int").alias(name))

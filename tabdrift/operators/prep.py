@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabdrift.functions.dates import EVALUATE_FORMATS, parsed
 from tabdrift.functions.numbers import number
+from tabdrift.functions.ordering import text_ranks
 from tabdrift.operators.profile import date_formats, first_values
 
 KINDS = ["boolean_class", "integer_class", "regression", "text_class"]
@@ -51,10 +52,8 @@ def label_codes(df: DataFrame, label: str, kind: str) -> DataFrame:
         return df.withColumn("y", F.when(F.lower(F.col(label).cast("string")).isin("true", "1", "1.0"), 1).otherwise(0).cast("double"))
     if kind in KINDS[1:3]:
         return df.withColumn("y", number(F.col(label))).filter("y IS NOT NULL")
-    text = F.coalesce(F.col(label).cast("string"), F.lit("NA"))
-    values = df.select(text.alias("_v")).distinct()
-    ranked = values.agg(F.array_sort(F.collect_set("_v")).alias("all")).select(F.posexplode("all").alias("_p", "_v"))
-    return df.withColumn("_v", text).join(ranked, "_v").withColumn("y", F.col("_p").cast("double")).drop("_v", "_p")
+    named = df.withColumn("_v", F.coalesce(F.col(label).cast("string"), F.lit("NA")))
+    return named.join(text_ranks(named, "_v", "_p"), "_v").withColumn("y", F.col("_p").cast("double")).drop("_v", "_p")
 
 
 def usable(kind: Column, rows: Column, classes: Column) -> Column:
@@ -124,5 +123,4 @@ def one_hot(train: DataFrame, df: DataFrame, column: str, key: str) -> DataFrame
 
     Values unseen in training have no row, that is, all zeros.
     """
-    slots = train.filter(F.col(column).isNotNull()).agg(F.array_sort(F.collect_set(column)).alias("all")).select(F.posexplode("all").alias("slot", column))
-    return df.join(slots, column).select(key, "slot")
+    return df.join(text_ranks(train, column, "slot"), column).select(key, "slot")

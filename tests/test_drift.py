@@ -69,3 +69,11 @@ def test_row_numbers_do_not_depend_on_partitions(spark, parts):
     got = sorted((r["id"], r["n"]) for r in row_numbers(df, [F.col("id")], "n").collect())
     again = sorted((r["id"], r["n"]) for r in row_numbers(spark.range(500).repartition(3), [F.col("id")], "n").collect())
     assert got == again and sorted(n for _, n in got) == list(range(500))
+
+
+def test_text_ranks_follow_code_points(spark):
+    from tabdrift.functions.ordering import text_ranks
+
+    words = ["", "a", "aa", "ab", "b", "é", "Z", "日", "👍", "a"]
+    got = {r["w"]: r["n"] for r in text_ranks(spark.createDataFrame([(w,) for w in [*words, None]], "w string"), "w", "n").collect()}
+    assert got == {w: i for i, w in enumerate(sorted(set(words), key=lambda w: w.encode()))}
