@@ -196,11 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, spec: NbSvmSpec, label: str = "qua
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = NGrams(spec)
         for batch in batches:
-            yield pd.DataFrame({"bins": [sorted(grams.present(t)) for t in batch["text"]], "label": batch["label"]})
+            packed = [np.array(sorted(grams.present(t)), np.int32).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"bins": packed, "label": batch["label"]})
 
-    sample = training_rows(docs, labels, label, spec.sample, text, key).mapInPandas(bins, "bins array<int>, label int").toPandas()
-    order = sorted(range(len(sample)), key=lambda i: (int(sample["label"][i]), len(sample["bins"][i]), list(sample["bins"][i][:20])))
-    return fit_nbsvm([np.asarray(sample["bins"][i], np.int64) for i in order], np.array([int(sample["label"][i]) for i in order], float), spec)
+    sample = training_rows(docs, labels, label, spec.sample, text, key).mapInPandas(bins, "bins binary, label int").collect()
+    # an order of the rows' own, so that fits agree whichever task came first
+    rows = sorted((int(r["label"]), bytes(r["bins"])) for r in sample)
+    return fit_nbsvm([np.frombuffer(b, np.int32) for _, b in rows], np.array([y for y, _ in rows], float), spec)
 
 
 def score_documents(docs: DataFrame, model: NbSvmModel, text: str = "text") -> DataFrame:
