@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,13 @@ from tabdrift.sources import tables
 
 
 def _scratch(spark, name: str) -> str:
-    """A new folder under the cluster's shared one, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabdrift-")
+    """A new folder under the one all executors share; a session on this machine alone may take a temporary one."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tabdrift-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
