@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,15 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Where the session names none (single-machine tests) a temporary folder is
-    taken and remembered in the session.
+    Where neither is set, a session on this machine alone takes a temporary folder
+    and keeps it; on a cluster that is an error, as executors would not see it. Tables
+    that are written there stay until the folder is cleared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="tabdrift-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabdrift-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
