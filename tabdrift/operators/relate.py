@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,13 @@ def column_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def shared_columns(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with only those columns that another table has too, which alone can be keys."""
+    often = Counter(c for df in tables.values() for c in df.columns)
+    kept = {t: [c for c in df.columns if often[c] > 1] for t, df in tables.items()}
+    return {t: df.select(*(F.col(f"`{c}`") for c in kept[t])) for t, df in tables.items() if kept[t]}
+
+
 def join_keys(columns: DataFrame, min_tables: int = 2) -> DataFrame:
     """Column names that occur in at least ``min_tables`` tables of a task (task_id, table, column)."""
     good = columns.filter(~is_bad_name(F.col("column")))

@@ -21,6 +21,10 @@ def _tables(spark, sf_dir, names=TABLES) -> dict[str, DataFrame]:
     return {t: table(spark, sf_dir, t) for t in names}
 
 
+def _key_stats(spark, sf_dir) -> DataFrame:
+    return relate.column_stats(relate.shared_columns(_tables(spark, sf_dir)))
+
+
 def _pairs(spark) -> DataFrame:
     return spark.createDataFrame(PAIRS, "base string, other string")
 
@@ -56,11 +60,11 @@ related AS (
 
 @query("jn_best_key", f"WITH {KEYED} SELECT base, other, key, round(score, 8) AS score FROM keyed")
 def jn_best_key(spark, sf_dir):
-    return relate.best_keys(relate.column_stats(_tables(spark, sf_dir)), _pairs(spark)).withColumn("score", F.round("score", 8))
+    return relate.best_keys(_key_stats(spark, sf_dir), _pairs(spark)).withColumn("score", F.round("score", 8))
 
 
 def _related(spark, sf_dir):
-    stats = relate.column_stats(_tables(spark, sf_dir))
+    stats = _key_stats(spark, sf_dir)
     return relate.relationships(stats, relate.best_keys(stats, _pairs(spark)))
 
 
@@ -169,7 +173,7 @@ FROM o LEFT JOIN a USING (orderkey) LEFT JOIN cu ON cu.custkey = o.custkey""",
 )
 def jn_relational_features(spark, sf_dir):
     base, others = table(spark, sf_dir, "orders"), {"lineitem": bound(spark, sf_dir, LINES), "customer": table(spark, sf_dir, "customer"), "region": table(spark, sf_dir, "region")}
-    stats = relate.column_stats({"orders": base, **others})
+    stats = relate.column_stats(relate.shared_columns({"orders": base, **others}))
     pairs = spark.createDataFrame([("orders", o) for o in others], "base string, other string")
     # the steps are a row per table; what they say decides the shape of the plan
     steps = {r["other"]: (r["key"], r["relationship"]) for r in relate.relationships(stats, relate.best_keys(stats, pairs, exclude=["orderstatus"])).collect()}
@@ -211,6 +215,6 @@ g AS (SELECT r.base, r.other, r.key, e.expansion,
 SELECT *, error IS NULL AS allowed FROM g""",
 )
 def jn_guarded_join(spark, sf_dir):
-    stats = relate.column_stats(_tables(spark, sf_dir))
+    stats = _key_stats(spark, sf_dir)
     out = relate.guarded(stats, relate.best_keys(stats, _pairs(spark)), _expansions(spark, sf_dir))
     return out.select("base", "other", "key", "expansion", "error", "allowed")
