@@ -55,7 +55,7 @@ def task_seed(global_seed: Column, task_id: Column) -> Column:
     return hash_number(F.concat_ws(":", global_seed.cast("string"), task_id))
 
 
-def plans(columns: DataFrame, global_seed: int, protected: Sequence[str] = (), key_mode: str = "non_key") -> DataFrame:
+def plans(columns: DataFrame, global_seed: int, protected: Sequence[str] = (), key_mode: str = "non_key", formats: DataFrame | None = None) -> DataFrame:
     """One plan per task of ``columns`` (task_id, table, table_idx, ordinal, column).
 
     Columns are the union over tables. Those that start with ``__`` and blank or
@@ -63,7 +63,8 @@ def plans(columns: DataFrame, global_seed: int, protected: Sequence[str] = (), k
     hash of seed, purpose and name: rename and drop from the columns that are no join
     keys (with ``key_mode='key'`` rename takes a join key if there is one), else from all;
     a date column from those named so. The address, money and category columns are the
-    first whose names say so, the latter two falling back to a pick by chance.
+    first whose names say so, the latter two falling back to a pick by chance. The date
+    column's format is looked up in ``formats`` (task_id, column, format), detected before.
     """
     keys = join_keys(columns.select("task_id", "table", "column")).select("task_id", "column").withColumn("is_key", F.lit(True))
     union = columns.filter(~is_bad_name(F.col("column")) & ~F.col("column").startswith("__") & ~F.col("column").isin(list(protected)))
@@ -85,8 +86,11 @@ def plans(columns: DataFrame, global_seed: int, protected: Sequence[str] = (), k
     out = seeded.groupBy("task_id", "seed").agg(F.array_sort(F.collect_list(F.when(is_key, F.col("column")))).alias("join_keys"), *(c.alias(n) for n, c in picks.items()))
     draw = lambda use, values: F.element_at(F.array(*(F.lit(v) for v in values)), (hash_number(F.concat_ws(":", F.col("seed").cast("string"), F.lit(use))) % len(values) + 1).cast("int"))
     rename = F.coalesce(*(["rename_key"] if key_mode == "key" else []), "rename_free", "rename_any")
+    known = columns.sparkSession.createDataFrame([], "task_id string, column string, format string") if formats is None else formats
+    known = known.select("task_id", F.col("column").alias("datetime_col"), F.col("format").alias("datetime_format"))
+    out = out.join(known, ["task_id", "datetime_col"], "left")
     return out.select(
-        "task_id", "seed", "join_keys", rename.alias("rename_col"), F.coalesce("drop_free", "drop_any").alias("drop_col"), "address_col", "datetime_col",
+        "task_id", "seed", "join_keys", rename.alias("rename_col"), F.coalesce("drop_free", "drop_any").alias("drop_col"), "address_col", "datetime_col", "datetime_format",
         F.coalesce("money", "money_free", "money_any").alias("meaning_num_col"), F.coalesce("cat", "cat_free", "cat_any").alias("meaning_cat_col"),
         draw("date_rule", DATE_RULES).alias("datetime_rule"), draw("topk", TOP_K).alias("category_keep_topk"), draw("divisor", DIVISORS).alias("unit_scale_divisor"),
     )

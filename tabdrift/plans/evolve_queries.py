@@ -29,6 +29,19 @@ def _plan_columns(spark, sf_dir):
     return stats.select(F.expr(TASK.format(t="table")).alias("task_id"), "table", "table_idx", "ordinal", "column")
 
 
+_DETECTED = """SELECT CASE WHEN avg(CASE WHEN try_strptime(v, '%Y-%m-%d') IS NULL THEN 0 ELSE 1 END) >= 0.99 THEN 'yyyy-M-d'
+  WHEN avg(CASE WHEN try_strptime(v, '%Y-%m-%d %H:%M:%S') IS NULL THEN 0 ELSE 1 END) >= 0.99 THEN 'yyyy-M-d H:m:s' END
+  FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY {k} LIMIT 300)"""
+
+
+def _formats(spark, sf_dir):
+    out = None
+    for t, c in (("orders", "orderdate"), ("lineitem", "shipdate")):
+        one = profile.date_formats(profile.first_values(table(spark, sf_dir, t), "orderkey", [c], 300)).select(F.lit("sales").alias("task_id"), "column", "format")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _plan_sql() -> str:
     said = lambda words: "(" + " OR ".join(f"contains(lower(col), '{w}')" for w in words) + ")"
     chance = lambda use: f"sha1(seed || ':{use}:' || col)"
@@ -48,13 +61,14 @@ g AS (SELECT task_id, seed, coalesce(string_agg(col, ',' ORDER BY col) FILTER (i
   coalesce({some(said(evolve.MONEY), "p")}, {some(free, chance("money"))}, arg_min(col, {chance("money")})) AS meaning_num_col,
   coalesce({some(said(evolve.CATEGORY), "p")}, {some(free, chance("category"))}, arg_min(col, {chance("category")})) AS meaning_cat_col
   FROM u GROUP BY task_id, seed)
-SELECT *, {draw("date_rule", evolve.DATE_RULES, "")} AS datetime_rule, {draw("topk", evolve.TOP_K, "INTEGER")} AS category_keep_topk,
+SELECT *, CASE datetime_col WHEN 'orderdate' THEN ({_DETECTED.format(c="o_orderdate", t="orders", k="o_orderkey")})
+  WHEN 'shipdate' THEN ({_DETECTED.format(c="l_shipdate", t="lineitem", k="l_orderkey")}) END AS datetime_format, {draw("date_rule", evolve.DATE_RULES, "")} AS datetime_rule, {draw("topk", evolve.TOP_K, "INTEGER")} AS category_keep_topk,
        {draw("divisor", evolve.DIVISORS, "DOUBLE")} AS unit_scale_divisor FROM g"""
 
 
 @query("ev_plan", _plan_sql())
 def ev_plan(spark, sf_dir):
-    return evolve.plans(_plan_columns(spark, sf_dir), SEED).withColumn("join_keys", F.array_join("join_keys", ","))
+    return evolve.plans(_plan_columns(spark, sf_dir), SEED, formats=_formats(spark, sf_dir)).withColumn("join_keys", F.array_join("join_keys", ","))
 
 
 @query(
