@@ -8,8 +8,8 @@ guaranteed to meet: the symbols are cut into chunks, by pigeonhole some chunk of
 pair within the distance has at most ``errors`` differing symbols, and every way
 to leave out that many symbols of a chunk is a key.
 
-Not all pairs of a bucket are formed. First each member meets the bucket's
-smallest class; the confirmed links give components. Buckets that lie in one
+Not all pairs of a bucket are formed. First each member meets the bucket's hub, the
+member that shares most buckets; the confirmed links give components. Buckets that lie in one
 component are done. In the others members of different components meet directly if
 the bucket is small; the members of large ones meet by the rarest shingles of
 their sets, where a pair of the wanted similarity must agree (prefix and position
@@ -264,8 +264,10 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, spec: NearDupSpec) -> DataFra
     shingle among the first |x| - ceil(t |x|) + 1 of x and the first
     |y| - ceil(2t / (1 + t) |y|) + 1 of y, and the places of the first one they share
     leave room for the overlap that t asks for. The order puts common shingles last.
+    Of a set's hashes modulo 1024, the parities are one bitmap; two bitmaps differ in no
+    more bits than the sets in members, which ends most pairs that come near but fall short.
     """
-    t = spec.percent
+    t, bits = spec.percent, [f"b{i}" for i in range(16)]
     held = written(crowd.join(sets.withColumnRenamed("id", "cid"), "cid").select("cid", "root", "shingles"), "nd-crowd")
     common, often = common_shingles(held)
 
@@ -279,23 +281,40 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, spec: NearDupSpec) -> DataFra
                     rank = np.where(common[at] == x, often[at], 0)
                 deep, early = n - -(-n * t // 100) + 1, n - -(-n * 2 * t // (100 + t)) + 1
                 first = np.lexsort((x, rank))[:deep]
-                yield pd.DataFrame({"token": x[first], "cid": cid, "root": root, "n": n, "at": np.arange(len(first)), "early": np.arange(len(first)) < early})
+                odd = np.bincount(x & 1023, minlength=1024).astype(np.uint8) & 1
+                bitmap = dict(zip(bits, np.packbits(odd).view(np.int64).tolist(), strict=True))
+                yield pd.DataFrame({"token": x[first], "cid": cid, "root": root, "n": n, "at": np.arange(len(first)), "early": np.arange(len(first)) < early, **bitmap})
 
-    prefix = written(held.mapInPandas(prefixes, "token bigint, cid bigint, root bigint, n bigint, at bigint, early boolean"), "nd-prefix")
+    schema = "token bigint, cid bigint, root bigint, n bigint, at bigint, early boolean, " + ", ".join(f"{b} bigint" for b in bits)
+    prefix = written(held.mapInPandas(prefixes, schema), "nd-prefix")
     useful = prefix.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("early").alias("e")).filter("r0 != r1 AND e").select("token")
     rows = prefix.join(useful, "token", "left_semi")
-    x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cid", "root", "n", "at")))
-    y = rows.filter("early").select("token", *(F.col(c).alias(f"y_{c}") for c in ("cid", "root", "n", "at")))
+    x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cid", "root", "n", "at", *bits)))
+    y = rows.filter("early").select("token", *(F.col(c).alias(f"y_{c}") for c in ("cid", "root", "n", "at", *bits)))
+    unlike = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits), F.lit(0))
     fits = (
         (F.col("x_root") != F.col("y_root"))
         & (F.col("y_n") <= F.col("x_n"))
         & (F.col("y_n") * 100 >= F.col("x_n") * t)
         & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) * (100 + t) >= (F.col("x_n") + F.col("y_n")) * t)
+        & (unlike * (100 + t) <= (F.col("x_n") + F.col("y_n")) * (100 - t))
     )
     met = x.join(y, (x["token"] == y["token"]) & fits)
     return met.select(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b")).distinct()
 
 
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's hub (hub, cid). Input: key, cid, members.
+
+    The hub is the member whose buckets hold most members in all, the smallest on ties:
+    in a cloud of near copies that is the text they were made from, whatever its id.
+    """
+    weight = shared.groupBy("cid").agg(F.sum("members").alias("weight"))
+    rows = shared.select("key", "cid").join(weight, "cid")
+    hubs = rows.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("cid")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("hub"))
+    return rows.select("key", "cid").join(hubs, "key").filter("cid != hub").select("hub", "cid")
+
+
 def near_classes(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept.
 
@@ -311,10 +330,10 @@ def near_classes(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: st
     classes = written(classes.select("set_hash", F.col("s.id").alias("cid"), F.col("s.sig").alias("sig")), "nd-classes")
 
     keys = classes.select("cid", F.explode(chunk_keys(F.col("sig"), spec)).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     shared = written(keys.join(buckets, "key"), "nd-shared")
 
-    star = shared.filter("cid != hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    star = hub_pairs(shared).select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
     star = close_pairs(star, classes, spec)
     ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id")))
     links = written(confirmed(star, shingle_sets(docs, ends(star), spec, text, key), spec), "nd-links")
