@@ -73,18 +73,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, text: str = "text", key: st
     text, none stays and dd_keep_id is that batch's key. dd_group_size counts the
     rows of this batch. An empty batch gives an empty result.
 
-    ``docs`` is read twice and its row positions are compared, so it must be a
-    table read from storage, not the output of a shuffle.
+    Rows are decided by their keys. Only rows that repeat the key and text that stay
+    need a row id; they are written once with it, and every reader takes the id from
+    that table. So nothing depends on how a scan of ``docs`` is split, which may change
+    from one scan to the next.
 
-    Equal texts meet as one partial row per task in the aggregation; the join back
-    shuffles both sides by digest, so adaptive execution can split a large group.
+    Equal texts meet as one partial row per task and key in the aggregation; the join
+    back shuffles both sides by digest, so adaptive execution can split a large group.
     """
-    marked = docs.withColumn("dd_digest", digest(F.col(text))).withColumn("dd_row", F.monotonically_increasing_id())
-    groups = marked.groupBy(F.col("dd_digest").alias("digest")).agg(
-        F.max(F.struct(F.col(key).alias("id"), F.col("dd_row").alias("row"))).alias("best"),
-        F.count("*").alias("dd_group_size"),
-    )
-    groups = groups.select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "dd_group_size")
+    marked = docs.withColumn("dd_digest", digest(F.col(text)))
+    keys = marked.groupBy(F.col("dd_digest").alias("digest"), F.col(key).alias("id")).agg(F.count("*").alias("n"))
+    groups = keys.groupBy("digest").agg(F.max(F.struct("id", "n")).alias("best"), F.sum("n").alias("dd_group_size"))
+    groups = groups.select("digest", F.col("best.id").alias("keep_id"), F.col("best.n").alias("dd_repeats"), "dd_group_size")
     groups = written(groups, "dd-groups")
     batch = uuid.uuid4().hex
     index.add(groups, batch)
@@ -92,14 +92,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, text: str = "text", key: st
     decided = groups.join(seen, "digest").select(
         F.col("digest").alias("dd_digest"),
         F.col("seen_id").alias("dd_keep_id"),
-        F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"),
+        F.when(F.col("batch") == batch, F.col("dd_repeats")).otherwise(0).alias("dd_repeats"),
         "dd_group_size",
     )
-    return (
-        marked.join(written(decided, "dd-decided"), "dd_digest")
-        .withColumn("dd_kept", F.coalesce(F.col("dd_row") == F.col("keep_row"), F.lit(False)))
-        .drop("dd_row", "keep_row")
-    )
+    decided = written(decided, "dd-decided")
+    rows = marked.join(decided, "dd_digest").withColumn("dd_kept", (F.col("dd_repeats") > 0) & F.col(key).eqNullSafe(F.col("dd_keep_id")))
+    if not decided.filter("dd_repeats > 1").isEmpty():
+        repeated = F.col("dd_kept") & (F.col("dd_repeats") > 1)
+        numbered = written(rows.filter(repeated).withColumn("dd_row", F.monotonically_increasing_id()), "dd-repeated")
+        first = numbered.groupBy("dd_digest").agg(F.min("dd_row").alias("dd_row")).select("dd_row", F.lit(True).alias("dd_first"))
+        chosen = numbered.join(first, "dd_row", "left").withColumn("dd_kept", F.coalesce("dd_first", F.lit(False)))
+        rows = rows.filter(~repeated).unionByName(chosen.drop("dd_row", "dd_first"))
+    return rows.drop("dd_repeats")
 
 
 def new_index(spark: SparkSession) -> DigestIndex:

@@ -46,6 +46,35 @@ def test_exact_on_empty_and_clashing_columns(spark, tmp_path):
     assert kept.columns == odd.columns and [tuple(r) for r in kept.collect()] == [(2, "a", 5, 6, "z")]
 
 
+def test_exact_when_splits_move_between_scans(spark, tmp_path, monkeypatch):
+    """As when an executor joins or is lost: each file is a split of its own from some scan on."""
+    rows = [(i, f"t{i % 60}") for i in range(100)] + [(500, "r")] * 5 + [(None, "n")] * 3
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(path)
+    wide, narrow = 1 << 27, 1 << 10
+    plain, left = ed.written, [0]
+
+    def moved(df, name):
+        got = plain(df, name)
+        left[0] -= 1
+        if left[0] == 0:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", narrow)
+        return got
+
+    monkeypatch.setattr(ed, "written", moved)
+    try:
+        for n in (1, 2, 3):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", wide)
+            spark.conf.set("spark.sql.files.minPartitionNum", 1)
+            left[0] = n
+            got = ed.keep_first_of_each(spark.read.schema("doc_id long, text string").parquet(path), ed.new_index(spark)).collect()
+            want = [(max(j for j in range(100) if j % 60 == i), f"t{i}") for i in range(60)] + [(500, "r"), (None, "n")]
+            assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def brute(rows, words, percent):
     sets = {}
     for i, text in rows:
