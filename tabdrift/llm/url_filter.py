@@ -52,25 +52,30 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def host_edges(judged: DataFrame, site_links: bool = True) -> DataFrame:
+def host_edges(judged: DataFrame, site_links: bool = True, uncrawled: bool = False) -> DataFrame:
     """Links between different hosts as (src, dst, n), from anchors with a host of their own.
 
     With ``site_links`` each host is also linked, both ways, with the host one
-    label above it where that one occurs among the pages, as parts of one site.
-    Only edges between hosts that have pages are kept.
+    label above it where that one occurs too, as parts of one site. With
+    ``uncrawled`` every linked host occurs, else only hosts that have pages.
     """
     hosts = judged.filter("uf_host != ''").select(F.col("uf_host").alias("host")).distinct()
     anchors = judged.filter("uf_host != ''").select(
         F.col("uf_host").alias("src"), F.explode(F.regexp_extract_all(F.col("uf_html"), F.lit(LINK), F.lit(1))).alias("dst")
     )
-    edges = anchors.select("src", lower_ascii(F.col("dst")).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    edges = anchors.select("src", lower_ascii(F.col("dst")).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n")).filter("src != dst")
+    if uncrawled:
+        edges = written(edges, "anchors")
+        hosts = hosts.unionByName(edges.select(F.col("dst").alias("host"))).distinct()
+    else:
+        edges = edges.join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst", "n")
     if site_links:
         up = hosts.select(
             F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.+)$", 1).alias("dst"), F.lit(1).cast("long").alias("n")
         ).filter("dst != ''")
+        up = up.join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst", "n")
         edges = edges.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    known_src, known_dst = hosts.withColumnRenamed("host", "src"), hosts.withColumnRenamed("host", "dst")
-    return edges.filter("src != dst").join(known_dst, "dst", "left_semi").join(known_src, "src", "left_semi").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    return edges.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 4, tolerance: float = 1e-9) -> DataFrame:
@@ -124,9 +129,10 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], margin: float = 0.5, url: str = "url", html: str = "html", **how) -> DataFrame:
     """Add uf_host, uf_path, uf_rule and uf_verdict to every page.
 
-    A host's seed weights are the shares of its pages that rules allow and block.
-    Ranks are scaled so that a host holds 1 on average; a host is blocked when its
-    distrust exceeds its trust by more than ``margin``. Null urls and urls without
+    A host's seed weights are the shares of its pages that rules allow and block; a
+    host that is linked but has no page counts as a page at its root path. All these
+    hosts carry trust and distrust. Ranks are scaled so that a host holds 1 on average;
+    a host is blocked when its distrust exceeds its trust by more than ``margin``. Null urls and urls without
     ``://`` have empty host and path, match only by that and are allowed; null html
     has no links. Repeated pages count as often as they occur. An empty table gives
     an empty result.
@@ -141,7 +147,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], margin: float = 0.5, url
         ),
         "host-seeds",
     )
-    ranks = propagate(hosts, written(host_edges(judged, how.pop("site_links", True)), "edges"), **how)
+    edges = written(host_edges(judged, how.pop("site_links", True), uncrawled=True), "edges")
+    linked = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
+    linked = linked.join(hosts, "host", "left_anti").withColumn("root", rule_for(F.col("host"), F.lit("/"), rules)["verdict"])
+    hosts = hosts.unionByName(linked.select(
+        "host",
+        F.when(F.col("root") == "allow", 1.0).otherwise(0.0).alias("trusted"),
+        F.when(F.col("root") == "block", 1.0).otherwise(0.0).alias("blocked"),
+    ))
+    hosts = written(hosts, "vertices")
+    ranks = propagate(hosts, edges, **how)
     n = hosts.count()
     bad = ranks.filter((F.col("distrust") - F.col("trust")) * F.lit(float(n)) > margin).select(F.col("host").alias("uf_host"), F.lit("block").alias("uf_bad"))
     return (

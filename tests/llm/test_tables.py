@@ -137,6 +137,46 @@ def test_propagation_against_matrices(spark):
     assert verdict["a.org"] == "allow" and verdict["d.net"] == "block" and verdict["b.com"] == "allow" and verdict["e.com"] == "block"
 
 
+def test_uncrawled_hosts_carry_trust_and_distrust(spark):
+    links = {
+        "a.com": ["bad.net"],
+        "b.com": ["mid.com"],
+        "d.net": [],
+        "t.org": ["far.com"],
+        "e.com": ["d.net"] + [f"u{i}.com" for i in range(99)],
+        "f.com": ["www.f.com"],
+    }
+    rows = [page(i, f"http://{h}/{'fr/' if h == 't.org' else ''}x", *to) for i, (h, to) in enumerate(links.items())]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    judged = df.withColumns({"uf_host": uf.host_of(F.col("url")), "uf_html": F.col("html")})
+    pairs = {(s, d) for s, to in links.items() for d in to} | {("www.f.com", "f.com")}
+    edges = uf.host_edges(judged, uncrawled=True)
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == pairs
+    assert {r["n"] for r in edges.filter("src = 'f.com'").collect()} == {2}
+    got = {r["uf_host"]: r["uf_verdict"] for r in uf.judge_urls(df, RULES).collect()}
+    assert len(got) == len(links) and got["a.com"] == "block" and got["d.net"] == "block" and got["b.com"] == "allow"
+
+    hosts = sorted({h for pair in pairs for h in pair} | set(links))
+    seeds = spark.createDataFrame([(h, float(h == "t.org"), float(h.endswith(".net"))) for h in hosts], "host string, trusted double, blocked double")
+    ranks = {r["host"]: (r["trust"], r["distrust"]) for r in uf.propagate(seeds, edges).collect()}
+    ends = [(r["src"], r["dst"]) for r in edges.collect() for _ in range(r["n"])]
+    trust = rank(hosts, ends, [h == "t.org" for h in hosts])
+    distrust = rank(hosts, [(d, s) for s, d in ends], [h.endswith(".net") for h in hosts])
+    assert all(ranks[h] == pytest.approx((trust[i], distrust[i]), abs=1e-9) for i, h in enumerate(hosts))
+    want = {h: "block" if h == "d.net" or (distrust[i] - trust[i]) * len(hosts) > 0.5 else "allow" for i, h in enumerate(hosts)}
+    want["t.org"] = "allow"
+    assert got == {h: want[h] for h in links}
+
+
+def test_path_through_an_uncrawled_host(spark):
+    """b.com links to www.example.com, which has no page and is one site with example.com."""
+    rows = [page(0, "http://b.com/x", "www.example.com"), page(1, "http://example.com/de/x"), page(2, "http://bad.com/x", "x.net")]
+    rows += [page(10 + i, f"http://c{i}.com/x") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["uf_host"]: r["uf_verdict"] for r in uf.judge_urls(df, RULES).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"b.com", "bad.com", "example.com"} and len(got) == len(rows)
+
+
 def test_sites_are_linked(spark):
     df = spark.createDataFrame([page(0, "http://www.x.com/"), page(1, "http://x.com/"), page(2, "http://m.y.com/")], "page_id long, url string, html string")
     judged = df.withColumns({"uf_host": uf.host_of(F.col("url")), "uf_html": F.col("html")})
