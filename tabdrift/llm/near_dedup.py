@@ -35,7 +35,7 @@ from tabdrift.llm.common import small_side, written
 
 #: Buckets of at most so many classes are paired directly.
 SMALL_BUCKET = 32
-#: Most document ids that are broadcast to the texts; with more, the texts are joined by shuffle.
+#: Most document names that are broadcast to the texts; with more, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles whose frequency the order of the crowd's sets knows; all others count as rare.
 COMMON = 200_000
@@ -122,58 +122,76 @@ def _signer(hashes: int):
     return signatures
 
 
+def text_hash(text: Column) -> Column:
+    """16-byte hash of a text; with the key it names a row, however often the key occurs."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def signed(docs: DataFrame, spec: NearDupSpec, text: str, key: str) -> DataFrame:
-    """id, n, set_hash (16 bytes) and sig of each document; the last two null for empty sets."""
+    """id, text_hash, n, set_hash (16 bytes) and sig of each document; the last two null for empty sets."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, signatures = _WordHashes(), _signer(spec.hashes)
         for batch in batches:
-            rows, sets, held = [], [], 0
+            rows, names, sets, held = [], [], [], 0
 
             def block() -> pd.DataFrame:
                 full = [s for s in sets if len(s)]
                 sigs = iter(signatures(full)) if full else iter(())
                 return pd.DataFrame({
                     "id": pd.array(rows, dtype="Int64"),
+                    "text_hash": names,
                     "n": [len(s) for s in sets],
                     "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "sig": [next(sigs).tobytes() if len(s) else None for s in sets],
                 })
 
-            for i, t in zip(batch["id"], batch["text"], strict=True):
+            for i, name, t in zip(batch["id"], batch["text_hash"], batch["text"], strict=True):
                 rows.append(None if pd.isna(i) else int(i))
+                names.append(name)
                 sets.append(shingle_set(t, spec.words, known))
                 held += len(sets[-1])
                 if held > BLOCK:
                     yield block()
-                    rows, sets, held = [], [], 0
+                    rows, names, sets, held = [], [], [], 0
             if rows:
                 yield block()
 
-    source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return source.mapInPandas(sign, "id bigint, n bigint, set_hash binary, sig binary")
+    return _texts(docs, text, key).mapInPandas(sign, "id bigint, text_hash binary, n bigint, set_hash binary, sig binary")
+
 
+def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).cast("bigint").alias("id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, spec: NearDupSpec, text: str, key: str) -> DataFrame:
-    """The full sets of the documents named in ``ids`` (id), made from their texts again."""
+
+def shingle_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, spec: NearDupSpec, text: str, key: str) -> DataFrame:
+    """One row per class named in ``cids`` (cid): cid and its full set, made from its text again."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _WordHashes()
+        known, made = _WordHashes(), set()
         for batch in batches:
-            ids_, sets, held = [], [], 0
-            for i, t in zip(batch["id"], batch["text"], strict=True):
-                ids_.append(i)
+            cids_, sets, held = [], [], 0
+            for c, t in zip(batch["cid"], batch["text"], strict=True):
+                if c in made:
+                    continue
+                if len(made) >= REMEMBERED:
+                    made.clear()
+                made.add(c)
+                cids_.append(c)
                 sets.append(shingle_set(t, spec.words, known).view(np.int64))
                 held += len(sets[-1])
                 if held > BLOCK:
-                    yield pd.DataFrame({"id": ids_, "shingles": sets})
-                    ids_, sets, held = [], [], 0
-            if ids_:
-                yield pd.DataFrame({"id": ids_, "shingles": sets})
+                    yield pd.DataFrame({"cid": cids_, "shingles": sets})
+                    cids_, sets, held = [], [], 0
+            if cids_:
+                yield pd.DataFrame({"cid": cids_, "shingles": sets})
 
-    source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    wanted = source.join(small_side(ids.select("id").distinct(), BROADCAST_IDS), "id", "left_semi")
-    return written(wanted.mapInPandas(make, "id bigint, shingles array<bigint>"), "nd-sets")
+    wanted = written(classes.join(cids.select("cid").distinct(), "cid", "left_semi").select("id", "text_hash", "cid"), "nd-wanted")
+    rows = _texts(docs, text, key).join(small_side(wanted, BROADCAST_IDS), ["id", "text_hash"]).select("cid", "text")
+    sets = written(rows.mapInPandas(make, "cid bigint, shingles array<bigint>"), "nd-sets")
+    if sets.count() > wanted.count():
+        sets = written(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "nd-sets")
+    return sets
 
 
 def chunk_keys(sig: Column, spec: NearDupSpec) -> Column:
@@ -205,8 +223,8 @@ def close_pairs(pairs: DataFrame, classes: DataFrame, spec: NearDupSpec) -> Data
 
 def confirmed(pairs: DataFrame, sets: DataFrame, spec: NearDupSpec) -> DataFrame:
     """Of ``pairs`` (a, b) those whose full sets have the wanted similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
+    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("xa"))
+    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("xb"))
     shared = F.size(F.array_intersect("xa", "xb"))
     return pairs.join(left, "a").join(right, "b").filter(spec.linked(shared, F.size("xa"), F.size("xb"))).select("a", "b")
 
@@ -268,7 +286,7 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, spec: NearDupSpec) -> DataFra
     more bits than the sets in members, which ends most pairs that come near but fall short.
     """
     t, bits = spec.percent, [f"b{i}" for i in range(16)]
-    held = written(crowd.join(sets.withColumnRenamed("id", "cid"), "cid").select("cid", "root", "shingles"), "nd-crowd")
+    held = written(crowd.join(sets, "cid").select("cid", "root", "shingles"), "nd-crowd")
     common, often = common_shingles(held)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,19 +333,17 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     return rows.select("key", "cid").join(hubs, "key").filter("cid != hub").select("hub", "cid")
 
 
-def near_classes(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id, kept.
+def _decided(docs: DataFrame, spec: NearDupSpec, text: str, key: str) -> DataFrame:
+    """One row per row of ``docs``: id, text_hash, n, root, kept, as ``near_classes`` tells.
 
-    ``key`` is an integer. component_id is the smallest key reachable over links,
-    the row's own included; kept marks the row that carries it. Rows with empty sets
-    (null, empty or blank text) and rows with a null key are linked with nothing,
-    and are kept. Rows that repeat key and text share a class and are kept or not
-    together. Other columns may have any names; an empty table gives an empty result.
+    A vertex is a distinct set, numbered when it is written; its text is that of its
+    smallest key. Keys come in again once the components are known.
     """
     marks = written(signed(docs, spec, text, key), "nd-marks")
     full = marks.filter("set_hash IS NOT NULL AND id IS NOT NULL")
-    classes = full.groupBy("set_hash").agg(F.min_by(F.struct("id", "sig"), "id").alias("s"))
-    classes = written(classes.select("set_hash", F.col("s.id").alias("cid"), F.col("s.sig").alias("sig")), "nd-classes")
+    classes = full.groupBy("set_hash").agg(F.min_by(F.struct("id", "text_hash", "sig"), F.struct("id", "text_hash")).alias("s"))
+    classes = classes.select("set_hash", "s.*").withColumn("cid", F.monotonically_increasing_id())
+    classes = written(classes, "nd-classes")
 
     keys = classes.select("cid", F.explode(chunk_keys(F.col("sig"), spec)).alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
@@ -335,8 +351,8 @@ def near_classes(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: st
 
     star = hub_pairs(shared).select(F.least("hub", "cid").alias("a"), F.greatest("hub", "cid").alias("b")).distinct()
     star = close_pairs(star, classes, spec)
-    ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id")))
-    links = written(confirmed(star, shingle_sets(docs, ends(star), spec, text, key), spec), "nd-links")
+    ends = lambda p: p.select(F.col("a").alias("cid")).unionByName(p.select(F.col("b").alias("cid")))
+    links = written(confirmed(star, shingle_sets(docs, classes, ends(star), spec, text, key), spec), "nd-links")
 
     rooted = shared.join(components(links), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     rooted = written(rooted.select("key", "cid", "root", "members"), "nd-rooted")
@@ -347,21 +363,41 @@ def near_classes(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: st
     direct = left.join(right, (left["key"] == right["key"]) & (left["a"] < right["b"]) & (left["ra"] != right["rb"])).select("a", "b").distinct()
     direct = close_pairs(direct, classes, spec)
     crowd = open_.filter(F.col("members") > SMALL_BUCKET).select("cid", "root").distinct()
-    sets = shingle_sets(docs, ends(direct).unionByName(crowd.select(F.col("cid").alias("id"))), spec, text, key)
+    sets = shingle_sets(docs, classes, ends(direct).unionByName(crowd.select("cid")), spec, text, key)
     crossing = close_pairs(crowd_pairs(crowd, sets, spec), classes, spec)
     links = links.unionByName(confirmed(direct.unionByName(crossing).distinct(), sets, spec))
 
-    rooted = classes.select("set_hash", "cid").join(components(links), "cid", "left")
-    rooted = rooted.select("set_hash", F.coalesce("root", "cid").alias("root"))
+    rooted = classes.select("set_hash", "id", "cid").join(components(links), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("id", "cid")).alias("first"))
+    rooted = rooted.join(first, "root").select("set_hash", F.col("first.id").alias("root"), (F.col("first.cid") == F.col("cid")).alias("stays"))
     joined = marks.join(rooted, "set_hash", "left")
-    root = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("root", "id"))
+    alone = F.col("id").isNull() | F.col("set_hash").isNull()
     return joined.select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept")
+        "id",
+        "text_hash",
+        "n",
+        F.when(alone, F.col("id")).otherwise(F.col("root")).alias("root"),
+        F.when(alone, True).otherwise(F.col("stays") & (F.col("root") == F.col("id"))).alias("kept"),
     )
 
 
+def near_classes(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id, kept.
+
+    ``key`` is an integer. component_id is the smallest key reachable over links,
+    the row's own included; kept marks the row that carries it. Rows with empty sets
+    (null, empty or blank text) and rows with a null key are linked with nothing,
+    and are kept. A key may repeat over different texts: these are documents of their
+    own, and if several of a class carry its smallest key, those of one set are kept.
+    Rows that repeat key and set share a class and are kept or not together. Other
+    columns may have any names; an empty table gives an empty result.
+    """
+    rows = _decided(docs, spec, text, key)
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), "kept")
+
+
 def keep_one_of_each(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without those whose key another document of the class stands for."""
-    by_key = near_classes(docs, spec, text, key).filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("nd_key")).agg(F.max("kept").alias("kept"))
-    gone = written(by_key.filter("NOT kept").select("nd_key"), "nd-gone")
-    return docs.join(small_side(gone, BROADCAST_IDS), F.col(key).cast("bigint") == F.col("nd_key"), "left_anti")
+    """The rows of ``docs`` without those that another document of the class stands for."""
+    gone = _decided(docs, spec, text, key).filter("NOT kept").select(F.col("id").alias("nd_key"), F.col("text_hash").alias("nd_text")).distinct()
+    same = (F.col(key).cast("bigint") == F.col("nd_key")) & (text_hash(F.col(text)) == F.col("nd_text"))
+    return docs.join(small_side(written(gone, "nd-gone"), BROADCAST_IDS), same, "left_anti")

@@ -142,6 +142,28 @@ def test_near_edge_cases(spark, tmp_path):
     assert kept.columns == odd.columns and [r["doc_id"] for r in kept.collect()] == [1]
 
 
+def test_near_classes_of_a_key_with_many_texts(spark, tmp_path):
+    """Key 7 holds a third of the rows: texts of its own, copies of others, and near copies of each other."""
+    rng = np.random.default_rng(8)
+    text = lambda: [f"w{i}" for i in rng.integers(0, 10**9, 60)]
+    alone, copied, twins = [text() for _ in range(12)], [text() for _ in range(4)], text()
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(7, " ".join(w)) for w in alone] + [(7, " ".join(twins)), (7, near(twins))] + [(7, near(w)) for w in copied]
+    rows += [(i, " ".join(w)) for i, w in enumerate(copied)] + [(100 + i, " ".join(text())) for i in range(30)] + [(7, " ".join(alone[0]))] * 3
+    docs = stored(spark, tmp_path, rows)
+    spec = nd.NearDupSpec(3, 85)
+    got = nd.near_classes(docs, spec).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["component_id"] for r in got if r["doc_id"] == 7) == [0, 1, 2, 3] + [7] * 17
+    assert sum(not r["kept"] for r in got) == 5 and all(r["kept"] for r in got if r["doc_id"] != 7)
+    kept = sorted(map(tuple, nd.keep_one_of_each(docs, spec).collect()))
+    lost = [near(w) for w in copied]
+    either = [r for r in kept if r[1] in (" ".join(twins), near(twins))]
+    assert len(either) == 1
+    assert sorted(set(kept) - set(either)) == sorted({r for r in rows if r[1] not in (*lost, " ".join(twins), near(twins))})
+    assert len(kept) == len(rows) - 5
+
+
 def test_signature_guarantee():
     for spec in (nd.NearDupSpec(3, 85), nd.NearDupSpec(5, 80)):
         chunks = spec.chunks
