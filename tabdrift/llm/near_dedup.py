@@ -24,14 +24,14 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType
 
-from tabdrift.llm.common import small_side, written
+from tabdrift.llm.common import in_blocks, mixed, small_batches, small_side, written
 
 #: Buckets of at most so many classes are paired directly.
 SMALL_BUCKET = 32
@@ -40,7 +40,7 @@ BROADCAST_IDS = 1_000_000
 #: Shingles whose frequency the order of the crowd's sets knows; all others count as rare.
 COMMON = 200_000
 #: Shingles hashed at a time in a task, and words whose hashes a task remembers.
-BLOCK, REMEMBERED = 400_000, 400_000
+BLOCK, REMEMBERED = 200_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -82,27 +82,21 @@ class _WordHashes(dict):
         return h
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_set(text: str | None, n: int, known: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of a whole text.
+def shingle_set(text: bytes | None, n: int, known: dict) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles of a whole text in UTF-8.
 
     A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text with fewer words
     is one shingle, one without words is empty.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    found = (text or b"").lower().split()
     if not found:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        out = _mixed(out) + h[i : len(h) - k + 1 + i]
-    return np.unique(_mixed(out))
+        out = mixed(out) + h[i : len(h) - k + 1 + i]
+    return np.unique(mixed(out))
 
 
 def _signer(hashes: int):
@@ -130,34 +124,25 @@ def text_hash(text: Column) -> Column:
 def signed(docs: DataFrame, spec: NearDupSpec, text: str, key: str) -> DataFrame:
     """id, text_hash, n, set_hash (16 bytes) and sig of each document; the last two null for empty sets."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    small_batches(docs.sparkSession)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, signatures = _WordHashes(), _signer(spec.hashes)
         for batch in batches:
-            rows, names, sets, held = [], [], [], 0
-
-            def block() -> pd.DataFrame:
+            made = (shingle_set(t.as_py(), spec.words, known) for t in batch.column("text").cast(pa.binary()))
+            for first, sets in in_blocks(made, len, BLOCK):
                 full = [s for s in sets if len(s)]
                 sigs = iter(signatures(full)) if full else iter(())
-                return pd.DataFrame({
-                    "id": pd.array(rows, dtype="Int64"),
-                    "text_hash": names,
-                    "n": [len(s) for s in sets],
-                    "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "sig": [next(sigs).tobytes() if len(s) else None for s in sets],
-                })
-
-            for i, name, t in zip(batch["id"], batch["text_hash"], batch["text"], strict=True):
-                rows.append(None if pd.isna(i) else int(i))
-                names.append(name)
-                sets.append(shingle_set(t, spec.words, known))
-                held += len(sets[-1])
-                if held > BLOCK:
-                    yield block()
-                    rows, names, sets, held = [], [], [], 0
-            if rows:
-                yield block()
-
-    return _texts(docs, text, key).mapInPandas(sign, "id bigint, text_hash binary, n bigint, set_hash binary, sig binary")
+                columns = [
+                    batch.column("id").slice(first, len(sets)),
+                    batch.column("text_hash").slice(first, len(sets)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "n", "set_hash", "sig"])
+
+    return _texts(docs, text, key).mapInArrow(sign, "id bigint, text_hash binary, n bigint, set_hash binary, sig binary")
 
 
 def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -167,28 +152,28 @@ def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
 def shingle_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, spec: NearDupSpec, text: str, key: str) -> DataFrame:
     """One row per class named in ``cids`` (cid): cid and its full set, made from its text again."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, made = _WordHashes(), set()
+
+        def fresh(cid: int) -> bool:
+            if cid in made:
+                return False
+            if len(made) >= REMEMBERED:
+                made.clear()
+            made.add(cid)
+            return True
+
         for batch in batches:
-            cids_, sets, held = [], [], 0
-            for c, t in zip(batch["cid"], batch["text"], strict=True):
-                if c in made:
-                    continue
-                if len(made) >= REMEMBERED:
-                    made.clear()
-                made.add(c)
-                cids_.append(c)
-                sets.append(shingle_set(t, spec.words, known).view(np.int64))
-                held += len(sets[-1])
-                if held > BLOCK:
-                    yield pd.DataFrame({"cid": cids_, "shingles": sets})
-                    cids_, sets, held = [], [], 0
-            if cids_:
-                yield pd.DataFrame({"cid": cids_, "shingles": sets})
+            batch = batch.filter(pa.array([fresh(c) for c in batch.column("cid").to_pylist()], pa.bool_()))
+            sets = (shingle_set(t.as_py(), spec.words, known).view(np.int64) for t in batch.column("text").cast(pa.binary()))
+            for first, run in in_blocks(sets, len, BLOCK):
+                ends = pa.array(np.cumsum([0, *map(len, run)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(run)))
+                yield pa.RecordBatch.from_arrays([batch.column("cid").slice(first, len(run)), lists], names=["cid", "shingles"])
 
     wanted = written(classes.join(cids.select("cid").distinct(), "cid", "left_semi").select("id", "text_hash", "cid"), "nd-wanted")
     rows = _texts(docs, text, key).join(small_side(wanted, BROADCAST_IDS), ["id", "text_hash"]).select("cid", "text")
-    sets = written(rows.mapInPandas(make, "cid bigint, shingles array<bigint>"), "nd-sets")
+    sets = written(rows.mapInArrow(make, "cid bigint, shingles array<bigint>"), "nd-sets")
     if sets.count() > wanted.count():
         sets = written(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "nd-sets")
     return sets
@@ -204,12 +189,11 @@ def chunk_keys(sig: Column, spec: NearDupSpec) -> Column:
     return F.array(*keys)
 
 
-@pandas_udf(IntegerType())
-def symbol_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+@arrow_udf(IntegerType())
+def symbol_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Number of differing 16-bit symbols of two signatures."""
-    x = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), -1)
-    return pd.Series((x != y).sum(axis=1), dtype="int32")
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint16).reshape(len(s), -1) for s in (a, b))
+    return pa.array((x != y).sum(axis=1) if len(a) else [], pa.int32())
 
 
 def close_pairs(pairs: DataFrame, classes: DataFrame, spec: NearDupSpec) -> DataFrame:
@@ -264,15 +248,20 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     set an order in which rare shingles stand first; any order finds all pairs.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                token, n = np.unique(np.concatenate(batch["shingles"].to_list()), return_counts=True)
-                yield pd.DataFrame({"token": token[n > 1], "n": n[n > 1]})
+            token, n = np.unique(np.concatenate([np.empty(0, np.int64), *_arrays(batch.column("shingles"))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token[n > 1], pa.int64()), pa.array(n[n > 1], pa.int64())], names=["token", "n"])
+
+    seen = sets.select("shingles").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = seen.orderBy(F.desc("n"), "token").limit(COMMON).toArrow().sort_by("token")
+    return top["token"].to_numpy(), top["n"].to_numpy()
 
-    seen = sets.select("shingles").mapInPandas(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = seen.orderBy(F.desc("n"), "token").limit(COMMON).toPandas().sort_values("token")
-    return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+def _arrays(lists: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column, without a copy of their values."""
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def crowd_pairs(crowd: DataFrame, sets: DataFrame, spec: NearDupSpec) -> DataFrame:
@@ -289,22 +278,34 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, spec: NearDupSpec) -> DataFra
     held = written(crowd.join(sets, "cid").select("cid", "root", "shingles"), "nd-crowd")
     common, often = common_shingles(held)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefix_of(x: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+        """The tokens that stand first in a set, how many of them a smaller set needs, and the bitmap."""
+        n, rank = len(x), np.zeros(len(x), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+            rank = np.where(common[at] == x, often[at], 0)
+        deep, early = n - -(-n * t // 100) + 1, n - -(-n * 2 * t // (100 + t)) + 1
+        odd = np.bincount(x & 1023, minlength=1024).astype(np.uint8) & 1
+        return x[np.lexsort((x, rank))[:deep]], early, np.packbits(odd).view(np.int64)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cid, root, x in zip(batch["cid"], batch["root"], batch["shingles"], strict=True):
-                n = len(x)
-                rank = np.zeros(n, np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                    rank = np.where(common[at] == x, often[at], 0)
-                deep, early = n - -(-n * t // 100) + 1, n - -(-n * 2 * t // (100 + t)) + 1
-                first = np.lexsort((x, rank))[:deep]
-                odd = np.bincount(x & 1023, minlength=1024).astype(np.uint8) & 1
-                bitmap = dict(zip(bits, np.packbits(odd).view(np.int64).tolist(), strict=True))
-                yield pd.DataFrame({"token": x[first], "cid": cid, "root": root, "n": n, "at": np.arange(len(first)), "early": np.arange(len(first)) < early, **bitmap})
+            sets = _arrays(batch.column("shingles"))
+            sizes = np.array([len(x) for x in sets], np.int64)
+            for first, run in in_blocks(map(prefix_of, sets), lambda p: len(p[0]), BLOCK):
+                here = slice(first, first + len(run))
+                long = np.array([len(p[0]) for p in run])
+                at = np.concatenate([np.arange(k) for k in long])
+                spread = [np.repeat(batch.column(c).to_numpy()[here], long) for c in ("cid", "root")]
+                maps = np.stack([p[2] for p in run])
+                columns = [
+                    np.concatenate([p[0] for p in run]), *spread, np.repeat(sizes[here], long), at,
+                    at < np.repeat([p[1] for p in run], long), *(np.repeat(maps[:, i], long) for i in range(len(bits))),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "cid", "root", "n", "at", "early", *bits])
 
     schema = "token bigint, cid bigint, root bigint, n bigint, at bigint, early boolean, " + ", ".join(f"{b} bigint" for b in bits)
-    prefix = written(held.mapInPandas(prefixes, schema), "nd-prefix")
+    prefix = written(held.mapInArrow(prefixes, schema), "nd-prefix")
     useful = prefix.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("early").alias("e")).filter("r0 != r1 AND e").select("token")
     rows = prefix.join(useful, "token", "left_semi")
     x = rows.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cid", "root", "n", "at", *bits)))
@@ -370,15 +371,11 @@ def _decided(docs: DataFrame, spec: NearDupSpec, text: str, key: str) -> DataFra
     rooted = classes.select("set_hash", "id", "cid").join(components(links), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     first = rooted.groupBy("root").agg(F.min(F.struct("id", "cid")).alias("first"))
     rooted = rooted.join(first, "root").select("set_hash", F.col("first.id").alias("root"), (F.col("first.cid") == F.col("cid")).alias("stays"))
-    joined = marks.join(rooted, "set_hash", "left")
+    # rows that are linked with nothing go past the join, where they would share one key
     alone = F.col("id").isNull() | F.col("set_hash").isNull()
-    return joined.select(
-        "id",
-        "text_hash",
-        "n",
-        F.when(alone, F.col("id")).otherwise(F.col("root")).alias("root"),
-        F.when(alone, True).otherwise(F.col("stays") & (F.col("root") == F.col("id"))).alias("kept"),
-    )
+    linked = marks.filter(~alone).join(rooted, "set_hash")
+    linked = linked.select("id", "text_hash", "n", "root", (F.col("stays") & (F.col("root") == F.col("id"))).alias("kept"))
+    return linked.unionByName(marks.filter(alone).select("id", "text_hash", "n", F.col("id").alias("root"), F.lit(True).alias("kept")))
 
 
 def near_classes(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: str = "doc_id") -> DataFrame:

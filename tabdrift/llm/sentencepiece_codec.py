@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from tabdrift.llm.common import in_blocks, small_batches
+
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
 #: Piece types of a model file.
 CONTROL, USER_DEFINED, BYTE = 3, 4, 6
 #: Tokens per block that a task hands back.
-BLOCK = 1_000_000
+BLOCK = 200_000
 
 
 def charmap_rules(blob: bytes) -> dict[bytes, bytes]:
@@ -36,21 +39,22 @@ def charmap_rules(blob: bytes) -> dict[bytes, bytes]:
     if not blob:
         return {}
     (length,) = struct.unpack_from("<I", blob)
-    units = np.frombuffer(blob, "<u4", length // 4, 4).tolist()
-    text = blob[4 + length :]
+    units = np.frombuffer(blob, "<u4", length // 4, 4)
+    text, labels = blob[4 + length :], np.arange(1, 256)
     child = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
     rules: dict[bytes, bytes] = {}
     todo = [(0, b"")]
     while todo:
         at, key = todo.pop()
-        base = at ^ child(units[at])
-        if units[at] >> 8 & 1:
-            value = units[base] & 0x7FFFFFFF
+        unit = int(units[at])
+        base = at ^ child(unit)
+        if unit >> 8 & 1:
+            value = int(units[base]) & 0x7FFFFFFF
             rules[key] = text[value : text.index(b"\0", value)]
-        for label in range(1, 256):
-            to = base ^ label
-            if to < len(units) and units[to] & 0x800000FF == label:
-                todo.append((to, key + bytes([label])))
+        to = base ^ labels
+        near = to < len(units)
+        fits = units[to[near]] & 0x800000FF == labels[near]
+        todo += [(t, key + bytes([c])) for t, c in zip(to[near][fits].tolist(), labels[near][fits].tolist(), strict=True)]
     return rules
 
 
@@ -139,21 +143,32 @@ class Codec:
         """Ids with the end id, and the span of each in UTF-8 bytes of ``text``.
 
         A byte of a normalised character that a rule made belongs to the whole source
-        of the rule. The end id has the empty span at the end.
+        of the rule. Each span begins where the one before it ends; blanks that the model
+        drops at either end of the text are in none. The end id has the empty span at the end. Should pieces not make up the normalised text, as with a model whose
+        own normaliser does more than its map says, the spans are the library's.
         """
         normal, align = self.normalize(text)
         ids, lengths = self._ids(text)
         edges = np.concatenate([[0], np.cumsum(lengths)])
-        if edges[-1] != len(normal):
-            raise ValueError(f"pieces cover {edges[-1]} of {len(normal)} normalised bytes")
-        begins, ends = align[edges[:-1]], align[edges[1:]]
         size = len(text.encode())
-        return [*ids, self.eos], np.append(begins, size), np.append(ends, size)
+        places = align[edges] if edges[-1] == len(normal) else self._surfaces(text, len(ids))
+        return [*ids, self.eos], np.append(places[:-1], size), np.append(places[1:], size)
+
+    def _surfaces(self, text: str, n: int) -> np.ndarray:
+        """Where each of ``n`` pieces and their end begin, by the library's own spans of bytes."""
+        ends = [p.end for p in self.lib.encode(text, return_type="proto").pieces]
+        return np.maximum.accumulate(np.array([0, *ends[:n]], np.int64))
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)
 
 
+@lru_cache(maxsize=1)
+def codec_of(model: bytes) -> Codec:
+    """The codec of a model, made once in a worker and not in each of its tasks."""
+    return Codec(model)
+
+
 OUTPUT = "sp_ids array<int>, sp_begins array<int>, sp_ends array<int>, sp_decoded string"
 
 
@@ -164,40 +179,26 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
     sampling; spans are byte offsets in the text; sp_decoded is the library's
     decoding of the ids. A null text counts as empty: the end id, one empty span, an
     empty decoding. Rows are independent, so repeated rows repeat and an empty table
-    gives an empty result. The model is read where the query is built and shipped
-    with the tasks.
+    gives an empty result. Texts of any length are encoded whole; columns that are not in
+    ``keep`` are dropped, so their names may clash with nothing. The model is read where
+    the query is built and shipped with the tasks.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     kept = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text), F.lit("")).alias("sp_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for batch in batches:
-            texts, first, held = batch.column(len(keep)), 0, 0
-            ids, begins, ends, sizes, decoded = [], [], [], [], []
-
-            def block(first: int, last: int) -> pa.RecordBatch:
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int32))) for x in (ids, begins, ends)]
-                columns = [batch.column(i).slice(first, last - first) for i in range(len(keep))]
-                return pa.RecordBatch.from_arrays([*columns, *lists, pa.array(decoded, pa.string())], names=[*keep, "sp_ids", "sp_begins", "sp_ends", "sp_decoded"])
-
-            for i in range(batch.num_rows):
-                got, b, e = codec.encode(texts[i].as_py())
-                ids.append(np.array(got, np.int32))
-                begins.append(b)
-                ends.append(e)
-                sizes.append(len(got))
-                decoded.append(codec.decode(got))
-                held += len(got)
-                if held > BLOCK:
-                    yield block(first, i + 1)
-                    first, held = i + 1, 0
-                    ids, begins, ends, sizes, decoded = [], [], [], [], []
-            if first < batch.num_rows:
-                yield block(first, batch.num_rows)
+            coded = (codec.encode(t.as_py()) for t in batch.column(len(keep)))
+            for first, block in in_blocks(coded, lambda c: len(c[0]), BLOCK):
+                ends = pa.array(np.cumsum([0, *(len(c[0]) for c in block)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.asarray(c[k], np.int32) for c in block]))) for k in range(3)]
+                decoded = pa.array([codec.decode(c[0]) for c in block], pa.string())
+                columns = [batch.column(i).slice(first, len(block)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*columns, *lists, decoded], names=[*keep, "sp_ids", "sp_begins", "sp_ends", "sp_decoded"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), OUTPUT])
     return source.mapInArrow(run, schema)
