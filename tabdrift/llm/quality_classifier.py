@@ -12,26 +12,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.functions import arrow_udf
 
-from tabdrift.llm.labelled import training_rows
+from tabdrift.llm.common import mixed, small_batches
+from tabdrift.llm.labelled import fit_logistic, training_rows
 
 TOKEN = re.compile(r"\w+|\n|[^\w\s]+")
-#: Tokens whose bins a task remembers.
-REMEMBERED = 400_000
+#: Tokens whose hashes a task remembers.
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
 class NbSvmSpec:
-    """``sample`` bounds the labelled rows that are fitted."""
+    """``sample`` bounds the labelled rows that are fitted; ``order`` is the longest n-gram."""
 
     sample: int = 6000
-    bins: int = 1 << 18
+    bins: int = 1 << 20
     order: int = 2
     least_docs: int = 3
     smooth: float = 1.0
@@ -53,76 +53,81 @@ def _shape(token: str) -> str:
     return "Aa" if token[0].isupper() else "a"
 
 
-class NGrams:
-    """Bins of the n-grams that occur in a text: lower-cased tokens alone, shapes up to ``order``.
+class NGrams(dict):
+    """Bins of the n-grams, up to ``order``, of a text's lower-cased tokens and of their shapes.
 
-    In the shape sequence a token equal to the one before it is ``=``.
+    A token's hashes, whole and as a shape, are remembered. In the shape sequence a
+    token equal to the one before it is ``=``.
     """
 
     def __init__(self, spec: NbSvmSpec):
+        super().__init__()
         self.spec = spec
-        self.tokens: dict[str, tuple[int, str]] = {}
-        self.shapes: dict[tuple[str, ...], int] = {}
-
-    def _bin(self, kind: str, gram: str) -> int:
-        return xxhash.xxh3_64_intdigest(kind + gram) % self.spec.bins
-
-    def _token(self, token: str) -> tuple[int, str]:
-        got = self.tokens.get(token)
-        if got is None:
-            if len(self.tokens) >= REMEMBERED:
-                self.tokens.clear()
-            got = self.tokens[token] = (self._bin("t", token.lower()), _shape(token))
+        self.again = xxhash.xxh3_64_intdigest("s=")
+
+    def __missing__(self, token: str) -> tuple[int, int]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = got = (xxhash.xxh3_64_intdigest("t" + token.lower()), xxhash.xxh3_64_intdigest("s" + _shape(token)))
         return got
 
-    def present(self, text: str | None) -> set[int]:
+    def present(self, text: str | None) -> np.ndarray:
+        """The sorted distinct bins of a whole text."""
         found = TOKEN.findall(text or "")
         if not found:
-            return set()
-        known = self.tokens
-        pairs = [known.get(t) or self._token(t) for t in found]
-        out = {p[0] for p in pairs}
-        shapes = [p[1] for p in pairs]
-        for i in [i for i in range(1, len(found)) if found[i] == found[i - 1]]:
-            shapes[i] = "="
-        for n in range(1, self.spec.order + 1):
-            for gram in set(zip(*(shapes[i:] for i in range(n)), strict=False)):
-                b = self.shapes.get(gram)
-                if b is None:
-                    if len(self.shapes) >= REMEMBERED:
-                        self.shapes.clear()
-                    b = self.shapes[gram] = self._bin("s", "\x1f".join(gram))
-                out.add(b)
-        return out
-
-
-def log_count_ratios(docs: list[np.ndarray], y: np.ndarray, spec: NbSvmSpec) -> np.ndarray:
-    """Log ratio of smoothed shares of each bin in the classes; 0 for bins in too few documents."""
+            return np.empty(0, np.int32)
+        tokens, shapes = np.array([self[t] for t in found], np.uint64).T
+        shapes = np.where(np.concatenate([[False], tokens[1:] == tokens[:-1]]), np.uint64(self.again), shapes)
+        out = []
+        for h in (tokens, shapes):
+            gram = mixed(h)
+            out.append(gram)
+            for n in range(1, self.spec.order):
+                gram = mixed(gram[:-1] ^ mixed(h[n:] + np.uint64(n)))
+                out.append(gram)
+        return np.unique(np.concatenate(out) % np.uint64(self.spec.bins)).astype(np.int32)
+
+
+def log_count_ratios(docs: list[np.ndarray], y: np.ndarray, spec: NbSvmSpec) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that enough documents have, and the log ratio of their smoothed shares in the classes."""
     count = lambda keep: np.bincount(np.concatenate([np.empty(0, np.int64), *(d for d, k in zip(docs, keep, strict=True) if k)]), minlength=spec.bins)
     good, bad = count(y > 0), count(y <= 0)
     p, q = good + spec.smooth, bad + spec.smooth
     r = np.log(p / p.sum()) - np.log(q / q.sum())
-    r[good + bad < spec.least_docs] = 0.0
-    return r
+    bins = np.flatnonzero((good + bad >= spec.least_docs) & (r != 0))
+    return bins, r[bins]
+
+
+def placed(docs: list[np.ndarray], bins: np.ndarray, size: int) -> list[np.ndarray]:
+    """Where in ``bins`` each document's own bins are."""
+    place = np.full(size, -1)
+    place[bins] = np.arange(len(bins))
+    return [p[p >= 0] for p in (place[d] for d in docs)]
+
+
+def scaled(row: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The values of a document's indicators, scaled by their ratios and to unit length."""
+    x = r[row]
+    return x / max(np.sqrt(x @ x), 1e-12)
 
 
-def fit_hinge(docs: list[np.ndarray], sign: np.ndarray, r: np.ndarray, spec: NbSvmSpec) -> tuple[np.ndarray, float]:
-    """Weights on scaled indicators and a bias, by dual coordinate descent on the squared hinge loss.
+def fit_hinge(rows: list[np.ndarray], sign: np.ndarray, r: np.ndarray, spec: NbSvmSpec) -> tuple[np.ndarray, float]:
+    """Weights on scaled indicators and a bias that is penalised like a weight.
 
-    Each document's indicators are scaled to unit length; classes cost the same in total.
+    Dual coordinate descent on the hinge loss: a document's multiplier moves to the
+    least of the dual along it, within 0 and its cost; classes cost the same in total.
     """
-    w, b = np.zeros(spec.bins), 0.0
-    rows = [d[r[d] != 0] for d in docs]
-    values = [r[d] / max(np.sqrt((r[d] ** 2).sum()), 1e-12) for d in rows]
+    w, b = np.zeros(len(r)), 0.0
+    values = [scaled(row, r) for row in rows]
     share = {s: max((sign == s).mean(), 1e-9) for s in (-1.0, 1.0)}
-    slack = np.array([0.5 / (2 * spec.cost * 0.5 / share[s]) for s in sign])
-    norm = np.array([(v**2).sum() + 1.0 for v in values]) + slack
-    alpha = np.zeros(len(docs))
+    most = np.array([spec.cost * 0.5 / share[s] for s in sign])
+    norm = np.array([v @ v + 1.0 for v in values])
+    alpha = np.zeros(len(rows))
     rng = np.random.default_rng(spec.seed)
     for _ in range(spec.epochs):
-        for i in rng.permutation(len(docs)):
-            slope = sign[i] * (w[rows[i]] @ values[i] + b) - 1 + slack[i] * alpha[i]
-            new = max(alpha[i] - slope / norm[i], 0.0)
+        for i in rng.permutation(len(rows)):
+            slope = sign[i] * (w[rows[i]] @ values[i] + b) - 1
+            new = min(max(alpha[i] - slope / norm[i], 0.0), most[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * sign[i]
                 w[rows[i]] += step * values[i]
@@ -131,75 +136,62 @@ def fit_hinge(docs: list[np.ndarray], sign: np.ndarray, r: np.ndarray, spec: NbS
     return w, b
 
 
-def margin(bins: np.ndarray, w: np.ndarray, b: float, r: np.ndarray) -> float:
-    x = r[bins]
-    length = np.sqrt((x**2).sum())
-    return float(b + (w[bins] @ x) / length) if length > 0 else float(b)
-
-
-def fit_logistic(m: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of P(y = 1) over a margin, by damped Newton steps with smoothed targets."""
-    hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
-    t, a, c = np.where(y > 0, hi, lo), 1.0, 0.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * m + c, -30, 30)))
-        g, s = np.array([((p - t) * m).sum(), (p - t).sum()]), p * (1 - p)
-        h = np.array([[(s * m * m).sum(), (s * m).sum()], [(s * m).sum(), s.sum()]]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        a, c = a - step[0] * 0.8, c - step[1] * 0.8
-    return float(a), float(c)
-
-
 @dataclass
 class NbSvmModel:
+    """Ratios and weights of ``bins``, a bias, and the logistic that turns a margin into a score."""
+
     spec: NbSvmSpec
+    bins: np.ndarray
+    ratios: np.ndarray
     weights: np.ndarray
     bias: float
-    ratios: np.ndarray
-    slope: float
-    offset: float
+    slope: float = 0.0
+    offset: float = 0.0
+
+    def margin(self, row: np.ndarray) -> float:
+        return float(self.bias + self.weights[row] @ scaled(row, self.ratios))
 
-    def score(self, bins: np.ndarray) -> float:
-        z = self.slope * margin(bins, self.weights, self.bias, self.ratios) + self.offset
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def score(self, row: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(row) + self.offset, -30, 30))))
+
+
+def _margins(docs: list[np.ndarray], sign: np.ndarray, spec: NbSvmSpec) -> NbSvmModel:
+    """The model without its logistic. Weights are drawn to their mean size, as the dealt method's interpolation asks."""
+    bins, r = log_count_ratios(docs, sign, spec)
+    w, b = fit_hinge(placed(docs, bins, spec.bins), sign, r, spec)
+    even = np.abs(w[w != 0]).mean() if w.any() else 0.0
+    w = np.where(w != 0, (1 - spec.blend) * even + spec.blend * w, 0.0)
+    # the model goes to every worker, so single precision from here
+    return NbSvmModel(spec, bins.astype(np.int32), r.astype(np.float32), w.astype(np.float32), spec.blend * b)
 
 
 def fit_nbsvm(docs: list[np.ndarray], y: np.ndarray, spec: NbSvmSpec) -> NbSvmModel:
     """Fit ratios, support vectors and the logistic; without labels of both kinds it answers with their share."""
     if len(y) < 2 * spec.folds or len(set(y.tolist())) < 2:
         share = (y.sum() + 0.5) / (len(y) + 1.0)
-        zero = np.zeros(spec.bins)
-        return NbSvmModel(spec, zero, 0.0, zero, 0.0, float(np.log(share / (1 - share))))
+        return NbSvmModel(spec, np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     sign = np.where(y > 0, 1.0, -1.0)
-
-    def one(keep: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-        part = [d for d, k in zip(docs, keep, strict=True) if k]
-        r = log_count_ratios(part, sign[keep], spec)
-        w, b = fit_hinge(part, sign[keep], r, spec)
-        held = np.flatnonzero(w)
-        even = np.abs(w[held]).mean() if len(held) else 0.0
-        return np.where(w != 0, (1 - spec.blend) * even + spec.blend * w, 0.0), spec.blend * b, r
-
-    fold = np.random.default_rng(spec.seed).permutation(len(y)) % spec.folds
-    margins = np.zeros(len(y))
+    fold, margins = np.random.default_rng(spec.seed).permutation(len(y)) % spec.folds, np.zeros(len(y))
     for k in range(spec.folds):
-        w, b, r = one(fold != k)
-        for i in np.flatnonzero(fold == k):
-            margins[i] = margin(docs[i], w, b, r)
-    w, b, r = one(np.ones(len(y), bool))
-    return NbSvmModel(spec, w, b, r, *fit_logistic(margins, y))
+        part = _margins([d for d, f in zip(docs, fold, strict=True) if f != k], sign[fold != k], spec)
+        held = np.flatnonzero(fold == k)
+        margins[held] = [part.margin(row) for row in placed([docs[i] for i in held], part.bins, spec.bins)]
+    model = _margins(docs, sign, spec)
+    model.slope, model.offset = fit_logistic(margins, y)
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, spec: NbSvmSpec, label: str = "quality", text: str = "text", key: str = "doc_id") -> NbSvmModel:
     """Fit on a bounded sample: tasks turn whole texts into bins, the driver fits ``spec.sample`` rows at most."""
+    small_batches(docs.sparkSession)
 
-    def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams(spec)
         for batch in batches:
-            packed = [np.array(sorted(grams.present(t)), np.int32).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"bins": packed, "label": batch["label"]})
+            packed = [grams.present(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column("label")], names=["bins", "label"])
 
-    sample = training_rows(docs, labels, label, spec.sample, text, key).mapInPandas(bins, "bins binary, label int").collect()
+    sample = training_rows(docs, labels, label, spec.sample, text, key).mapInArrow(bins, "bins binary, label int").collect()
     # an order of the rows' own, so that fits agree whichever task came first
     rows = sorted((int(r["label"]), bytes(r["bins"])) for r in sample)
     return fit_nbsvm([np.frombuffer(b, np.int32) for _, b in rows], np.array([y for y, _ in rows], float), spec)
@@ -208,12 +200,19 @@ def train(docs: DataFrame, labels: DataFrame, spec: NbSvmSpec, label: str = "qua
 def score_documents(docs: DataFrame, model: NbSvmModel, text: str = "text") -> DataFrame:
     """Add qc_score in [0, 1] to every row, from its whole text; null counts as empty.
 
-    A text without known n-grams gets the score of the bias. Rows are independent.
+    A text without known n-grams, such as an empty one, gets the score of the bias.
+    Rows are independent: repeated rows score alike and an empty table stays empty. A
+    column qc_score of the input is replaced; other names may clash with nothing.
     """
+    small_batches(docs.sparkSession)
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams = NGrams(model.spec)
+        place = np.full(model.spec.bins, -1, np.int32)
+        place[model.bins] = np.arange(len(model.bins))
         for texts in batches:
-            yield pd.Series([model.score(np.fromiter(sorted(grams.present(t)), np.int64)) for t in texts], dtype="float64")
+            rows = (place[grams.present(t.as_py())] for t in texts)
+            yield pa.array([model.score(row[row >= 0]) for row in rows], pa.float64())
 
-    return docs.withColumn("qc_score", pandas_udf(scores, DoubleType())(F.col(text)))
+    return docs.withColumn("qc_score", scores(F.col(f"`{text}`")))
