@@ -3,7 +3,8 @@
 The index is a table bucketed and sorted by the SHA-256 digest of the text. A
 batch is reduced to one row per digest, anti-joined with the index by
 sort-merge, and what is new is appended, so that each later batch is compared
-with everything seen before without reading any earlier text.
+with everything seen before without reading any earlier text. The caller names
+the batch: a run that is repeated under its name decides as the first did.
 """
 
 from __future__ import annotations
@@ -28,50 +29,84 @@ class DigestIndex:
 
     The bucket count is fixed when the table is made. By default it is the
     session's shuffle partition count, so that a batch already hashed for its own
-    aggregation is written with one file per bucket.
+    aggregation is written with one file per bucket. Batches are added one at a time.
+    Whoever makes an index drops it.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
-        self.spark, self.name = spark, name
+        self.spark, self.name, self.spare = spark, name, f"{name}_compact"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if spark.catalog.tableExists(self.spare) and not spark.catalog.tableExists(name):
+            self._take_spare()  # a compaction was lost between its last two steps
         if spark.catalog.tableExists(name):
             self.buckets = int(
                 spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Num Buckets'").first()["data_type"]
             )
         else:
-            self._append(spark.createDataFrame([], INDEX_SCHEMA))
+            self._append(spark.createDataFrame([], INDEX_SCHEMA), name)
 
-    def _append(self, rows: DataFrame) -> None:
+    def _append(self, rows: DataFrame, name: str) -> None:
         (
             rows.repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .mode("append")
             .format("parquet")
-            .saveAsTable(self.name)
+            .saveAsTable(name)
         )
 
+    def _take_spare(self) -> None:
+        self.spark.sql(f"ALTER TABLE {self.spare} RENAME TO {self.name}")
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def add(self, groups: DataFrame, batch: str) -> None:
-        """Append the digests of ``groups`` (digest, keep_id) not yet in the index."""
+        """Append the digests of ``groups`` (digest, keep_id) not yet in the index.
+
+        What a lost run of the same batch has appended is found there and not appended again.
+        """
         fresh = groups.select("digest", "keep_id").hint("merge").join(self.read().select("digest"), "digest", "left_anti")
-        self._append(fresh.withColumn("batch", F.lit(batch)))
+        self._append(fresh.withColumn("batch", F.lit(batch)), self.name)
+
+    def compact(self) -> None:
+        """Rewrite the table with one sorted file per bucket, as each batch adds a file to every bucket.
+
+        The new table is complete before the old one goes; if the run is lost between
+        the two, the next to open the index finishes it.
+        """
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.spare}")
+        # a digest made anew: for that of the table Spark leaves the repartition out and then reads without buckets
+        self._append(self.read().withColumn("digest", F.concat("digest", F.lit(bytearray()))), self.spare)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self._take_spare()
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in (self.name, self.spare):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Mark each row of a stored table ``docs`` and add its digests to ``index``.
+def text_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per distinct text: digest, keep_id (its largest key), dd_repeats (rows with that key), dd_group_size."""
+    keys = docs.groupBy(digest(F.col(text)).alias("digest"), F.col(key).alias("id")).agg(F.count("*").alias("n"))
+    groups = keys.groupBy("digest").agg(F.max(F.struct("id", "n")).alias("best"), F.sum("n").alias("dd_group_size"))
+    return groups.select("digest", F.col("best.id").alias("keep_id"), F.col("best.n").alias("dd_repeats"), "dd_group_size")
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Mark each row of a stored table ``docs`` and add its digests to ``index`` under ``batch``.
 
     Adds dd_digest (binary), dd_keep_id, dd_group_size and dd_kept. Texts are
-    equal when identical; null counts as empty. Of the rows of a batch with equal
+    equal when identical, however long; null counts as empty. Of the rows of a batch with equal
     texts the one with the largest key stays, a null key being smallest; if rows
     repeat key and text, exactly one of them stays. When an earlier batch has the
     text, none stays and dd_keep_id is that batch's key. dd_group_size counts the
-    rows of this batch. An empty batch gives an empty result.
+    rows of this batch. An empty batch gives an empty result. Input columns dd_* are
+    replaced or dropped; other names may clash with nothing.
+
+    A batch may be run again, whole or after a run that was lost at any step: digests that
+    the index holds under its own name count as its own. The result reads written
+    tables and not the index, which may then change or go.
 
     Rows are decided by their keys. Only rows that repeat the key and text that stay
     need a row id; they are written once with it, and every reader takes the id from
@@ -81,28 +116,25 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, text: str = "text", key: st
     Equal texts meet as one partial row per task and key in the aggregation; the join
     back shuffles both sides by digest, so adaptive execution can split a large group.
     """
-    marked = docs.withColumn("dd_digest", digest(F.col(text)))
-    keys = marked.groupBy(F.col("dd_digest").alias("digest"), F.col(key).alias("id")).agg(F.count("*").alias("n"))
-    groups = keys.groupBy("digest").agg(F.max(F.struct("id", "n")).alias("best"), F.sum("n").alias("dd_group_size"))
-    groups = groups.select("digest", F.col("best.id").alias("keep_id"), F.col("best.n").alias("dd_repeats"), "dd_group_size")
-    groups = written(groups, "dd-groups")
-    batch = uuid.uuid4().hex
+    groups = written(text_groups(docs, text, key), "dd-groups")
     index.add(groups, batch)
     seen = index.read().withColumnRenamed("keep_id", "seen_id")
+    own = F.col("batch") == batch
     decided = groups.join(seen, "digest").select(
         F.col("digest").alias("dd_digest"),
-        F.col("seen_id").alias("dd_keep_id"),
-        F.when(F.col("batch") == batch, F.col("dd_repeats")).otherwise(0).alias("dd_repeats"),
+        F.when(own, F.col("keep_id")).otherwise(F.col("seen_id")).alias("dd_keep_id"),
+        F.when(own, F.col("dd_repeats")).otherwise(0).alias("dd_repeats"),
         "dd_group_size",
     )
     decided = written(decided, "dd-decided")
+    marked = docs.drop(*(c for c in docs.columns if c.startswith("dd_"))).withColumn("dd_digest", digest(F.col(text)))
     rows = marked.join(decided, "dd_digest").withColumn("dd_kept", (F.col("dd_repeats") > 0) & F.col(key).eqNullSafe(F.col("dd_keep_id")))
     if not decided.filter("dd_repeats > 1").isEmpty():
         repeated = F.col("dd_kept") & (F.col("dd_repeats") > 1)
-        numbered = written(rows.filter(repeated).withColumn("dd_row", F.monotonically_increasing_id()), "dd-repeated")
-        first = numbered.groupBy("dd_digest").agg(F.min("dd_row").alias("dd_row")).select("dd_row", F.lit(True).alias("dd_first"))
-        chosen = numbered.join(first, "dd_row", "left").withColumn("dd_kept", F.coalesce("dd_first", F.lit(False)))
-        rows = rows.filter(~repeated).unionByName(chosen.drop("dd_row", "dd_first"))
+        numbered = written(rows.filter(repeated).withColumn("dd_repeats", F.monotonically_increasing_id()), "dd-repeated")
+        first = numbered.groupBy("dd_digest").agg(F.min("dd_repeats").alias("dd_repeats")).select("dd_repeats", F.lit(True).alias("dd_first"))
+        chosen = numbered.join(first, "dd_repeats", "left").withColumn("dd_kept", F.coalesce("dd_first", F.lit(False)))
+        rows = rows.filter(~repeated).unionByName(chosen.drop("dd_first"))
     return rows.drop("dd_repeats")
 
 
@@ -111,6 +143,6 @@ def new_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
 
 
-def keep_first_of_each(docs: DataFrame, index: DigestIndex, text: str = "text", key: str = "doc_id") -> DataFrame:
+def keep_first_of_each(docs: DataFrame, index: DigestIndex, batch: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns only."""
-    return exact_dedup(docs, index, text, key).filter("dd_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return exact_dedup(docs, index, batch, text, key).filter("dd_kept").select(*(F.col(f"`{c}`") for c in docs.columns))

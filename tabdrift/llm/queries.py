@@ -19,7 +19,11 @@ URL_RULES = [
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.new_index(spark))
+    """Against an index that a run of the same batch, lost after its append, has left behind."""
+    docs, index = table(spark, sf_dir, "documents"), exact_dedup.new_index(spark)
+    index.add(exact_dedup.text_groups(docs), "documents")
+    marked = exact_dedup.exact_dedup(docs, index, "documents")
+    index.drop()  # the result reads what was decided, not the index
     return marked.select(
         "doc_id",
         F.col("dd_keep_id").alias("keep_id"),
@@ -64,6 +68,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
         F.sha2(F.array_join(F.col("sp_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("sp_decoded", 256).alias("decoded_sha256"),
         F.element_at("sp_ends", -1).cast("long").alias("n_bytes"),
+        F.xxhash64("sp_begins", "sp_ends").alias("spans_xxhash64"),
+        ((F.get("sp_begins", F.lit(0)) == 0) & (F.slice("sp_begins", 2, F.size("sp_begins")) == F.slice("sp_ends", 1, F.size("sp_ends") - 1))).alias("spans_tile"),
     )
 
 
