@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabdrift.llm.common import BLANK_RUN, BLANKS, small_side
+from tabdrift.llm.common import BLANKS, small_side, written
 
 #: Most sources that are broadcast to the rows; with more, the rows are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
-    """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
+    """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null.
+
+    Each word and the blanks after it become one character, so no array of words is built.
+    """
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, BLANK_RUN))).cast("long")
+    return F.length(F.regexp_replace(bare, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "w")).cast("long")
 
 
 def source_targets(sized: DataFrame, source: str, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -64,14 +67,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     A source's rate is target over size; each row has floor(rate) copies and one
     more when a draw seeded by its key falls below the fraction, so reruns and any
     partitioning agree and no row exceeds ceil(cap) copies. Null text has size 0;
-    null source is a source of its own; a row without key draws by its text.
-    Sources without words have target 0 and no copies. Empty tables give none.
+    null source is a source of its own; a row without key draws by its text. Rows that
+    repeat draw alike. Sources without words have target 0 and no copies. Empty tables give
+    none. Texts of any length are counted whole. Columns mx_* of the input are replaced;
+    other names may clash with nothing.
+
+    The texts are read twice: once for the targets, which are written, a row per
+    source, and once for the rows.
     """
-    sized = docs.withColumn("mx_size", word_count(F.col(text)))
+    sized = docs.drop("mx_source_size", "mx_target").withColumn("mx_size", word_count(F.col(text)))
     targets = source_targets(
         sized.select(F.col(source).alias("mx_source"), F.col("mx_size").alias("size")), "mx_source", weights, share, cap
     ).select("mx_source", F.col("source_size").alias("mx_source_size"), F.col("target").alias("mx_target"))
-    targets = small_side(targets, BROADCAST_SOURCES)
+    targets = small_side(written(targets, "mx-targets"), BROADCAST_SOURCES)
     rate = F.coalesce(F.try_divide("mx_target", "mx_source_size"), F.lit(0.0))
     draw = hash_unit(F.coalesce(F.col(key).cast("string"), F.col(text), F.lit("")), seed)
     copies = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
