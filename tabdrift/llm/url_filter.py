@@ -8,6 +8,7 @@ it links to. All of it is joins and sums over host edges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -43,99 +44,97 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """Struct name, verdict of the longest rule that fits; null if none does.
 
     A rule fits its host and all subdomains of it, if the path starts with the
-    rule's. Of equally long rules the first in text order is taken.
+    rule's. Of equally long rules the first in text order is taken, and block before allow.
     """
     found = F.lit(None).cast("struct<name:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: (-len(r.name), r.name), reverse=True):
+    for r in sorted(rules, key=lambda r: (-len(r.name), r.name, r.verdict != "block"), reverse=True):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         found = F.when(fits, F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))).otherwise(found)
     return found
 
 
-def host_edges(judged: DataFrame, site_links: bool = True, uncrawled: bool = False) -> DataFrame:
-    """Links between different hosts as (src, dst, n), from anchors with a host of their own.
+def host_edges(judged: DataFrame, site_links: bool = True) -> DataFrame:
+    """Links between different hosts as (src, dst, n).
 
-    With ``site_links`` each host is also linked, both ways, with the host one
-    label above it where that one occurs too, as parts of one site. With
-    ``uncrawled`` every linked host occurs, else only hosts that have pages.
+    They come from anchors with a host of their own, wherever that leads: a linked host
+    needs no page. A relative link stays on its page's host and so says nothing about
+    another. With ``site_links`` hosts of a site are joined as well: each host with the one a
+    label above it, both ways, up to two labels, whether or not that one has pages, so that
+    ``blog.x.com`` and ``m.x.com`` meet in ``x.com``. Hosts that end in a number (addresses)
+    have none above.
     """
-    hosts = judged.filter("uf_host != ''").select(F.col("uf_host").alias("host")).distinct()
     anchors = judged.filter("uf_host != ''").select(
         F.col("uf_host").alias("src"), F.explode(F.regexp_extract_all(F.col("uf_html"), F.lit(LINK), F.lit(1))).alias("dst")
     )
     edges = anchors.select("src", lower_ascii(F.col("dst")).alias("dst")).groupBy("src", "dst").agg(F.count("*").alias("n")).filter("src != dst")
-    if uncrawled:
-        edges = written(edges, "anchors")
-        hosts = hosts.unionByName(edges.select(F.col("dst").alias("host"))).distinct()
-    else:
-        edges = edges.join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst", "n")
-    if site_links:
-        up = hosts.select(
-            F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]*\.(.+)$", 1).alias("dst"), F.lit(1).cast("long").alias("n")
-        ).filter("dst != ''")
-        up = up.join(hosts.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst", "n")
-        edges = edges.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    return edges.groupBy("src", "dst").agg(F.sum("n").alias("n"))
-
-
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 4, tolerance: float = 1e-9) -> DataFrame:
+    if not site_links:
+        return edges
+    edges = written(edges, "anchors")
+    hosts = judged.filter("uf_host != ''").select(F.col("uf_host").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
+    labels = hosts.filter(~F.col("host").rlike(r"\.[0-9]+(:|$)")).select(F.split("host", r"\.").alias("l"))
+    site = lambda i: F.array_join(F.slice("l", i + 1, F.size("l")), ".")
+    steps = F.transform(F.sequence(F.lit(0), F.size("l") - 3), lambda i: F.struct(site(i).alias("src"), site(i + 1).alias("dst")))
+    up = labels.filter(F.size("l") > 2).select(F.explode(steps).alias("s")).select("s.src", "s.dst").distinct().withColumn("n", F.lit(1).cast("long"))
+    both = edges.unionByName(up).unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    return both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
+def rounds_for(residual: float, damping: float) -> int:
+    """After so many rounds at most ``residual`` of the seed mass is not where it ends up."""
+    return max(1, math.ceil(math.log(residual) / math.log(damping)))
+
+
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, residual: float = 1e-3, every: int = 8) -> DataFrame:
     """Trust along and distrust against ``edges``, by power iteration.
 
     ``hosts`` has host, trusted and blocked, the seed weights; each seed vector is
     scaled to sum 1. In a round a host keeps (1 - damping) of its seed and receives
     damping times what its neighbours pass on in proportion to link counts. Hosts
-    without links pass nothing on. Ranks are written out every few rounds, which
-    bounds the plan; the rounds end early when no rank moves by more than
-    ``tolerance``. Returns host, trust, distrust.
+    without links pass nothing on. A round shrinks what is missing by ``damping`` at
+    least, so the number of rounds follows from ``residual``, the sum of differences from
+    the final ranks that may be left, and not from the graph. A round is one join of the
+    links with the ranks and one sum per host. Ranks are written out every few rounds,
+    which bounds the plan. Returns host, trust, distrust.
     """
     total = hosts.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
-    scale = lambda c, s: F.col(c) / F.lit(float(s)) if s else F.lit(0.0)
-    seeds = written(hosts.select("host", scale("trusted", total["t"]).alias("st"), scale("blocked", total["b"]).alias("sb")), "hosts")
-    rest = 1.0 - damping
-    ranks = seeds.select("host", (F.col("st") * rest).alias("trust"), (F.col("sb") * rest).alias("distrust"))
+    share = lambda c, s: (F.col(c) / F.lit(float(s)) * (1.0 - damping)) if s else F.lit(0.0)
+    seeds = written(hosts.select("host", share("trusted", total["t"]).alias("trust"), share("blocked", total["b"]).alias("distrust")), "hosts")
     if edges.isEmpty():
-        return ranks
+        return seeds
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
-    flows = edges.join(out, "src").join(into, "dst").select(
-        "src", "dst", (F.col("n") / F.col("out") * damping).alias("down"), (F.col("n") / F.col("into") * damping).alias("up")
+    shares = edges.join(out, "src").join(into, "dst")
+    down, up, none = F.col("n") / F.col("out") * damping, F.col("n") / F.col("into") * damping, F.lit(0.0)
+    flows = shares.select(F.col("src").alias("giver"), F.col("dst").alias("taker"), down.alias("t"), none.alias("d")).unionByName(
+        shares.select(F.col("dst").alias("giver"), F.col("src").alias("taker"), none.alias("t"), up.alias("d"))
     )
-    flows = written(flows, "flows")
+    flows = written(flows.groupBy("giver", "taker").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "flows")
+    ranks, rounds = seeds, rounds_for(residual, damping)
     for i in range(1, rounds + 1):
-        before = ranks
-        along = flows.join(ranks, flows["src"] == ranks["host"]).select(
-            flows["dst"].alias("host"), (F.col("trust") * F.col("down")).alias("t"), F.lit(0.0).alias("d")
-        )
-        against = flows.join(ranks, flows["dst"] == ranks["host"]).select(
-            flows["src"].alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("up")).alias("d")
-        )
-        received = along.unionByName(against).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        ranks = seeds.join(received, "host", "left").select(
-            "host",
-            (F.col("st") * rest + F.coalesce("t", F.lit(0.0))).alias("trust"),
-            (F.col("sb") * rest + F.coalesce("d", F.lit(0.0))).alias("distrust"),
+        passed = flows.join(ranks, flows["giver"] == ranks["host"]).select(
+            F.col("taker").alias("host"), (F.col("trust") * F.col("t")).alias("trust"), (F.col("distrust") * F.col("d")).alias("distrust")
         )
-        if i % every == 0 or i == rounds:
-            if i < rounds:
-                ranks = written(ranks, "ranks")
-            moved = ranks.alias("a").join(before.alias("b"), "host").agg(
-                F.max(F.greatest(F.abs(F.col("a.trust") - F.col("b.trust")), F.abs(F.col("a.distrust") - F.col("b.distrust")))).alias("m")
-            )
-            if i < rounds and (moved.first()["m"] or 0.0) <= tolerance:
-                break
+        ranks = passed.unionByName(seeds).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        if i % every == 0 and i < rounds:
+            ranks = written(ranks, "ranks")
     return ranks
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], margin: float = 0.5, url: str = "url", html: str = "html", **how) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: Sequence[Rule], margin: float = 0.5, site_links: bool = True, url: str = "url", html: str = "html", **how
+) -> DataFrame:
     """Add uf_host, uf_path, uf_rule and uf_verdict to every page.
 
     A host's seed weights are the shares of its pages that rules allow and block; a
-    host that is linked but has no page counts as a page at its root path. All these
-    hosts carry trust and distrust. Ranks are scaled so that a host holds 1 on average;
-    a host is blocked when its distrust exceeds its trust by more than ``margin``. Null urls and urls without
-    ``://`` have empty host and path, match only by that and are allowed; null html
-    has no links. Repeated pages count as often as they occur. An empty table gives
-    an empty result.
+    host that is linked, or above another, but has no page counts as a page at its root
+    path. All these hosts carry trust and distrust. Ranks are scaled so that a host holds 1 on
+    average; a host is blocked when its distrust exceeds its trust by more than ``margin``.
+
+    Null urls and urls without ``://`` have empty host and path, match only by that and are
+    allowed; null html has no links. Repeated pages count as often as they occur. Of
+    rules of equal length the first in text order holds. Urls and pages of any length are
+    read whole. Columns uf_* of the input are replaced or dropped; other names may clash
+    with nothing. An empty table gives an empty result.
     """
     judged = pages.withColumn("uf_host", host_of(F.col(url))).withColumn("uf_path", path_of(F.col(url)))
     judged = judged.withColumn("uf_found", rule_for(F.col("uf_host"), F.col("uf_path"), rules)).withColumn("uf_html", F.col(html))
@@ -147,7 +146,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], margin: float = 0.5, url
         ),
         "host-seeds",
     )
-    edges = written(host_edges(judged, how.pop("site_links", True), uncrawled=True), "edges")
+    edges = written(host_edges(judged, site_links), "edges")
     linked = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
     linked = linked.join(hosts, "host", "left_anti").withColumn("root", rule_for(F.col("host"), F.lit("/"), rules)["verdict"])
     hosts = hosts.unionByName(linked.select(
