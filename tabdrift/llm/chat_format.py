@@ -13,8 +13,9 @@ def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     """One row per conversation: conv and ``turns``, an array of (role, text) in turn order.
 
     Null roles and texts become empty. Turns with equal numbers stand in order of
-    role and text; a null number comes first. A conversation is one record of the
-    output, so its turns meet in one task by design.
+    role and text, and repeated turns stay repeated; a null number comes first. Other
+    columns are dropped. An empty table gives no conversation. A conversation is one
+    record of the output, so its turns meet in one task by design.
     """
     body = F.struct(
         F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
@@ -48,15 +49,16 @@ def loss_spans(turns: Column, trained_role: str) -> Column:
     before them and all other turns are masked.
     """
     head, mid, tail = TEMPLATE
-    before = lambda x: F.lit(len(head) + len(mid)) + F.length(x["role"])
-    length = lambda x: before(x) + F.length(x["text"]) + F.lit(len(tail))
-    start = lambda i: F.aggregate(F.slice(turns, 1, i), F.lit(0), lambda n, y: n + length(y))
-    spans = F.transform(
-        turns,
-        lambda x, i: F.struct((start(i) + before(x)).alias("start"), (start(i) + length(x)).alias("end"), (x["role"] == trained_role).alias("on")),
-    )
-    kept = F.filter(spans, lambda s: s["on"])
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    body = lambda x: F.length(x["text"]) + F.lit(len(tail))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def step(done: Column, x: Column) -> Column:
+        begin = done["at"] + F.lit(len(head) + len(mid)) + F.length(x["role"])
+        end = begin + body(x)
+        one = F.array(F.struct(begin.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["role"] == trained_role, F.concat(done["spans"], one)).otherwise(done["spans"]).alias("spans"))
+
+    return F.aggregate(turns, start, step)["spans"]
 
 
 def format_preferences(pairs: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -65,7 +67,9 @@ def format_preferences(pairs: DataFrame, trained_role: str = "assistant") -> Dat
     Adds n_prefix, the length of the longest common turn prefix; prompt, that prefix
     rendered once; chosen and rejected, the rest of either conversation; and
     chosen_spans and rejected_spans, where each completion carries loss. The prompt
-    is masked whole. Equal conversations give a full prompt and empty completions.
+    is masked whole. Equal conversations give a full prompt and empty completions, and
+    arrays without turns empty texts. A conversation of any length is one row. Repeated rows
+    give repeated results. Input columns of the names added are replaced.
     """
     chosen, rejected = F.col("chosen_turns"), F.col("rejected_turns")
     split = pairs.withColumn("n_prefix", common_prefix(chosen, rejected))

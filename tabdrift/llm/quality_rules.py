@@ -18,7 +18,7 @@ from tabdrift.llm.common import BLANK_RUN, small_side, words
 
 SYMBOLS = "#*$%&|<>"
 #: Most trusted ids that are broadcast to the texts; with more, the texts are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -111,8 +111,10 @@ def judge_quality(docs: DataFrame, trusted: DataFrame, spec: RatioSpec = RatioSp
     their number, 0 for a text without words. A document fails the base rules with
     fewer than ``min_words`` words or more than ``max_repeated_percent`` per cent of
     them in repeated windows; it is kept if it does not and its ratio is at least
-    ``least``. Without trusted documents all ratios are 0.
-    Null text counts as empty; repeated rows are judged alike.
+    ``least``, ties at the bound included. Without trusted documents all ratios are 0.
+    Null text counts as empty; repeated rows are judged alike; texts of any length are read
+    whole; an empty table gives an empty result. Columns qr_* of the input are replaced or
+    dropped; other names may clash with nothing.
     """
     ratios = F.from_json(F.lit(str(log_ratios(docs, trusted, spec, text, key))), "array<double>")
     judged = word_statistics(docs, text)
