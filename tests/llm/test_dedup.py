@@ -18,7 +18,7 @@ def stored(spark, tmp_path, rows, schema="doc_id long, text string"):
 
 def test_exact_marks(spark, tmp_path):
     rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (5, "b"), (None, "a"), (None, "n")]
-    got = ed.exact_dedup(stored(spark, tmp_path, rows), ed.new_index(spark)).collect()
+    got = ed.exact_dedup(stored(spark, tmp_path, rows), ed.new_index(spark), "one").collect()
     assert len(got) == len(rows)
     by = lambda t: [(r["doc_id"], r["dd_keep_id"], r["dd_group_size"], r["dd_kept"]) for r in got if (r["text"] or "") == t]
     assert sorted(by("a"), key=str) == [(1, 2, 3, False), (2, 2, 3, True), (None, 2, 3, False)]
@@ -29,9 +29,9 @@ def test_exact_marks(spark, tmp_path):
 
 def test_index_remembers_batches(spark, tmp_path):
     index = ed.new_index(spark)
-    first = ed.keep_first_of_each(stored(spark, tmp_path, [(1, "a"), (2, "b")]), index)
+    first = ed.keep_first_of_each(stored(spark, tmp_path, [(1, "a"), (2, "b")]), index, "one")
     assert first.count() == 2
-    second = ed.exact_dedup(stored(spark, tmp_path, [(7, "a"), (8, "c"), (9, "c")]), index)
+    second = ed.exact_dedup(stored(spark, tmp_path, [(7, "a"), (8, "c"), (9, "c")]), index, "two")
     assert sorted((r["doc_id"], r["dd_keep_id"], r["dd_kept"]) for r in second.collect()) == [(7, 1, False), (8, 9, False), (9, 9, True)]
     assert index.read().count() == 3
     again = ed.DigestIndex(spark, index.name)
@@ -39,10 +39,45 @@ def test_index_remembers_batches(spark, tmp_path):
     index.drop()
 
 
+def test_a_batch_that_runs_again_decides_alike(spark, tmp_path):
+    index = ed.new_index(spark)
+    docs = stored(spark, tmp_path, [(1, "a"), (2, "a"), (3, None), (3, None), (4, "z" * 300_000)])
+    ed.exact_dedup(stored(spark, tmp_path, [(9, "z" * 300_000)]), index, "earlier")
+    index.add(ed.text_groups(docs).filter("dd_group_size > 1"), "one")  # a run that was lost half way
+    runs = [sorted(map(str, ed.exact_dedup(docs, index, "one").collect())) for _ in range(3)]
+    assert runs[0] == runs[1] == runs[2]
+    kept = sorted(tuple(r) for r in ed.keep_first_of_each(docs, index, "one").collect())
+    assert kept == [(2, "a"), (3, None)]
+    assert ed.keep_first_of_each(docs, index, "other").count() == 0
+    assert index.read().count() == 3
+    index.drop()
+
+
+def test_compaction_keeps_rows_and_leaves_a_file_a_bucket(spark, tmp_path):
+    index = ed.new_index(spark)
+    for n in range(3):
+        ed.exact_dedup(stored(spark, tmp_path, [(i, f"{n}-{i}") for i in range(40)]), index, str(n))
+    before = sorted(map(str, index.read().collect()))
+    files = lambda: len(index.read().inputFiles())
+    assert files() > index.buckets
+    index.compact()
+    assert files() <= index.buckets and sorted(map(str, index.read().collect())) == before
+    spark.sql(f"ALTER TABLE {index.name} RENAME TO {index.spare}")  # as if lost before the last step
+    again = ed.DigestIndex(spark, index.name)
+    assert sorted(map(str, again.read().collect())) == before and again.buckets == index.buckets
+    again.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
 def test_exact_on_empty_and_clashing_columns(spark, tmp_path):
-    assert ed.exact_dedup(stored(spark, tmp_path, []), ed.new_index(spark)).count() == 0
-    odd = stored(spark, tmp_path, [(1, "a", 5, 6, "z"), (2, "a", 5, 6, "z")], "doc_id long, text string, digest int, keep_id int, batch string")
-    kept = ed.keep_first_of_each(odd, ed.new_index(spark))
+    assert ed.exact_dedup(stored(spark, tmp_path, []), ed.new_index(spark), "one").count() == 0
+    names = "doc_id long, text string, digest int, keep_id int, batch string, dd_digest int, dd_keep_id int, dd_repeats int, dd_group_size int"
+    row = (5, 6, "z", 1, 2, 3, 4)
+    odd = stored(spark, tmp_path, [(1, "a", *row), (2, "a", *row)], names)
+    marked = ed.exact_dedup(odd, ed.new_index(spark), "one").filter("dd_kept").first()
+    assert (marked["doc_id"], marked["dd_keep_id"], marked["dd_group_size"], marked["keep_id"]) == (2, 2, 2, 6)
+    odd = odd.select("doc_id", "text", "digest", "keep_id", "batch")
+    kept = ed.keep_first_of_each(odd, ed.new_index(spark), "one")
     assert kept.columns == odd.columns and [tuple(r) for r in kept.collect()] == [(2, "a", 5, 6, "z")]
 
 
@@ -67,7 +102,7 @@ def test_exact_when_splits_move_between_scans(spark, tmp_path, monkeypatch):
             spark.conf.set("spark.sql.files.maxPartitionBytes", wide)
             spark.conf.set("spark.sql.files.minPartitionNum", 1)
             left[0] = n
-            got = ed.keep_first_of_each(spark.read.schema("doc_id long, text string").parquet(path), ed.new_index(spark)).collect()
+            got = ed.keep_first_of_each(spark.read.schema("doc_id long, text string").parquet(path), ed.new_index(spark), "one").collect()
             want = [(max(j for j in range(100) if j % 60 == i), f"t{i}") for i in range(60)] + [(500, "r"), (None, "n")]
             assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     finally:
