@@ -18,9 +18,9 @@ EVALUATE_FORMATS = {
 EVOLVE_FORMATS = EVALUATE_FORMATS | {"M/d/yyyy H:m": "%m/%d/%Y %H:%M", "d/M/yyyy H:m": "%d/%m/%Y %H:%M"}
 
 
-def parsed(text: Column, pattern: str) -> Column:
-    """The timestamp a text stands for under a pattern, else null."""
-    return F.try_to_timestamp(text.cast("string"), F.lit(pattern))
+def parsed(text: Column, pattern: str | None) -> Column:
+    """The timestamp a text stands for under a pattern, or in the ISO order without one, else null."""
+    return F.try_to_timestamp(text.cast("string"), F.lit(pattern)) if pattern else F.try_to_timestamp(text.cast("string"))
 
 
 def pick_format(shares: dict[str, Column], least: float = 0.8) -> Column:

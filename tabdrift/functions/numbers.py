@@ -10,12 +10,16 @@ NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def two_digits(x: Column) -> Column:
-    """``x`` to two digits, halves up on the binary value."""
-    return F.floor(x * 100 + 0.5).cast("double") / 100
+    """``x`` to two digits, halves up.
+
+    It is rounded to nine digits first, so that a half stays one in whatever order the
+    numbers behind it were summed.
+    """
+    return F.floor(F.round(x.cast("double"), 9) * 100 + 0.5).cast("double") / 100
 
 
 def two_digits_sql(x: str) -> str:
-    return f"CAST(floor(({x}) * 100 + 0.5) AS DOUBLE) / 100"
+    return f"CAST(floor(round(CAST({x} AS DOUBLE), 9) * 100 + 0.5) AS DOUBLE) / 100"
 
 
 def number(c: Column) -> Column:

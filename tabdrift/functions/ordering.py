@@ -1,66 +1,81 @@
-"""Running sums and row numbers that no single task has to see whole."""
+"""Running sums, ranks and percentiles that no single task has to see whole."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the values of one group are cut into.
-RANGES = 1024
+from tabdrift.functions.stored import written
+
+#: Ranges that the values of one group are cut into, and values that texts are cut by are chosen from.
+RANGES, SAMPLED = 64, 1024
+
+
+def _range_of(value: Column, cuts: Column) -> Column:
+    """How many of ``cuts`` lie below ``value``; equal values share a range."""
+    return F.coalesce(F.size(F.filter(cuts, lambda c: c < value)), F.lit(0))
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """Replace each column of ``sums`` by its running sum over rising ``value`` within ``keys``.
 
-    ``value`` is a number and occurs once per group. The span of a group's values is
-    cut into equal ranges; sums run inside a range and start from the total of the
-    ranges below, so even a single huge group is spread over tasks.
+    ``value`` is a number and occurs once per group; ``df`` is best a stored table, as it is
+    read three times. The values of a group are cut into ranges at approximate
+    quantiles; sums run inside a range and start from the total of the ranges below. So
+    a single huge group is spread over tasks, however its values are spread.
     """
-    span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    part = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * RANGES
-    ranged = _joined(df, span, keys).withColumn("_range", F.least(F.floor(part), F.lit(RANGES - 1)))
+    parts = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), parts, 1000).alias("_cuts"))
+    ranged = joined(df, cuts, keys).withColumn("_range", _range_of(F.col(value).cast("double"), F.col("_cuts")))
     below = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*keys, "_range").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
     offsets = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_t_{s}").over(below), F.lit(0)).alias(f"_o_{s}") for s in sums))
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _joined(ranged, offsets, [*keys, "_range"])
-    return joined.withColumns({s: F.sum(s).over(inside) + F.col(f"_o_{s}") for s in sums}).drop("_lo", "_hi", "_range", *(f"_o_{s}" for s in sums))
+    placed = joined(ranged, offsets, [*keys, "_range"])
+    return placed.withColumns({s: F.sum(s).over(inside) + F.col(f"_o_{s}") for s in sums}).drop("_cuts", "_range", *(f"_o_{s}" for s in sums))
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Left rows with the right columns of the same keys, null keys matching null keys."""
     other = right.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in right.columns if c not in keys))
     same = F.lit(True)
     for k in keys:
-        same = same & left[k].eqNullSafe(other[f"_k_{k}"])
-    return left.join(other, same).drop(*(f"_k_{k}" for k in keys))
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(other, same, how).drop(*(f"_k_{k}" for k in keys))
 
 
-def row_numbers(df: DataFrame, order: Sequence[Column], name: str, buckets: int = 256) -> DataFrame:
-    """Add ``name``, 0 to n - 1 in the order of ``order``'s hashed buckets and then of ``order``.
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Mapping[str, float]) -> DataFrame:
+    """Exact percentiles of the non-null values of each group, between neighbours in proportion.
 
-    Rows are dealt to buckets by a hash of ``order``; each bucket is numbered by itself
-    from the count of rows in the buckets before it. The numbers depend on the rows
-    alone, not on how they are partitioned; rows that agree in all of ``order`` take
-    theirs in any order.
+    Values are counted, the counts run up (``running_sums``), and the two values
+    around each place are picked, so no task holds all values of a group.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return dealt.join(offsets, "_bucket").withColumn(name, (F.col("_o") + place - 1).cast("long")).drop("_bucket", "_o")
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_upto")), "counts")
+    sizes = counts.groupBy(*keys).agg(F.sum("_upto").alias("_n"))
+    both = joined(running_sums(counts, keys, "_v", ["_upto"]), sizes, keys)
+    low = {n: F.floor((F.col("_n") - 1) * F.lit(p)) for n, p in at.items()}
+    rest = {n: (F.col("_n") - 1) * F.lit(p) - low[n] for n, p in at.items()}
+    picked = both.groupBy(*keys, "_n").agg(
+        *(F.min(F.when(F.col("_upto") > low[n] + k, F.col("_v"))).alias(f"_{k}_{n}") for n in at for k in (0, 1)),
+    )
+    value_of = lambda n: F.col(f"_0_{n}") + F.when(rest[n] > 0, rest[n] * (F.col(f"_1_{n}") - F.col(f"_0_{n}"))).otherwise(0.0)
+    return picked.select(*keys, *(value_of(n).alias(n) for n in at))
 
 
 def text_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """The distinct non-null values of a text column with ``name``, their place in sorted order from 0.
 
-    Values are dealt by their first two bytes, which keeps their order; places run inside
-    a range and start from the count of the ranges below, at most 65,536 of them.
+    Values are cut into ranges at values of a sample, those of the smallest hashes, so that
+    shared beginnings do no harm; places run inside a range and start from the count of the
+    ranges below. The sample is all that the driver sees.
     """
-    values = df.filter(F.col(column).isNotNull()).select(column).distinct().withColumn("_head", F.substring(F.hex(F.encode(column, "utf-8")), 1, 4))
-    below = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = values.groupBy("_head").agg(F.count("*").alias("_n")).select("_head", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_o"))
-    place = F.row_number().over(Window.partitionBy("_head").orderBy(column))
-    return values.join(offsets, "_head").select(column, (F.col("_o") + place - 1).cast("int").alias(name))
+    values = written(df.filter(F.col(column).isNotNull()).select(column).distinct(), "values")
+    sample = values.orderBy(F.xxhash64(column), column).limit(SAMPLED).orderBy(column).collect()
+    cuts = [sample[i * len(sample) // RANGES][0] for i in range(1, RANGES)] if len(sample) >= RANGES else []
+    ranged = values.withColumn("_range", _range_of(F.col(column), F.array(*map(F.lit, cuts))) if cuts else F.lit(0))
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranged.join(offsets, "_range").select(column, (F.col("_o") + place - 1).cast("int").alias(name))

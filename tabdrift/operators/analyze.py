@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabdrift.functions.numbers import number, two_digits
+from tabdrift.functions.ordering import joined, percentiles
 
 GROUP = ["variant", "align_mode"]
 
@@ -155,14 +156,15 @@ METRICS = ["nrmse", "ks", "spearman", "agreement", "jsd"]
 
 def drift_summary(log: DataFrame) -> DataFrame:
     """Median, 90th percentile and mean of each metric over successes, to two digits, nulls left out."""
-    aggs = []
-    for m in METRICS:
-        aggs += [
-            two_digits(F.percentile(m, F.lit(0.5))).alias(f"{m}_median"),
-            two_digits(F.percentile(m, F.lit(0.9))).alias(f"{m}_p90"),
-            two_digits(F.avg(m)).alias(f"{m}_mean"),
-        ]
-    return log.filter("status = 'success'").groupBy(*GROUP).agg(*aggs).orderBy(*GROUP)
+    good = log.filter("status = 'success'")
+    means = good.groupBy(*GROUP).agg(*(two_digits(F.avg(m)).alias(f"{m}_mean") for m in METRICS))
+    long = good.select(*GROUP, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in METRICS))).alias("s"))
+    ranked = percentiles(long.select(*GROUP, "s.*"), [*GROUP, "metric"], "x", {"median": 0.5, "p90": 0.9})
+    wide = ranked.groupBy(*GROUP).agg(
+        *(two_digits(F.max(F.when(F.col("metric") == m, F.col(p)))).alias(f"{m}_{p}") for m in METRICS for p in ("median", "p90"))
+    )
+    out = joined(means, wide, GROUP, "left")
+    return out.select(*GROUP, *(f"{m}_{p}" for m in METRICS for p in ("median", "p90", "mean"))).orderBy(*GROUP)
 
 
 def silent_summary(log: DataFrame) -> DataFrame:
@@ -180,9 +182,8 @@ def silent_summary(log: DataFrame) -> DataFrame:
 def metric_spread(log: DataFrame, metric: str) -> DataFrame:
     """Quartiles of a metric over successes and the extreme values within 1.5 ranges of them."""
     rows = log.filter(f"status = 'success' AND `{metric}` IS NOT NULL").select(*GROUP, F.col(metric).alias("x"))
-    quart = rows.groupBy(*GROUP).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    quart = quart.select(*(F.col(g).alias(f"_{g}") for g in GROUP), *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
-    both = rows.join(quart, rows["variant"].eqNullSafe(quart["_variant"]) & rows["align_mode"].eqNullSafe(quart["_align_mode"]))
+    quart = percentiles(rows, GROUP, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    both = joined(rows, quart, GROUP)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.when((F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach), F.col("x"))
     return both.groupBy(*GROUP, "q1", "median", "q3").agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))

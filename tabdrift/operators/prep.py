@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabdrift.functions.dates import EVALUATE_FORMATS, parsed
 from tabdrift.functions.numbers import number
-from tabdrift.functions.ordering import text_ranks
+from tabdrift.functions.ordering import percentiles, text_ranks
 from tabdrift.operators.profile import date_formats, first_values
 
 KINDS = ["boolean_class", "integer_class", "regression", "text_class"]
@@ -106,16 +106,30 @@ def align_report(train: DataFrame, test: DataFrame, by: Sequence[str] = ("task_i
     )
 
 
+def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+    """The cells of ``columns`` as rows (column, value)."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(kind).alias("value")) for c in columns))
+    return df.select(F.explode(cells).alias("s")).select("s.*").filter("value IS NOT NULL")
+
+
+def medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """The exact median of each number column, one row per column for the driver."""
+    found = percentiles(_long(train, columns, "double"), ["column"], "value", {"median": 0.5})
+    return dict.fromkeys(columns) | {r["column"]: r["median"] for r in found.collect()}
+
+
 def impute_median(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls of number columns by the exact training median, one row of figures."""
-    medians = train.agg(*(F.median(c).alias(c) for c in columns)).first()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]).cast("double")) for c in columns})
+    """Nulls of number columns by the exact training median; without training values they stay."""
+    known = medians(train, columns)
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(known[c]).cast("double")) for c in columns})
 
 
 def impute_mode(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls of text columns by the most frequent training value, the smallest on ties."""
-    modes = {c: train.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).agg(F.min_by(F.col(c), F.struct(-F.col("n"), F.col(c)))).first()[0] for c in columns}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(modes[c])) for c in columns})
+    """Nulls of text columns by the most frequent training value, the smallest on ties; one job for all columns."""
+    counts = _long(train, columns, "string").groupBy("column", "value").agg(F.count("*").alias("n"))
+    found = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
+    known = dict.fromkeys(columns) | {r["column"]: r["mode"] for r in found.collect()}
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(known[c])) for c in columns})
 
 
 def one_hot(train: DataFrame, df: DataFrame, column: str, key: str) -> DataFrame:

@@ -98,3 +98,18 @@ def dr_record(spark, sf_dir):
     out = drift.regression_record(bound(spark, sf_dir, REGRESSION), KEYS)
     places = {"base_pred_std": 4, "base_pred_mean": 4, "rmse": 4, "ks": 8, "spearman": 6}
     return out.withColumns({c: F.round(c, d) for c, d in places.items()})
+
+
+@query(
+    "dr_record_class",
+    f"""WITH {JSD_ROWS},
+h AS (SELECT {K}, avg(-(CASE WHEN b1 > 0 THEN b1 * ln(b1) ELSE 0 END + CASE WHEN b2 > 0 THEN b2 * ln(b2) ELSE 0 END + CASE WHEN b3 > 0 THEN b3 * ln(b3) ELSE 0 END)) AS entropy,
+      avg(greatest(b1, b2, b3)) AS most FROM p GROUP BY {K}),
+c AS (SELECT {K}, count(*) AS n, avg(CASE WHEN base = evo THEN 1 ELSE 0 END) AS agreement, avg(jsd) AS jsd FROM j GROUP BY {K})
+SELECT {K}, n, round(entropy, 6) AS base_pred_entropy_mean, round(most, 6) AS base_pred_maxprob_mean, round(agreement, 6) AS agreement, round(jsd, 8) AS jsd,
+       'classification' AS task_type, ({_TWO("jsd")}) > 0.05 OR ({_TWO("agreement")}) < 0.95 AS silent_failure_candidate FROM c JOIN h USING ({K})""",
+)
+def dr_record_class(spark, sf_dir):
+    out = drift.classification_record(_classes(spark, sf_dir), KEYS)
+    places = {"base_pred_entropy_mean": 6, "base_pred_maxprob_mean": 6, "agreement": 6, "jsd": 8}
+    return out.withColumns({c: F.round(c, d) for c, d in places.items()})
