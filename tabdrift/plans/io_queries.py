@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabdrift.functions.stored import scratch_path
+from tabdrift.operators import evolve
 from tabdrift.plans.bindings import bound, plain
 from tabdrift.plans.registry import query
 from tabdrift.sources import tables
 
 
-def _scratch(spark, name: str) -> str:
-    """A new folder under the one all executors share; a session on this machine alone may take a temporary one."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tabdrift-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("io_read_csv", f"SELECT orderkey, custkey, orderstatus, totalprice, orderdate, orderpriority FROM ({plain('orders')})")
 def io_read_csv(spark, sf_dir):
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     orders = bound(spark, sf_dir, plain("orders")).withColumn("orderdate", F.date_format("orderdate", "yyyy-MM-dd HH:mm:ss"))
     orders.select(F.col("orderkey").alias("Unnamed: 0"), "*").write.option("header", True).csv(path)
     out = tables.read_csv(spark, path)
     return out.withColumns({"orderkey": F.col("orderkey").cast("bigint"), "custkey": F.col("custkey").cast("bigint"), "orderdate": F.col("orderdate").cast("timestamp_ntz")})
 
 
+@query("io_read_sample", f"SELECT * FROM ({plain('customer')}) ORDER BY custkey LIMIT 500")
+def io_read_sample(spark, sf_dir):
+    """The first rows of a CSV table, as a plan looks at them."""
+    path = scratch_path(spark, "csv")
+    bound(spark, sf_dir, plain("customer")).orderBy("custkey").write.option("header", True).csv(path)
+    schema = "custkey bigint, name string, nationkey bigint, acctbal double, mktsegment string"
+    return tables.read_csv(spark, path, T.StructType.fromDDL(schema), rows=500)
+
+
+@query(
+    "io_write_variant",
+    f"""SELECT partkey, name, brand AS brand__renamed, type, size, retailprice, 'rename' AS variant, 'task_7' AS task_id, 'training' AS role, 3 AS table_idx FROM ({plain("part")})""",
+)
+def io_write_variant(spark, sf_dir):
+    """What is read back of a variant that was written: its evolved table, under the folders that name it."""
+    path = scratch_path(spark, "variants")
+    part = bound(spark, sf_dir, plain("part"))
+    plan = spark.createDataFrame([("task_7", "brand")], "task_id string, rename_col string")
+    tables.write_task(path, "rename", "task_7", {"training": {3: evolve.rename_column(part, "brand")}}, plan)
+    return spark.read.option("basePath", path).parquet(f"{path}/variant=rename")
+
+
 HEADER = ["id", "status", "priority", "note"]
 RAGGED = """SELECT o_orderkey AS k, CASE o_orderkey % 10 WHEN 0 THEN concat(o_orderkey, ',', o_orderstatus)
 WHEN 1 THEN concat(o_orderkey, ',', o_orderstatus, ',', o_orderpriority, ',a,b,c') WHEN 2 THEN concat(o_orderkey, ',"', o_orderstatus, ',x",', o_orderpriority, ',')

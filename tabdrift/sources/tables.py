@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,16 +15,32 @@ from tabdrift.operators.profile import drop_blank_columns
 HEAD_BYTES = 5_000_000
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """A table with a header; types are inferred unless given, blank index columns are dropped."""
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None, rows: int | None = None) -> DataFrame:
+    """A table with a header; types are inferred from all rows unless given, blank index columns are dropped.
+
+    With ``rows`` only the first rows in the order of the files, for samples; no task or
+    driver holds more than those.
+    """
     reader = spark.read.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").option("enforceSchema", False)
-    return drop_blank_columns(reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path))
+    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    if rows is not None:
+        place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        placed = df.select("*", F.struct(*(p.alias(f"p{i}") for i, p in enumerate(place))).alias("_place"))
+        df = placed.orderBy("_place").limit(rows).drop("_place")
+    return drop_blank_columns(df)
 
 
 def csv_cells(line: Column) -> Column:
-    """The cells of a CSV line; commas inside double quotes do not cut, doubled quotes are one."""
-    raw = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    bare = lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), '""', '"')).otherwise(c)
+    """The cells of a CSV line; commas inside double quotes do not cut, doubled quotes are one.
+
+    The text between quotes is every other piece of a cut at quotes, so one pass over
+    the line tells which commas cut, however long it is.
+    """
+    mark = "\x01,\x02"
+    pieces = F.transform(F.split(line, '"'), lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(","), F.lit(mark))).otherwise(p))
+    raw = F.split(F.array_join(pieces, '"'), mark)
+    quoted = lambda c: (F.length(c) > 1) & c.startswith('"') & c.endswith('"')
+    bare = lambda c: F.when(quoted(c), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
     return F.transform(raw, bare)
 
 
@@ -81,6 +98,11 @@ def fingerprints(files: DataFrame, path: str = "path", content: str = "content")
     return files.select(F.col(path).alias("path"), F.octet_length(raw).cast("long").alias("size"), F.sha1(F.substring(raw, 1, HEAD_BYTES)).alias("sha1_head"))
 
 
+def file_fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``fingerprints`` of files."""
+    return fingerprints(spark.read.format("binaryFile").load(list(paths)))
+
+
 def parse_run_log(lines: DataFrame, schema: str, value: str = "value") -> DataFrame:
     """Records of a JSONL log; blank and broken lines are left out, missing fields are null."""
     kept = lines.filter(F.trim(value) != "")
@@ -88,9 +110,24 @@ def parse_run_log(lines: DataFrame, schema: str, value: str = "value") -> DataFr
     return kept.select(parsed.alias("r")).select("r.*").filter("_broken IS NULL").drop("_broken")
 
 
+def matching_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files that paths and patterns name, each once, in order; names that match none are passed over."""
+    found: set[str] = set()
+    for p in dict.fromkeys(paths):
+        try:
+            found |= {r["path"] for r in spark.read.format("binaryFile").load(p).select("path").collect()}
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return sorted(found)
+
+
 def read_run_logs(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
-    """All records of JSONL files named by paths and patterns, each file once."""
-    return parse_run_log(spark.read.text(sorted(set(paths))), schema)
+    """All records of JSONL files named by paths and patterns, each file once however often it is named."""
+    files = matching_files(spark, paths)
+    if not files:
+        raise FileNotFoundError(f"no log file matches {list(paths)}")
+    return parse_run_log(spark.read.text(files), schema)
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -116,5 +153,21 @@ def write_variant(tables: Mapping[int, DataFrame], path: str, variant: str, task
         df.write.mode("overwrite").parquet(f"{path}/variant={variant}/task_id={task_id}/role={role}/table_idx={i}")
 
 
+def copy_files(spark: SparkSession, paths: Sequence[str], path: str, variant: str, task_id: str) -> None:
+    """Keep files byte for byte, as rows (name, length, content): all of a baseline, and the target of any variant."""
+    files = spark.read.format("binaryFile").load(list(paths))
+    rows = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "content")
+    rows.write.mode("overwrite").parquet(f"{path}/files/variant={variant}/task_id={task_id}")
+
+
+def write_task(path: str, variant: str, task_id: str, tables: Mapping[str, Mapping[int, DataFrame]], plan: DataFrame | None = None, log: DataFrame | None = None) -> None:
+    """Write what a variant makes of a task: its tables by role, and plan and log as JSON lines."""
+    for role, numbered in tables.items():
+        write_variant(numbered, path, variant, task_id, role)
+    for name, df in (("manifest", plan), ("evo_log", log)):
+        if df is not None:
+            df.write.mode("overwrite").json(f"{path}/{name}/variant={variant}/task_id={task_id}")
+
+
 def write_run_log(log: DataFrame, path: str, resume: bool = False) -> None:
     log.write.mode("append" if resume else "overwrite").json(path)
