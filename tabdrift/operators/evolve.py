@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from tabdrift.functions.dates import parsed
 from tabdrift.functions.numbers import number
 from tabdrift.functions.ordering import running_sums
+from tabdrift.functions.stored import written
+from tabdrift.operators.profile import first_values, numeric_like
 from tabdrift.operators.relate import is_bad_name, join_keys, numeric_columns
 
 #: Parts of names of money-like and category-like columns, in order.
@@ -55,11 +57,14 @@ def task_seed(global_seed: Column, task_id: Column) -> Column:
     return hash_number(F.concat_ws(":", global_seed.cast("string"), task_id))
 
 
-def plans(columns: DataFrame, global_seed: int, protected: Sequence[str] = (), key_mode: str = "non_key", formats: DataFrame | None = None) -> DataFrame:
+def plans(
+    columns: DataFrame, global_seed: int, protected: Sequence[str] | DataFrame = (), key_mode: str = "non_key", formats: DataFrame | None = None
+) -> DataFrame:
     """One plan per task of ``columns`` (task_id, table, table_idx, ordinal, column).
 
     Columns are the union over tables. Those that start with ``__`` and blank or
-    protected ones are never picked. Picks by chance take the column with the smallest
+    protected ones are never picked; what is protected is a list of names for all tasks, or rows
+    (task_id, column), such as each task's label. Picks by chance take the column with the smallest
     hash of seed, purpose and name: rename and drop from the columns that are no join
     keys (with ``key_mode='key'`` rename takes a join key if there is one), else from all;
     a date column from those named so. The address, money and category columns are the
@@ -67,7 +72,11 @@ def plans(columns: DataFrame, global_seed: int, protected: Sequence[str] = (), k
     column's format is looked up in ``formats`` (task_id, column, format), detected before.
     """
     keys = join_keys(columns.select("task_id", "table", "column")).select("task_id", "column").withColumn("is_key", F.lit(True))
-    union = columns.filter(~is_bad_name(F.col("column")) & ~F.col("column").startswith("__") & ~F.col("column").isin(list(protected)))
+    union = columns.filter(~is_bad_name(F.col("column")) & ~F.col("column").startswith("__"))
+    if isinstance(protected, DataFrame):
+        union = union.join(protected.select("task_id", "column"), ["task_id", "column"], "left_anti")
+    else:
+        union = union.filter(~F.col("column").isin(list(protected)))
     union = union.groupBy("task_id", "column").agg(F.min(F.struct("table_idx", "ordinal")).alias("place"))
     seeded = union.join(keys, ["task_id", "column"], "left").withColumn("seed", task_seed(F.lit(global_seed), F.col("task_id")))
     low, is_key = F.lower("column"), F.coalesce("is_key", F.lit(False))
@@ -103,7 +112,7 @@ def _usable(df: DataFrame, column: str | None, protected: Sequence[str]) -> bool
 def add_columns(df: DataFrame, seed: int, row_key: str, sparse: float = 0.2) -> DataFrame:
     """Add __new_constant, __new_sparse (1.0 in about ``sparse`` of the rows, by a hash of seed
     and row key, else null) and __row_id, 0 to n - 1 in the order of the numeric ``row_key``."""
-    counts = df.groupBy(F.col(row_key).alias("_k")).agg(F.count("*").alias("_n"), F.count("*").alias("_upto")).withColumn("_one", F.lit(1))
+    counts = written(df.groupBy(F.col(row_key).alias("_k")).agg(F.count("*").alias("_n"), F.count("*").alias("_upto")).withColumn("_one", F.lit(1)), "row-keys")
     upto = running_sums(counts, ["_one"], "_k", ["_upto"]).select("_k", (F.col("_upto") - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy(row_key).orderBy(*(F.col(f"`{c}`") for c in df.columns)))
     chance = hash_number(F.concat_ws(":", F.lit(str(seed)), F.col(row_key).cast("string"))) / F.lit(4294967296.0)
@@ -125,32 +134,45 @@ def drop_column(df: DataFrame, column: str | None, protected: Sequence[str] = ()
     return df.drop(column) if _usable(df, column, protected) and len(df.columns) > 2 else df
 
 
-def flip_date_time(df: DataFrame, column: str | None, pattern: str, protected: Sequence[str] = ()) -> DataFrame:
+def date_shares(df: DataFrame, column: str, pattern: str | None) -> DataFrame:
+    """Share of all rows that parse, and of those with a time of day, one row; unparsed rows count as having one."""
+    at = parsed(F.col(f"`{column}`"), pattern)
+    timed = F.coalesce((F.hour(at) != 0) | (F.minute(at) != 0) | (F.second(at) != 0), F.lit(True))
+    return df.agg(F.avg(at.isNotNull().cast("int")).alias("valid_ratio"), F.avg(timed.cast("int")).alias("has_time_ratio"))
+
+
+def flip_date_time(df: DataFrame, column: str | None, pattern: str | None, protected: Sequence[str] = ()) -> DataFrame:
     """Dates with times lose them, dates without get midnight, as text; unparsed become null.
 
     Nothing happens if less than half of all rows parse. Rows that do not parse count as
-    having a time when more than 0.2 are asked for.
+    having a time when more than 0.2 are asked for. Without a pattern texts are read as
+    dates and times in the ISO order.
     """
     if not _usable(df, column, protected):
         return df
-    at = parsed(F.col(column), pattern)
-    timed = F.coalesce((F.hour(at) != 0) | (F.minute(at) != 0) | (F.second(at) != 0), F.lit(True))
-    shares = df.agg(F.avg(at.isNotNull().cast("int")).alias("ok"), F.avg(timed.cast("int")).alias("timed")).first()
-    if (shares["ok"] or 0.0) < 0.5:
+    at, shares = parsed(F.col(f"`{column}`"), pattern), date_shares(df, column, pattern).first()
+    if (shares["valid_ratio"] or 0.0) < 0.5:
         return df
-    return df.withColumn(column, F.date_format(at, "yyyy-MM-dd") if shares["timed"] > 0.2 else F.date_format(at, "yyyy-MM-dd 00:00:00"))
+    return df.withColumn(column, F.date_format(at, "yyyy-MM-dd") if shares["has_time_ratio"] > 0.2 else F.date_format(at, "yyyy-MM-dd 00:00:00"))
 
 
-def split_date(df: DataFrame, column: str | None, pattern: str, protected: Sequence[str] = ()) -> DataFrame:
+def split_date(df: DataFrame, column: str | None, pattern: str | None, protected: Sequence[str] = ()) -> DataFrame:
     """Add year, month and day of a date column, which stays; nothing if less than half of the rows parse."""
     if not _usable(df, column, protected):
         return df
-    at = parsed(F.col(column), pattern)
-    if (df.agg(F.avg(at.isNotNull().cast("int"))).first()[0] or 0.0) < 0.5:
+    at = parsed(F.col(f"`{column}`"), pattern)
+    if (date_shares(df, column, pattern).first()["valid_ratio"] or 0.0) < 0.5:
         return df
     return df.withColumns({f"{column}_year": F.year(at), f"{column}_month": F.month(at), f"{column}_day": F.dayofmonth(at)})
 
 
+def numeric_candidate(df: DataFrame, row_key: str, protected: Sequence[str] = ()) -> str | None:
+    """The first text column whose first 300 values mostly read as numbers; the driver sees a row per text column."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    found = numeric_like(first_values(df, row_key, texts, 300), protected).filter("picked").first() if texts else None
+    return found["column"] if found else None
+
+
 def to_numeric(df: DataFrame, column: str | None, protected: Sequence[str] = ()) -> DataFrame:
     """The text column as numbers, null where it does not read as one."""
     return df.withColumn(column, number(F.col(column))) if _usable(df, column, protected) else df
@@ -264,8 +286,8 @@ def evolve(df: DataFrame, ops: Sequence[str], plan: Mapping, row_key: str, prote
             df = drop_column(df, plan["drop_col"], protected)
         elif op == "type":
             turn = flip_date_time if plan["datetime_rule"] == "flip_date_time" else split_date
-            df = turn(df, plan["datetime_col"], plan["datetime_format"], protected) if plan.get("datetime_format") else df
-            df = to_numeric(df, plan.get("numeric_col"), protected)
+            df = turn(df, plan.get("datetime_col"), plan.get("datetime_format"), protected)
+            df = to_numeric(df, numeric_candidate(df, row_key, protected), protected)
         elif op == "meaning":
             df = unit_scale(df, plan["meaning_num_col"], plan["unit_scale_divisor"], protected)
             df = collapse_categories(df, plan["meaning_cat_col"], plan["category_keep_topk"], row_key, protected)
@@ -276,6 +298,100 @@ def evolve(df: DataFrame, ops: Sequence[str], plan: Mapping, row_key: str, prote
     return df
 
 
+INFO = (
+    "op string, rule string, column string, note string, valid_ratio double, has_time_ratio double, before_ratio double, after_ratio double, "
+    "mean_before double, mean_after double, cardinality_before bigint, cardinality_after bigint, mapped_to_other_ratio double"
+)
+
+
+def _info(stats: DataFrame, op: str, rule: str | Column | None, column: str | None, note: str | Column | None = None) -> DataFrame:
+    """One row of op infos: names and, where ``stats`` has them, figures of the data."""
+    names = [f.split()[0] for f in INFO.split(", ")]
+    kinds = dict(f.split() for f in INFO.split(", "))
+    given = {"op": op, "rule": rule, "column": column, "note": note}
+    value = lambda n: (given[n] if isinstance(given[n], Column) else F.lit(given[n])) if n in given else F.col(n) if n in stats.columns else F.lit(None)
+    return stats.select(*(value(n).cast(kinds[n]).alias(n) for n in names))
+
+
+def op_infos(df: DataFrame, op: str, plan: Mapping, row_key: str, protected: Sequence[str] = ()) -> DataFrame:
+    """What ``op`` would do with ``df``, one row per change or reason for none (columns: ``INFO``).
+
+    Names come from plan and schema. Figures are one-row aggregates of the data: shares
+    of dates that parse and have a time, shares of nulls before and after a cast, means before and
+    after a rescale, distinct values before and after a collapse and the share of rows it maps to 'Other'.
+    """
+    spark, rows = df.sparkSession, []
+    nothing = spark.range(1)
+    skip = lambda c: "protected or missing in the plan" if not c or c in protected else "not in this table" if c not in df.columns else None
+    if op == "add":
+        chance = hash_number(F.concat_ws(":", F.lit(str(plan["seed"])), F.col(row_key).cast("string"))) / F.lit(4294967296.0)
+        rows.append(_info(df.agg(F.avg((chance < 0.2).cast("int")).alias("after_ratio")), op, "sparse", "__new_sparse"))
+    elif op in ("rename", "drop"):
+        c = plan.get(f"{op}_col")
+        note = skip(c) or ("too few columns" if op == "drop" and len(df.columns) <= 2 else None)
+        rows.append(_info(nothing, op, None if note else op, c, note))
+    elif op == "type":
+        c, pattern = plan.get("datetime_col"), plan.get("datetime_format")
+        if not skip(c):
+            poor = F.coalesce("valid_ratio", F.lit(0.0)) < 0.5
+            flip = F.when(F.col("has_time_ratio") > 0.2, "datetime_to_date").otherwise("date_to_datetime") if plan["datetime_rule"] == "flip_date_time" else F.lit("add_date_parts")
+            rows.append(_info(date_shares(df, c, pattern), op, F.when(~poor, flip), c, F.when(poor, "few dates parse")))
+            turned = flip_date_time if plan["datetime_rule"] == "flip_date_time" else split_date
+            df = turned(df, c, pattern, protected)
+        n = numeric_candidate(df, row_key, protected)
+        if n:
+            x = F.col(f"`{n}`")
+            nulls = lambda v: F.avg(v.isNull().cast("int"))
+            rows.append(_info(df.agg(nulls(x).alias("before_ratio"), nulls(number(x)).alias("after_ratio")), op, "to_numeric", n))
+    elif op == "meaning":
+        c, k = plan.get("meaning_num_col"), plan.get("meaning_cat_col")
+        if not skip(c) and c in numeric_columns(df):
+            means = df.agg(F.avg(F.col(f"`{c}`")).alias("mean_before"), F.avg(F.col(f"`{c}`") / F.lit(float(plan["unit_scale_divisor"]))).alias("mean_after"))
+            rows.append(_info(means, op, f"divide_by_{plan['unit_scale_divisor']:g}", c))
+            df = unit_scale(df, c, plan["unit_scale_divisor"], protected)
+        if not skip(k):
+            rows.append(_info(_collapse_figures(df, k, plan["category_keep_topk"], row_key), op, f"keep_top{plan['category_keep_topk']}_else_Other", k))
+    elif op == "address_split":
+        c = plan.get("address_col")
+        done = [] if c and c in protected else sorted(set(df.columns) - set(evolve_address(df, c, protected).columns))
+        note = "protected" if c and c in protected else None if done else "nothing to combine or split"
+        rows.append(_info(nothing, op, ("split" if len(done) == 1 else "combine") if done else None, ",".join(done) or None, note))
+    else:
+        raise ValueError(f"no operator {op!r}")
+    out = spark.createDataFrame([], INFO)
+    for r in rows:
+        out = out.unionByName(r)
+    return out
+
+
+def _collapse_figures(df: DataFrame, column: str, k: int, row_id: str) -> DataFrame:
+    """Distinct values before and after a collapse to ``k``, and the share of all rows whose value goes; nulls do not count there.
+
+    The values are ranked by count from one row each; the ``k`` largest are a bounded sort.
+    """
+    text = F.col(f"`{column}`").cast("string")
+    counts = df.groupBy(text.alias("v")).agg(F.count("*").alias("n"), F.min(row_id).alias("first"))
+    kept = counts.filter("v IS NOT NULL").orderBy(F.desc("n"), "first", "v").limit(k).agg(F.sum("n").alias("kept"), F.count("*").alias("stay"), F.count_if(F.col("v") == "Other").alias("named"))
+    whole = counts.agg(F.sum("n").alias("rows"), F.count("v").alias("cardinality_before"), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("filled"))
+    both = whole.crossJoin(kept)  # one row each
+    other = (F.coalesce("kept", F.lit(0)) < F.col("rows")) & (F.col("named") == 0)
+    return both.select(
+        "cardinality_before",
+        (F.col("stay") + other.cast("int")).alias("cardinality_after"),
+        ((F.coalesce("filled", F.lit(0)) - F.coalesce("kept", F.lit(0))) / F.col("rows")).alias("mapped_to_other_ratio"),
+    )
+
+
+def evolve_log(df: DataFrame, ops: Sequence[str], plan: Mapping, row_key: str, protected: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The table that the operators make in order, and their infos with step numbers."""
+    log = None
+    for i, op in enumerate(ops):
+        one = op_infos(df, op, plan, row_key, protected).select(F.lit(i).alias("step"), "*")
+        log = one if log is None else log.unionByName(one)
+        df = evolve(df, [op], plan, row_key, protected)
+    return df, log
+
+
 def batch_summary(files: DataFrame) -> DataFrame:
     """Status of each task of a variant run. Input: task_id, role, label, done, broken, one row per file.
 

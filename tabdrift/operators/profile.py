@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabdrift.functions.dates import EVOLVE_FORMATS, parsed, pick_format
 from tabdrift.functions.numbers import number
-from tabdrift.operators.relate import cells, column_stats, is_id_like
+from tabdrift.operators.relate import cells, column_stats, column_table, is_id_like
 
 #: Keywords of the domains, in order.
 DOMAINS = {
@@ -88,6 +88,13 @@ def schema_diff(before: DataFrame, after: DataFrame, by: Sequence[str] = ("table
     )
 
 
+def column_types(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per column: table, ordinal, column, dtype, n_rows. Names and types come from the schemas; rows are counted."""
+    kinds = [(t, i, d) for t, df in tables.items() for i, (_, d) in enumerate(dtype_names(df))]
+    shown = column_table(tables)
+    return shown.join(F.broadcast(shown.sparkSession.createDataFrame(kinds, "table string, ordinal int, dtype string")), ["table", "ordinal"])
+
+
 def row_null_profile(df: DataFrame) -> DataFrame:
     """Mean and 95th percentile (interpolated) of the share of nulls in a row."""
     share = sum((F.col(f"`{c}`").isNull().cast("int") for c in df.columns), F.lit(0)) / F.lit(len(df.columns))
@@ -153,7 +160,8 @@ def address_like(values: DataFrame) -> DataFrame:
 
 
 def infer_targets(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The target column of each table: table, target, stage (names, numbers, parts or none), score.
+    """The target column of each table: table, target, stage (names, numbers, parts or none), score,
+    and filled_share, the share of rows in which the target is not null.
 
     First a preferred name; else, of columns that read as numbers in 85 % of the rows,
     neither dates nor ids and not almost unique, the one with the largest valid share less
@@ -181,24 +189,45 @@ def infer_targets(tables: Mapping[str, DataFrame]) -> DataFrame:
         (F.col("filled") / F.col("rows") >= 0.3) & (F.col("texts") / F.col("rows") <= 0.95) & (F.col("texts") > 1)
     )
     marked = stats.withColumns({"named": F.when(named > 0, named), "score": score, "part": F.when(usable & part & fine, F.col("ordinal"))})
+    one = F.struct("column", (F.col("filled") / F.col("rows")).alias("share"), "score")
     best = marked.groupBy("table").agg(
-        F.min_by("column", "named").alias("a"),
-        F.max_by(F.struct("column", "score"), F.when(F.col("score").isNotNull(), F.struct("score", -F.col("ordinal")))).alias("b"),
-        F.min_by("column", "part").alias("c"),
+        F.min_by(one, "named").alias("a"),
+        F.max_by(one, F.when(F.col("score").isNotNull(), F.struct("score", -F.col("ordinal")))).alias("b"),
+        F.min_by(one, "part").alias("c"),
     )
     stage = F.when(F.col("a").isNotNull(), "names").when(F.col("b").isNotNull(), "numbers").when(F.col("c").isNotNull(), "parts").otherwise("none")
-    return best.select("table", F.coalesce("a", "b.column", "c").alias("target"), stage.alias("stage"), F.when(stage == "numbers", F.col("b.score")).alias("score"))
+    found = F.coalesce("a", "b", "c")
+    return best.select(
+        "table", found["column"].alias("target"), stage.alias("stage"), F.when(stage == "numbers", F.col("b.score")).alias("score"), found["share"].alias("filled_share")
+    )
+
+
+def _wanted(columns: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows of ``columns`` whose name is one of ``names`` in any case, with its place as prio."""
+    wanted = columns.sparkSession.createDataFrame([(i, n.strip().lower()) for i, n in enumerate(names)], "prio int, low string")
+    return columns.withColumn("low", F.lower("column")).join(F.broadcast(wanted), "low")
 
 
 def label_name_first(columns: DataFrame, priority: Sequence[str] = LABEL_PRIORITY) -> DataFrame:
-    """Per task the first wanted name that any table has, in the first table that has it. Input: task_id, table, table_idx, column."""
-    wanted = columns.sparkSession.createDataFrame(list(enumerate(priority)), "prio int, column string")
-    hit = columns.join(F.broadcast(wanted), "column")
-    return hit.groupBy("task_id").agg(F.min_by(F.struct("table", "column"), F.struct("prio", "table_idx")).alias("l")).select("task_id", F.col("l.table").alias("table"), F.col("l.column").alias("label"))
+    """Per task the first wanted name that any table has, in any case, in the first table that has it.
+
+    Input: task_id, table, table_idx, ordinal, column. Of columns that differ in case only the last is taken.
+    """
+    order = F.struct("prio", "table_idx", -F.col("ordinal"))
+    hit = _wanted(columns, priority).groupBy("task_id").agg(F.min_by(F.struct("table", "column"), order).alias("l"))
+    return hit.select("task_id", F.col("l.table").alias("table"), F.col("l.column").alias("label"))
 
 
-def label_table_first(columns: DataFrame, names: Sequence[str] = TABLE_FIRST_NAMES) -> DataFrame:
-    """Per task the first table that has any wanted name (in any case), and the first name it has."""
-    wanted = columns.sparkSession.createDataFrame(list(enumerate(names)), "prio int, low string")
-    hit = columns.withColumn("low", F.lower("column")).join(F.broadcast(wanted), "low")
-    return hit.groupBy("task_id").agg(F.min_by(F.struct("table", "column"), F.struct("table_idx", "prio")).alias("l")).select("task_id", F.col("l.table").alias("table"), F.col("l.column").alias("label"))
+def label_table_first(columns: DataFrame, targets: DataFrame | None = None, names: Sequence[str] = TABLE_FIRST_NAMES, least: float = 0.05) -> DataFrame:
+    """Per task the first table that has any wanted name (in any case), and the first name it has.
+
+    Tasks without one take the first table whose inferred target (``infer_targets``, by table)
+    is filled in more than ``least`` of its rows.
+    """
+    order = F.struct("table_idx", "prio", -F.col("ordinal"))
+    named = _wanted(columns, names).groupBy("task_id").agg(F.min_by(F.struct("table", F.col("column").alias("label")), order).alias("l"))
+    if targets is not None:
+        good = targets.filter((F.col("target").isNotNull()) & (F.col("filled_share") > least)).select("table", "target")
+        rest = columns.select("task_id", "table", "table_idx").distinct().join(named, "task_id", "left_anti").join(good, "table")
+        named = named.unionByName(rest.groupBy("task_id").agg(F.min_by(F.struct("table", F.col("target").alias("label")), "table_idx").alias("l")))
+    return named.select("task_id", "l.table", "l.label")

@@ -42,6 +42,19 @@ def cells(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def column_table(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per column, all-null ones too: table, table_idx, ordinal, column, and the table's n_rows.
+
+    Names come from the schemas; of the tables only the rows are counted, which reads no column.
+    """
+    out = None
+    for i, (name, df) in enumerate(tables.items()):
+        places = F.posexplode(F.array(*(F.lit(c) for c in df.columns)))
+        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), F.lit(i).alias("table_idx"), "n_rows", places.alias("ordinal", "column"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("table", "table_idx", "ordinal", "column", "n_rows")
+
+
 def column_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column: n_rows, n_null and n_distinct (of non-null values).
 
@@ -122,22 +135,33 @@ def step_log(related: DataFrame) -> DataFrame:
 
 def aggregate_child(child: DataFrame, key: str) -> DataFrame:
     """One row per key (a null key is a group): row count; mean, sample deviation, least and
-    largest of numbers; distinct non-null count of texts. Other types are left out."""
-    prefix = f"__agg__{key}__"
-    aggs = [F.count("*").alias(f"{prefix}row_count")]
+    largest of numbers; distinct non-null count of texts. Other types are left out.
+
+    Several text columns are counted as rows (key, column, value) that are made distinct
+    once, instead of a copy of every row per column.
+    """
+    aggs = [F.count("*").alias(f"__agg__{key}__row_count")]
     for c in numeric_columns(child):
         if c != key:
             x = F.col(f"`{c}`")
-            aggs += [F.avg(x).alias(f"{prefix}{c}_mean"), F.stddev_samp(x).alias(f"{prefix}{c}_std"), F.min(x).alias(f"{prefix}{c}_min"), F.max(x).alias(f"{prefix}{c}_max")]
-    for f in child.schema:
-        if f.name != key and isinstance(f.dataType, T.StringType):
-            aggs.append(F.count_distinct(F.col(f"`{f.name}`")).alias(f"{prefix}{f.name}_nunique"))
-    return child.groupBy(key).agg(*aggs)
+            aggs += [F.avg(x).alias(f"__agg__{c}__mean"), F.stddev_samp(x).alias(f"__agg__{c}__std"), F.min(x).alias(f"__agg__{c}__min"), F.max(x).alias(f"__agg__{c}__max")]
+    texts = [f.name for f in child.schema if f.name != key and isinstance(f.dataType, T.StringType)]
+    if len(texts) < 2:
+        return child.groupBy(key).agg(*aggs, *(F.count_distinct(F.col(f"`{c}`")).alias(f"__agg__{c}__nunique") for c in texts))
+    cells_ = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(texts)))
+    values = child.select(key, F.explode(cells_).alias("s")).select(key, "s.*").distinct()
+    kinds = values.groupBy(key).agg(*(F.count(F.when(F.col("i") == i, F.col("v"))).alias(f"__agg__{c}__nunique") for i, c in enumerate(texts)))
+    return null_safe_left_join(child.groupBy(key).agg(*aggs), kinds, key)
 
 
 def null_safe_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join on ``key``, null matching null, keeping the left key."""
-    other = right.withColumnRenamed(key, "_right_key")
+    """Left join on ``key``, null matching null, keeping the left key.
+
+    Other columns that both sides have come as name_x and name_y.
+    """
+    both = {c for c in right.columns if c != key and c in left.columns}
+    left = left.withColumnsRenamed({c: f"{c}_x" for c in both})
+    other = right.withColumnsRenamed({key: "_right_key"} | {c: f"{c}_y" for c in both})
     return left.join(other, left[key].eqNullSafe(other["_right_key"]), "left").drop("_right_key")
 
 
@@ -149,7 +173,7 @@ def join_child(base: DataFrame, child: DataFrame, key: str) -> DataFrame:
 def join_parent(base: DataFrame, parent: DataFrame, key: str, exclude: Sequence[str] = ()) -> DataFrame:
     """Attach the columns that ``base`` does not have yet from a table with a unique key."""
     fresh = [c for c in parent.columns if c != key and c not in base.columns and c not in exclude]
-    return null_safe_left_join(base, parent.select(key, *fresh), key)
+    return null_safe_left_join(base, parent.select(key, *(F.col(f"`{c}`") for c in fresh)), key)
 
 
 def relational_features(base: DataFrame, others: Mapping[str, DataFrame], label: str, steps: Mapping[str, tuple[str | None, str | None]]) -> DataFrame:
@@ -170,6 +194,47 @@ def relational_features(base: DataFrame, others: Mapping[str, DataFrame], label:
     return out
 
 
+STEP_LOG = "step int, train_table string, test_table string, key string, relationship string, action string, reason string, n_added_cols int, status string"
+
+
+def build_features(train: Mapping[str, DataFrame], test: Mapping[str, DataFrame], base: str, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of training and test rows from the tables of a task, and the log of the steps.
+
+    Test tables are matched with training tables by ``match_tables``, the base by shared
+    columns alone. Keys and relationships come from the training tables, a row per table in the driver. A
+    child whose test table has lost the key gives null aggregates. Where a join has no key on the
+    test side at all, the columns are null and the step's status is UNKNOWN_ERROR,
+    as the run would have ended there; else it is ok.
+    """
+    spark, others = train[base].sparkSession, [t for t in train if t != base]
+    stats = column_stats(shared_columns({t: train[t] for t in (base, *others)}))
+    pairs = spark.createDataFrame([(base, t) for t in others], "base string, other string") if others else None
+    found = {r["other"]: (r["key"], r["relationship"]) for r in relationships(stats, best_keys(stats, pairs, [label])).collect()} if others else {}
+    shared = lambda t, u: len(set(train[t].columns) & set(test[u].columns))
+    largest = lambda t: max(test, key=lambda u: shared(t, u))
+    x_train, x_test, log = train[base].withColumnRenamed(label, "y"), test[largest(base)].drop(label), []
+    for i, name in enumerate(others):
+        key, kind = found[name]
+        named = name.replace("training_", "test_")
+        partner = named if named in test else largest(name)
+        df, other = train[name].drop(label), test[partner].drop(label)
+        if key is None or kind not in ("one_to_many", "one_to_one", "many_to_one"):
+            log.append((i, name, partner, key, kind, "skip", "no_common_key" if key is None else kind, 0, "ok"))
+            continue
+        before, child = x_train.columns, kind == "one_to_many"
+        x_train = join_child(x_train, df, key) if child else join_parent(x_train, df, key, exclude=("y",))
+        added = [f for f in x_train.schema if f.name not in before]
+        status = "ok" if key in x_test.columns and (child or key in other.columns) else "UNKNOWN_ERROR"
+        if status == "ok" and key in other.columns:
+            if not child:
+                other = other.select(key, *(F.col(f"`{f.name}`") for f in added if f.name in other.columns and f.name not in x_test.columns))
+            x_test = join_child(x_test, other, key) if child else null_safe_left_join(x_test, other, key)
+        else:
+            x_test = x_test.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added if f.name not in x_test.columns})
+        log.append((i, name, partner, key, kind, "aggregate_join" if child else "join", None, len(added), status))
+    return x_train, x_test, spark.createDataFrame(log, STEP_LOG)
+
+
 def match_tables(train: DataFrame, test: DataFrame) -> DataFrame:
     """The test table of each training table: the one named alike (training_i, test_i), else
     the one that shares most columns, the first on ties. Inputs: table, table_idx, column."""
@@ -192,6 +257,31 @@ def join_expansion(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.agg(two_digits(mean).alias("expansion"))
 
 
+def join_chain(tables: Mapping[str, DataFrame], most: float = 5.0) -> tuple[DataFrame | None, str | None]:
+    """All tables joined from the left, each by its best key with what is joined so far.
+
+    Before a join its expansion and both duplicate rates are computed from counts; where
+    ``guarded`` forbids it the chain ends with the reason and no table.
+    """
+    (_, out), *rest = tables.items()
+    for _, df in rest:
+        common = [c for c in out.columns if c in df.columns]
+        if not common:
+            return None, "no common columns"
+        pick = lambda t: t.select(*(F.col(f"`{c}`") for c in common))  # noqa: B023, E731
+        stats = column_stats({"left": pick(out), "right": pick(df)})
+        keyed = best_keys(stats, out.sparkSession.createDataFrame([("left", "right")], "base string, other string"))
+        key = keyed.first()["key"]
+        if key is None:
+            return None, "no common columns"
+        grown = join_expansion(out, df, key).select(F.lit("left").alias("base"), F.lit("right").alias("other"), "expansion")
+        error = guarded(stats, keyed, grown, most).first()["error"]
+        if error:
+            return None, error
+        out = null_safe_left_join(out, df, key)
+    return out, None
+
+
 def guarded(stats: DataFrame, keyed: DataFrame, expansions: DataFrame, most: float = 5.0) -> DataFrame:
     """Whether a left join of each pair may run: not with an expansion above ``most`` nor with both keys repeated."""
     out = relationships(stats, keyed).join(expansions, ["base", "other"], "left")

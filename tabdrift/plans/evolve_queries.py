@@ -8,7 +8,7 @@ from tabdrift.operators import evolve, profile, relate
 from tabdrift.plans.bindings import SCHEMAS, bound, plain, table
 from tabdrift.plans.profile_queries import dated
 from tabdrift.plans.registry import query
-from tabdrift.plans.relate_queries import stats_sql
+from tabdrift.plans.relate_queries import columns_sql
 
 SEED = 7
 H = "CAST(('0x' || substr(sha1({x}), 1, 8)) AS BIGINT)"
@@ -24,9 +24,13 @@ def ev_task_seed(spark, sf_dir):
 TASK = "CASE WHEN {t} IN ('lineitem', 'orders', 'customer') THEN 'sales' WHEN {t} IN ('nation', 'region', 'supplier') THEN 'places' ELSE 'parts' END"
 
 
+#: What stands for the label of a task, by priority.
+LABELS = ["TotalPrice", "retailprice", "acctbal"]
+
+
 def _plan_columns(spark, sf_dir):
-    stats = relate.column_stats({t: table(spark, sf_dir, t) for t in SCHEMAS}).filter("n_distinct > 0")
-    return stats.select(F.expr(TASK.format(t="table")).alias("task_id"), "table", "table_idx", "ordinal", "column")
+    shown = relate.column_table({t: table(spark, sf_dir, t) for t in SCHEMAS})
+    return shown.select(F.expr(TASK.format(t="table")).alias("task_id"), "table", "table_idx", "ordinal", "column")
 
 
 _DETECTED = """SELECT CASE WHEN avg(CASE WHEN try_strptime(v, '%Y-%m-%d') IS NULL THEN 0 ELSE 1 END) >= 0.99 THEN 'yyyy-M-d'
@@ -48,11 +52,15 @@ def _plan_sql() -> str:
     some = lambda cond, order: f"arg_min(col, {order}) FILTER ({cond})"
     draw = lambda use, values, kind: f"CASE {H.format(x=f'seed || {chr(39)}:{use}{chr(39)}')} % {len(values)} " + " ".join(f"WHEN {i} THEN {v!r}" for i, v in enumerate(values)) + " END" if not kind else f"CAST({draw(use, values, '')} AS {kind})"
     free = "NOT is_key"
-    return f"""WITH s AS ({stats_sql()}), c AS (SELECT {TASK.format(t="tbl")} AS task_id, tbl, table_idx, ordinal, col FROM s WHERE n_distinct > 0),
+    return f"""WITH s AS ({columns_sql({t: t for t in SCHEMAS})}), c AS (SELECT {TASK.format(t="tbl")} AS task_id, tbl, table_idx, ordinal, col FROM s),
+w AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n.lower()}')" for i, n in enumerate(LABELS))}) v(prio, low)),
+lab AS (SELECT task_id, col AS label_col FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY prio, table_idx, ordinal DESC) AS r
+        FROM c JOIN w ON lower(c.col) = w.low) WHERE r = 1),
 many AS (SELECT task_id FROM c GROUP BY task_id HAVING count(DISTINCT tbl) >= 2),
 k AS (SELECT task_id, col FROM c WHERE task_id IN (SELECT task_id FROM many) GROUP BY ALL HAVING count(DISTINCT tbl) >= 2),
 u AS (SELECT c.task_id, c.col, min(table_idx * 1000 + ordinal) AS p, any_value(k.col IS NOT NULL) AS is_key, {SEED_SQL.format(t="c.task_id")} AS seed
-      FROM c LEFT JOIN k ON k.task_id = c.task_id AND k.col = c.col GROUP BY c.task_id, c.col),
+      FROM c LEFT JOIN k ON k.task_id = c.task_id AND k.col = c.col WHERE NOT EXISTS (FROM lab WHERE lab.task_id = c.task_id AND lab.label_col = c.col)
+      GROUP BY c.task_id, c.col),
 g AS (SELECT task_id, seed, coalesce(string_agg(col, ',' ORDER BY col) FILTER (is_key), '') AS join_keys,
   coalesce({some(free, chance("rename"))}, arg_min(col, {chance("rename")})) AS rename_col,
   coalesce({some(free, chance("drop"))}, arg_min(col, {chance("drop")})) AS drop_col,
@@ -63,12 +71,15 @@ g AS (SELECT task_id, seed, coalesce(string_agg(col, ',' ORDER BY col) FILTER (i
   FROM u GROUP BY task_id, seed)
 SELECT *, CASE datetime_col WHEN 'orderdate' THEN ({_DETECTED.format(c="o_orderdate", t="orders", k="o_orderkey")})
   WHEN 'shipdate' THEN ({_DETECTED.format(c="l_shipdate", t="lineitem", k="l_orderkey")}) END AS datetime_format, {draw("date_rule", evolve.DATE_RULES, "")} AS datetime_rule, {draw("topk", evolve.TOP_K, "INTEGER")} AS category_keep_topk,
-       {draw("divisor", evolve.DIVISORS, "DOUBLE")} AS unit_scale_divisor FROM g"""
+       {draw("divisor", evolve.DIVISORS, "DOUBLE")} AS unit_scale_divisor FROM g LEFT JOIN lab USING (task_id)"""
 
 
 @query("ev_plan", _plan_sql())
 def ev_plan(spark, sf_dir):
-    return evolve.plans(_plan_columns(spark, sf_dir), SEED, formats=_formats(spark, sf_dir)).withColumn("join_keys", F.array_join("join_keys", ","))
+    names = _plan_columns(spark, sf_dir)
+    labels = profile.label_name_first(names, LABELS).select("task_id", F.col("label").alias("label_col"))
+    plan = evolve.plans(names, SEED, protected=labels.withColumnRenamed("label_col", "column"), formats=_formats(spark, sf_dir))
+    return plan.join(labels, "task_id", "left").withColumn("join_keys", F.array_join("join_keys", ","))
 
 
 @query(
@@ -207,6 +218,48 @@ def ev_apply_log(spark, sf_dir):
     return out
 
 
+#: A table that every kind of operator finds something in, and the plan for it.
+GOODS = """SELECT p_partkey AS id, p_brand AS brand, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_name END AS product,
+CASE WHEN p_partkey % 5 = 0 THEN 'n/a' ELSE concat(' ', p_size) END AS size_text, p_retailprice AS price,
+CASE WHEN p_partkey % 4 = 0 THEN 'soon' ELSE '2024-02-03' END AS made FROM part"""
+GOODS_PLAN = {
+    "seed": SEED, "rename_col": "brand", "drop_col": "nowhere", "datetime_col": "made", "datetime_format": "yyyy-M-d", "datetime_rule": "flip_date_time",
+    "meaning_num_col": "price", "meaning_cat_col": "product", "unit_scale_divisor": 1000.0, "category_keep_topk": 5, "address_col": None,
+}
+NO = "CAST(NULL AS DOUBLE)"
+
+
+def _infos_sql() -> str:
+    def row(step, op, rule=None, column=None, note=None, figures="", source="(SELECT count(*) FROM g)"):
+        text = lambda x: f"'{x}'" if x else "CAST(NULL AS VARCHAR)"
+        have = {n: NO for n in ("valid_ratio", "has_time_ratio", "before_ratio", "after_ratio", "mean_before", "mean_after", "mapped_to_other_ratio")}
+        have |= dict.fromkeys(("cardinality_before", "cardinality_after"), "CAST(NULL AS BIGINT)") | dict(f.split("=", 1) for f in figures.split(";") if f)
+        return f"SELECT {step} AS step, '{op}' AS op, {text(rule)} AS rule, {text(column)} AS \"column\", {text(note)} AS note, " + ", ".join(f"{x} AS {n}" for n, x in have.items()) + f" FROM {source}"
+
+    share = lambda cond: f"round(avg(CASE WHEN {cond} THEN 1 ELSE 0 END), 8)"
+    top = "(SELECT product, count(*) AS n, min(id) AS f FROM g WHERE product IS NOT NULL GROUP BY product ORDER BY n DESC, f, product LIMIT 5)"
+    return f"WITH g AS ({GOODS}) " + "\nUNION ALL ".join([
+        row(0, "rename", "rename", "brand"),
+        row(1, "drop", None, "nowhere", "not in this table"),
+        row(2, "type", "datetime_to_date", "made", None, f"valid_ratio={share('id % 4 <> 0')};has_time_ratio={share('id % 4 = 0')}", "g"),
+        row(2, "type", "to_numeric", "size_text", None, f"before_ratio=0.0;after_ratio={share('id % 5 = 0')}", "g"),
+        row(3, "meaning", "divide_by_1000", "price", None, "mean_before=round(avg(price), 6);mean_after=round(avg(price / 1000), 6)", "g"),
+        row(3, "meaning", "keep_top5_else_Other", "product", None,
+            f"cardinality_before=count(DISTINCT product);cardinality_after=(SELECT count(*) FROM {top}) + CASE WHEN (SELECT sum(n) FROM {top}) < count(*) THEN 1 ELSE 0 END;"
+            f"mapped_to_other_ratio=round((count(product) - (SELECT sum(n) FROM {top})) / count(*), 8)", "g"),
+        row(4, "add", "sparse", "__new_sparse", None, f"after_ratio=round(avg(CASE WHEN {H.format(x=chr(39) + '7:' + chr(39) + ' || id')} / 4294967296.0 < 0.2 THEN 1 ELSE 0 END), 8)", "g"),
+        row(5, "address_split", None, None, "nothing to combine or split"),
+    ])
+
+
+@query("ev_op_infos", _infos_sql())
+def ev_op_infos(spark, sf_dir):
+    """What each operator of a plan reports of the table as it stands when its turn comes."""
+    _, log = evolve.evolve_log(bound(spark, sf_dir, GOODS), ["rename", "drop", "type", "meaning", "add", "address_split"], GOODS_PLAN, "id")
+    places = {c: 6 if c.startswith("mean") else 8 for c, t in log.dtypes if t == "double"}
+    return log.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 FILES = """SELECT concat('task_', user_id) AS task_id, CASE event_type WHEN 'click' THEN 'training' WHEN 'view' THEN 'test' WHEN 'purchase' THEN 'target' ELSE 'other' END AS role,
 CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'Score' END AS label, user_id % 7 = 0 AS done, event_id % 211 = 0 AS broken FROM events
 WHERE NOT (user_id % 5 = 1 AND event_type = 'purchase') AND NOT (user_id % 5 = 2 AND event_type IN ('click', 'view'))"""

@@ -8,7 +8,7 @@ from tabdrift.functions.dates import EVOLVE_FORMATS
 from tabdrift.operators import profile, relate
 from tabdrift.plans.bindings import SCHEMAS, bound, columns, plain, table
 from tabdrift.plans.registry import query
-from tabdrift.plans.relate_queries import stats_sql
+from tabdrift.plans.relate_queries import columns_sql
 
 TABLES = ["orders", "customer", "part", "supplier", "nation", "region"]
 KIND = {"num": "float64", "text": "str", "time": "datetime64[ns]", "int": "int64"}
@@ -66,9 +66,8 @@ o_orderdate AS orderdate, o_orderdate AS orderdate2 FROM orders"""
     """SELECT 'orders' AS "table", 'custkey__renamed,orderdate2' AS added, 'custkey,orderpriority' AS removed, 'totalprice:float64>str' AS dtype_changes, count(*) AS n_rows FROM orders""",
 )
 def pr_schema_diff(spark, sf_dir):
-    snap = lambda df: profile.snapshot({"orders": df}, {"orders": "orderkey"})
     before, after = table(spark, sf_dir, "orders"), bound(spark, sf_dir, EVOLVED.format(text="STRING"))
-    out = profile.schema_diff(snap(before), snap(after))
+    out = profile.schema_diff(profile.column_types({"orders": before}), profile.column_types({"orders": after}))
     changes = F.array_join(F.transform("dtype_changes", lambda x: F.concat(x["column"], F.lit(":"), x["before"], F.lit(">"), x["after"])), ",")
     rows = profile.fingerprints({"orders": after}).select("table", "n_rows")
     return out.select("table", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), changes.alias("dtype_changes")).join(rows, "table")
@@ -132,19 +131,18 @@ def pr_domain_guess(spark, sf_dir):
 TASKS = "CASE WHEN {t} IN ('lineitem', 'orders', 'customer') THEN 'sales' WHEN {t} IN ('nation', 'region', 'supplier') THEN 'places' ELSE 'parts' END"
 
 
-def _present(spark, sf_dir):
-    stats = relate.column_stats(_tables(spark, sf_dir, list(SCHEMAS))).filter("n_distinct > 0")
-    return stats.withColumn("task_id", F.expr(TASKS.format(t="table")))
+def _columns(spark, sf_dir):
+    return relate.column_table(_tables(spark, sf_dir, list(SCHEMAS))).withColumn("task_id", F.expr(TASKS.format(t="table")))
 
 
 @query(
     "pr_join_keys",
-    f"""WITH s AS ({stats_sql()}), t AS (SELECT *, {TASKS.format(t="tbl")} AS task_id FROM s WHERE n_distinct > 0),
+    f"""WITH s AS ({columns_sql({t: t for t in SCHEMAS})}), t AS (SELECT *, {TASKS.format(t="tbl")} AS task_id FROM s),
 many AS (SELECT task_id FROM t GROUP BY task_id HAVING count(DISTINCT tbl) >= 2)
 SELECT task_id, col AS "column", count(DISTINCT tbl) AS n_tables FROM t WHERE task_id IN (SELECT task_id FROM many) GROUP BY ALL HAVING count(DISTINCT tbl) >= 2""",
 )
 def pr_join_keys(spark, sf_dir):
-    return relate.join_keys(_present(spark, sf_dir).select("task_id", "table", "column"))
+    return relate.join_keys(_columns(spark, sf_dir).select("task_id", "table", "column"))
 
 
 DATED = """SELECT o_orderkey AS id, {iso} AS iso, CASE WHEN o_orderkey % 10 = 0 THEN 'bad' ELSE {us} END AS us,
@@ -221,9 +219,11 @@ RATED = "SELECT c_custkey AS cust_id, c_mktsegment AS rating_name, c_name AS nam
 TARGETS = ["orders", "customer", "part", "supplier", "nation"]
 
 
-def _target_sql() -> str:
-    views = {t: plain(t) for t in TARGETS} | {"scored": SCORED, "rated": RATED}
-    names = {t: [c for c, _ in columns(t)] for t in TARGETS} | {"scored": ["doc_id", "Score", "toxic"], "rated": ["cust_id", "rating_name", "name"]}
+TARGET_VIEWS = {t: plain(t) for t in TARGETS} | {"scored": SCORED, "rated": RATED}
+TARGET_COLUMNS = {t: [c for c, _ in columns(t)] for t in TARGETS} | {"scored": ["doc_id", "Score", "toxic"], "rated": ["cust_id", "rating_name", "name"]}
+
+
+def _target_sql(views=TARGET_VIEWS, names=TARGET_COLUMNS) -> str:
     num = r"CASE WHEN regexp_matches(CAST({c} AS VARCHAR), '^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$') THEN TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) END"
     rows = "\nUNION ALL ".join(
         f"SELECT '{t}' AS tbl, {i} AS o, '{c}' AS col, count(*) AS n, count({num.format(c=c)}) AS valid, count(DISTINCT {num.format(c=c)}) AS numbers, count({c}) AS filled, count(DISTINCT {c}) AS texts FROM ({views[t]})"
@@ -237,49 +237,77 @@ def _target_sql() -> str:
 u AS (SELECT *, CAST(valid AS DOUBLE) / n AS ratio, CAST(numbers AS DOUBLE) / n AS spread,
         NOT (contains({low}, 'date') OR contains({low}, 'time') OR ends_with({low}, '_dt') OR {low} IN ('id', 'key', 'uid') OR ends_with({low}, '_id')
              OR (contains({low}, 'id') AND length(col) <= 12)) AS usable, {named} AS named FROM s),
-a AS (SELECT tbl, col, 'names' AS stage, NULL AS score, 1 AS st, named AS k, o FROM u WHERE named > 0
-      UNION ALL SELECT tbl, col, 'numbers', ratio - abs(spread - 0.2), 2, -(ratio - abs(spread - 0.2)), o FROM u WHERE usable AND ratio >= 0.85 AND spread <= 0.95
-      UNION ALL SELECT tbl, col, 'parts', NULL, 3, o, o FROM u WHERE usable AND ({part}) AND CASE WHEN ratio >= 0.3 THEN numbers > 1
+a AS (SELECT tbl, col, CAST(filled AS DOUBLE) / n AS share, 'names' AS stage, NULL AS score, 1 AS st, named AS k, o FROM u WHERE named > 0
+      UNION ALL SELECT tbl, col, CAST(filled AS DOUBLE) / n, 'numbers', ratio - abs(spread - 0.2), 2, -(ratio - abs(spread - 0.2)), o FROM u WHERE usable AND ratio >= 0.85 AND spread <= 0.95
+      UNION ALL SELECT tbl, col, CAST(filled AS DOUBLE) / n, 'parts', NULL, 3, o, o FROM u WHERE usable AND ({part}) AND CASE WHEN ratio >= 0.3 THEN numbers > 1
         ELSE CAST(filled AS DOUBLE) / n >= 0.3 AND CAST(texts AS DOUBLE) / n <= 0.95 AND texts > 1 END),
 r AS (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY st, k, o) AS r FROM a)
-SELECT t.tbl AS "table", r.col AS target, coalesce(r.stage, 'none') AS stage, round(r.score, 8) AS score
+SELECT t.tbl AS "table", r.col AS target, coalesce(r.stage, 'none') AS stage, round(r.score, 8) AS score, round(r.share, 8) AS filled_share
 FROM (SELECT DISTINCT tbl FROM s) t LEFT JOIN r ON r.tbl = t.tbl AND r.r = 1"""
 
 
 @query("pr_target_score", _target_sql())
 def pr_target_score(spark, sf_dir):
     tables = _tables(spark, sf_dir, TARGETS) | {"scored": bound(spark, sf_dir, SCORED), "rated": bound(spark, sf_dir, RATED)}
-    return profile.infer_targets(tables).withColumn("score", F.round("score", 8))
-
-
-#: Tables that carry label names, and which columns they show.
-LABELLED = {"training_0": "SELECT doc_id, toxic AS risk_category FROM labels", "training_1": "SELECT doc_id, quality AS label, toxic AS Grade FROM labels", "training_2": "SELECT o_orderkey AS y, o_totalprice AS total FROM orders"}
-LABEL_COLUMNS = {"training_0": ["doc_id", "risk_category"], "training_1": ["doc_id", "label", "Grade"], "training_2": ["y", "total"]}
+    return profile.infer_targets(tables).withColumns({c: F.round(c, 8) for c in ("score", "filled_share")})
+
+
+#: Tables of two tasks: the first has label names in different cases, the second none, and an empty one among its targets.
+LABELLED = {
+    "task_0": {
+        "training_0": ("SELECT doc_id, toxic AS risk_category FROM labels", ["doc_id", "risk_category"]),
+        "training_1": ("SELECT doc_id, quality AS LABEL, toxic AS Grade FROM labels", ["doc_id", "LABEL", "Grade"]),
+        "training_2": ("SELECT o_orderkey AS Y, o_totalprice AS total FROM orders", ["Y", "total"]),
+    },
+    "task_1": {
+        "training_3": ("SELECT r_name AS name, CASE WHEN r_regionkey < 0 THEN 1.0 END AS price FROM region", ["name", "price"]),
+        "training_4": ("SELECT s_suppkey AS supp_id, s_nationkey AS nation, s_acctbal AS balance FROM supplier", ["supp_id", "nation", "balance"]),
+        "training_5": ("SELECT o_orderkey AS orderkey, o_totalprice AS sales FROM orders", ["orderkey", "sales"]),
+    },
+}
 
 
 def _labelled(spark, sf_dir):
-    stats = relate.column_stats({t: bound(spark, sf_dir, q) for t, q in LABELLED.items()}).filter("n_distinct > 0")
-    return stats.withColumn("task_id", F.lit("task_0"))
+    out = None
+    for task, tables in LABELLED.items():
+        one = relate.column_table({t: bound(spark, sf_dir, q) for t, (q, _) in tables.items()}).withColumn("task_id", F.lit(task))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 LABELLED_SQL = "\nUNION ALL ".join(
-    f"SELECT 'task_0' AS task_id, '{t}' AS tbl, {i} AS table_idx, '{c}' AS col FROM ({q}) HAVING count({c}) > 0" for i, (t, q) in enumerate(LABELLED.items()) for c in LABEL_COLUMNS[t]
+    f"SELECT '{task}' AS task_id, '{t}' AS tbl, {i} AS table_idx, {k} AS ordinal, '{c}' AS col FROM (SELECT count(*) FROM ({q}))"
+    for task, tables in LABELLED.items()
+    for i, (t, (q, names)) in enumerate(tables.items())
+    for k, c in enumerate(names)
 )
+_WANTED = lambda names: ", ".join(f"({i}, '{n.lower()}')" for i, n in enumerate(names))
 
 
 @query(
     "pr_label_name_first",
-    f"""WITH c AS ({LABELLED_SQL}), w AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(profile.LABEL_PRIORITY))}) v(prio, col))
-SELECT task_id, tbl AS "table", col AS label FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY prio, table_idx) AS r FROM c JOIN w USING (col)) WHERE r = 1""",
+    f"""WITH c AS ({LABELLED_SQL}), w AS (SELECT * FROM (VALUES {_WANTED(profile.LABEL_PRIORITY)}) v(prio, low))
+SELECT task_id, tbl AS "table", col AS label
+FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY prio, table_idx, ordinal DESC) AS r FROM c JOIN w ON lower(c.col) = w.low) WHERE r = 1""",
 )
 def pr_label_name_first(spark, sf_dir):
     return profile.label_name_first(_labelled(spark, sf_dir))
 
 
+_UNNAMED = LABELLED["task_1"]
+
+
 @query(
     "pr_label_table_first",
-    f"""WITH c AS ({LABELLED_SQL}), w AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(profile.TABLE_FIRST_NAMES))}) v(prio, low))
-SELECT task_id, tbl AS "table", col AS label FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY table_idx, prio) AS r FROM c JOIN w ON lower(c.col) = w.low) WHERE r = 1""",
+    f"""WITH c AS ({LABELLED_SQL}), w AS (SELECT * FROM (VALUES {_WANTED(profile.TABLE_FIRST_NAMES)}) v(prio, low)),
+named AS (SELECT task_id, tbl, col AS label
+          FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY table_idx, prio, ordinal DESC) AS r FROM c JOIN w ON lower(c.col) = w.low) WHERE r = 1),
+t AS ({_target_sql({t: q for t, (q, _) in _UNNAMED.items()}, {t: n for t, (_, n) in _UNNAMED.items()})}),
+second AS (SELECT task_id, c.tbl, target AS label, row_number() OVER (PARTITION BY task_id ORDER BY table_idx) AS r
+           FROM (SELECT DISTINCT task_id, tbl, table_idx FROM c WHERE task_id NOT IN (SELECT task_id FROM named)) c JOIN t ON t."table" = c.tbl
+           WHERE target IS NOT NULL AND filled_share > 0.05)
+SELECT task_id, tbl AS "table", label FROM named UNION ALL SELECT task_id, tbl, label FROM second WHERE r = 1""",
 )
 def pr_label_table_first(spark, sf_dir):
-    return profile.label_table_first(_labelled(spark, sf_dir))
+    targets = profile.infer_targets({t: bound(spark, sf_dir, q) for t, (q, _) in _UNNAMED.items()})
+    return profile.label_table_first(_labelled(spark, sf_dir), targets)

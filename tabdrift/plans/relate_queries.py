@@ -40,6 +40,15 @@ def stats_sql(names=TABLES) -> str:
     return "\nUNION ALL ".join(rows)
 
 
+def columns_sql(names) -> str:
+    """The columns of tables; ``names`` maps what a table is called here to the star-schema table."""
+    return "\nUNION ALL ".join(
+        f"SELECT '{t}' AS tbl, {i} AS table_idx, {k} AS ordinal, '{c}' AS col FROM (SELECT count(*) FROM {src})"
+        for i, (t, src) in enumerate(names.items())
+        for k, (c, _) in enumerate(columns(src))
+    )
+
+
 KEYED = f"""
 stats AS ({stats_sql()}),
 pairs AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in PAIRS)}) v(base, other)),
@@ -84,19 +93,19 @@ def jn_step_log(spark, sf_dir):
 
 
 NULLED = """SELECT CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_orderkey END AS orderkey, l_quantity AS quantity, l_discount AS discount,
-l_returnflag AS returnflag, l_shipdate AS shipdate FROM lineitem"""
+l_returnflag AS returnflag, l_linestatus AS linestatus, l_shipdate AS shipdate FROM lineitem"""
 NULLED_ORDERS = f"SELECT CASE WHEN orderkey % 14 = 0 THEN NULL ELSE orderkey END AS orderkey, custkey, orderstatus, totalprice FROM ({plain('orders')}) o"
 
 
 def _agg_sql(nums, texts, key="orderkey") -> str:
-    p = f"__agg__{key}__"
-    cols = [f"count(*) AS {p}row_count"]
+    cols = [f"count(*) AS __agg__{key}__row_count"]
     for c in nums:
-        cols += [f"round(avg({c}), 6) AS {p}{c}_mean", f"round(stddev_samp({c}), 6) AS {p}{c}_std", f"min({c}) AS {p}{c}_min", f"max({c}) AS {p}{c}_max"]
-    return ", ".join(cols + [f"count(DISTINCT {c}) AS {p}{c}_nunique" for c in texts])
+        figures = {"mean": f"round(avg({c}), 6)", "std": f"round(stddev_samp({c}), 6)", "min": f"min({c})", "max": f"max({c})"}
+        cols += [f"{x} AS __agg__{c}__{n}" for n, x in figures.items()]
+    return ", ".join(cols + [f"count(DISTINCT {c}) AS __agg__{c}__nunique" for c in texts])
 
 
-AGG = _agg_sql(["quantity", "discount"], ["returnflag"])
+AGG = _agg_sql(["quantity", "discount"], ["returnflag", "linestatus"])
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -135,34 +144,20 @@ TRAIN = {"training_0": "orders", "training_1": "customer", "training_2": "part"}
 TEST = {"test_1": "orders", "test_0": "customer", "test_3": "part"}
 
 
-def _present(spark, sf_dir, names) -> DataFrame:
-    """Columns of the named tables that hold a value, with the name each table takes."""
-    stats = relate.column_stats({t: table(spark, sf_dir, src) for t, src in names.items()})
-    return stats.filter("n_distinct > 0").select("table", "table_idx", "column")
-
-
-def _present_sql(names) -> str:
-    rows = [
-        f"SELECT '{t}' AS tbl, {i} AS table_idx, '{c}' AS col FROM {src} HAVING count({SCHEMAS[src][0]}{c}) > 0"
-        for i, (t, src) in enumerate(names.items())
-        for c, _ in columns(src)
-    ]
-    return "\nUNION ALL ".join(rows)
-
-
 @query(
     "jn_match_tables",
-    f"""WITH a AS ({_present_sql(TRAIN)}), b AS ({_present_sql(TEST)}),
+    f"""WITH a AS ({columns_sql(TRAIN)}), b AS ({columns_sql(TEST)}),
 o AS (SELECT a.tbl AS train_table, b.tbl AS test_table, b.table_idx, count(*) AS overlap FROM a JOIN b USING (col) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY train_table ORDER BY CASE WHEN replace(train_table, 'training_', 'test_') = test_table THEN 0 ELSE 1 END,
                                    overlap DESC, table_idx) AS r FROM o)
 SELECT train_table, test_table, overlap FROM r WHERE r = 1""",
 )
 def jn_match_tables(spark, sf_dir):
-    return relate.match_tables(_present(spark, sf_dir, TRAIN), _present(spark, sf_dir, TEST))
+    shown = lambda names: relate.column_table({t: table(spark, sf_dir, src) for t, src in names.items()})
+    return relate.match_tables(shown(TRAIN), shown(TEST))
 
 
-LINES = "SELECT l_orderkey AS orderkey, l_quantity AS quantity, l_discount AS discount, l_returnflag AS returnflag FROM lineitem"
+LINES = "SELECT l_orderkey AS orderkey, l_quantity AS quantity, l_discount AS discount, l_returnflag AS returnflag, l_linestatus AS linestatus FROM lineitem"
 
 
 @query(
@@ -180,6 +175,67 @@ def jn_relational_features(spark, sf_dir):
     return _rounded(relate.relational_features(base, others, "orderstatus", steps))
 
 
+#: Test tables of the same task: the base by shared columns, a child under another key, a parent that lost a column.
+EVOLVED_TEST = {
+    "test_1": "SELECT l_orderkey AS orderkey__renamed, l_quantity AS quantity, l_returnflag AS returnflag FROM lineitem",
+    "test_2": "SELECT c_custkey AS custkey, c_nationkey AS nationkey, c_mktsegment AS mktsegment, 1 AS extra FROM customer",
+    "test_0": "SELECT o_orderkey AS orderkey, o_custkey AS custkey, o_totalprice AS totalprice, o_orderdate AS orderdate FROM orders",
+}
+BUILD_TRAIN = {"training_0": plain("orders"), "training_1": LINES, "training_2": plain("customer"), "training_3": plain("part")}
+_LOST = ", ".join(
+    ["CAST(NULL AS BIGINT) AS __agg__orderkey__row_count"]
+    + [f"CAST(NULL AS DOUBLE) AS __agg__{c}__{f}" for c in ("quantity", "discount") for f in ("mean", "std", "min", "max")]
+    + [f"CAST(NULL AS BIGINT) AS __agg__{c}__nunique" for c in ("returnflag", "linestatus")]
+)
+
+
+def _build(spark, sf_dir):
+    train, test = ({t: bound(spark, sf_dir, q) for t, q in x.items()} for x in (BUILD_TRAIN, EVOLVED_TEST))
+    return relate.build_features(train, test, "training_0", "orderstatus")
+
+
+@query(
+    "jn_build_test",
+    f"""WITH o AS ({EVOLVED_TEST["test_0"]}), c AS ({EVOLVED_TEST["test_2"]})
+SELECT o.*, {_LOST}, c.nationkey, c.mktsegment FROM o LEFT JOIN c USING (custkey)""",
+)
+def jn_build_test(spark, sf_dir):
+    """Test rows of a full feature build whose child table has lost its key."""
+    return _build(spark, sf_dir)[1]
+
+
+@query(
+    "jn_build_log",
+    """SELECT *, (SELECT count(*) FROM orders) AS n_rows FROM (VALUES
+(0, 'training_1', 'test_1', 'orderkey', 'one_to_many', 'aggregate_join', NULL, 11, 'ok'), (1, 'training_2', 'test_2', 'custkey', 'many_to_one', 'join', NULL, 4, 'ok'),
+(2, 'training_3', 'test_1', NULL, NULL, 'skip', 'no_common_key', 0, 'ok')) v(step, train_table, test_table, key, relationship, action, reason, n_added_cols, status)""",
+)
+def jn_build_log(spark, sf_dir):
+    x_train, _, log = _build(spark, sf_dir)
+    return log.crossJoin(x_train.agg(F.count("*").alias("n_rows")))  # one row
+
+
+CHAIN = {
+    "orders": plain("orders"),
+    "customer": "SELECT c_custkey AS custkey, c_nationkey AS nationkey, c_acctbal AS acctbal, 'c' AS orderstatus FROM customer",
+    "nation": plain("nation"),
+    "region": "SELECT r_regionkey AS regionkey, r_name AS region_name FROM region",
+}
+
+
+@query(
+    "jn_join_chain",
+    f"""WITH o AS ({CHAIN["orders"]}), c AS ({CHAIN["customer"]}), n AS ({CHAIN["nation"]}), r AS ({CHAIN["region"]})
+SELECT o.* RENAME (orderstatus AS orderstatus_x), c.nationkey, c.acctbal, c.orderstatus AS orderstatus_y, n.name, n.regionkey, r.region_name
+FROM o LEFT JOIN c USING (custkey) LEFT JOIN n ON n.nationkey = c.nationkey LEFT JOIN r ON r.regionkey = n.regionkey""",
+)
+def jn_join_chain(spark, sf_dir):
+    """Tables joined one after another, each join checked before it runs."""
+    out, error = relate.join_chain({t: bound(spark, sf_dir, q) for t, q in CHAIN.items()})
+    assert error is None, error
+    return out
+
+
 EXPANSIONS = [("orders", "lineitem", "orderkey"), ("orders", "customer", "custkey"), ("supplier", "customer", "nationkey"), ("nation", "region", "regionkey")]
 
 
