@@ -55,7 +55,7 @@ def logistic(train: DataFrame, features: Sequence[str], label: str, cost: float
     from pyspark.ml.feature import VectorAssembler
 
     n = train.count()
-    fit = LogisticRegression(labelCol=label, featuresCol="_x", regParam=1.0 / (cost * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=200)
+    fit = LogisticRegression(labelCol=label, featuresCol="_x", regParam=1.0 / (cost * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=2_000, tol=1e-9)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), fit]).fit(train)
 
 

@@ -147,7 +147,7 @@ def fp_one_hot(spark, sf_dir):
 
 
 #: Rows for the ridge regression, half of them to train on, and the test rows rescaled.
-ROWS = """SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id, l_quantity AS quantity, l_discount AS discount, l_extendedprice AS y, l_suppkey % 2 AS half
+ROWS = """SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id, l_quantity AS quantity, l_discount AS discount, l_extendedprice AS y, l_suppkey % 2 AS half
 FROM lineitem"""
 RIDGE_SQL = f"""r AS ({ROWS}), t AS (SELECT * FROM r WHERE half = 0),
 m AS (SELECT count(*) AS n, avg(quantity) AS mq, avg(discount) AS md, avg(y) AS my, count(*) * var_pop(quantity) + 1 AS a, count(*) * covar_pop(quantity, discount) AS b,
@@ -170,14 +170,11 @@ def ml_ridge(spark, sf_dir):
 
 @query(
     "ml_score_pair",
-    f"""WITH {RIDGE_SQL}, s AS (SELECT DISTINCT id, quantity, discount FROM r WHERE half = 1), u AS (SELECT id FROM s GROUP BY id HAVING count(*) = 1)
-SELECT id, round(w0 + wq * quantity + wd * discount, 2) AS base, round(w0 + wq * (quantity / 10) + wd * discount, 2) AS evo FROM s JOIN u USING (id), f""",
+    f"""WITH {RIDGE_SQL} SELECT id, round(w0 + wq * quantity + wd * discount, 2) AS base, round(w0 + wq * (quantity / 10) + wd * discount, 2) AS evo FROM r, f WHERE half = 1""",
 )
 def ml_score_pair(spark, sf_dir):
     rows, w = _ridge(spark, sf_dir)
-    test = rows.filter("half = 1").select("id", "quantity", "discount").distinct()
-    once = test.groupBy("id").agg(F.count("*").alias("n")).filter("n = 1").select("id")
-    test = test.join(once, "id")
+    test = rows.filter("half = 1").select("id", "quantity", "discount")
     scored = model.score_pair(test, evolve.unit_scale(test, "quantity", 10), "id", w)
     return scored.withColumns({"base": F.round("base", 2), "evo": F.round("evo", 2)})
 
@@ -218,14 +215,17 @@ def ml_pred_summary(spark, sf_dir):
 
 
 def schema_change_impact(spark, sf_dir):
-    """The whole experiment in one plan: fit on baseline rows once, score them and each variant, drift per variant."""
+    """The whole experiment: fit on baseline rows once, score them and each variant, drift per variant.
+
+    A column that a variant has lost is null after alignment and takes the training median.
+    """
     rows, w = _ridge(spark, sf_dir)
-    test = rows.filter("half = 1").groupBy("id").agg(F.min("quantity").alias("quantity"), F.min("discount").alias("discount"))
+    train, test = (rows.filter(f"half = {h}").select("id", "quantity", "discount") for h in (0, 1))
     schema, out = test.dtypes, None
     variants = {
         "baseline": test,
         "meaning": evolve.unit_scale(test, "quantity", 10),
-        "drop": prep.align(evolve.drop_column(test, "discount"), schema).fillna(0.05, ["discount"]),
+        "drop": prep.impute_median(train, prep.align(evolve.drop_column(test, "discount"), schema), ["discount"]),
     }
     for name, df in variants.items():
         pairs = model.score_pair(test, df, "id", w).withColumn("variant", F.lit(name))
