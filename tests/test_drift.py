@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabdrift.functions.ordering import row_numbers, running_sums
+from tabdrift.functions.ordering import running_sums
 from tabdrift.operators import drift
 
 
@@ -63,12 +63,35 @@ def test_running_sums_over_one_group_and_null_keys(spark):
     assert got == {(None, 1.0): 1, (None, 2.0): 2, (None, 3.0): 3, (None, 1000.0): 4, ("k", 5.0): 2}
 
 
-@pytest.mark.parametrize("parts", [1, 8])
-def test_row_numbers_do_not_depend_on_partitions(spark, parts):
-    df = spark.range(500).repartition(parts)
-    got = sorted((r["id"], r["n"]) for r in row_numbers(df, [F.col("id")], "n").collect())
-    again = sorted((r["id"], r["n"]) for r in row_numbers(spark.range(500).repartition(3), [F.col("id")], "n").collect())
-    assert got == again and sorted(n for _, n in got) == list(range(500))
+def test_one_outlier_leaves_ranges_even(spark):
+    from tabdrift.functions import ordering
+
+    df = spark.createDataFrame([("g", float(v), 1) for v in [*range(3000), 10**12]], "k string, v double, n int")
+    out = ordering.running_sums(df, ["k"], "v", ["n"])
+    assert sorted(r["n"] for r in out.collect()) == list(range(1, 3002))
+    parts = F.array(*(F.lit(i / ordering.RANGES) for i in range(1, ordering.RANGES)))
+    cuts = df.agg(F.percentile_approx("v", parts, 1000).alias("c"))
+    sizes = [r["n"] for r in df.crossJoin(cuts).groupBy(ordering._range_of(F.col("v"), F.col("c"))).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == ordering.RANGES and max(sizes) < 3 * 3001 / ordering.RANGES
+
+
+def test_ranks_of_texts_that_begin_alike(spark):
+    from tabdrift.functions import ordering
+
+    words = [f"Customer#{i:09d}" for i in range(2500)]
+    got = {r["w"]: r["n"] for r in ordering.text_ranks(spark.createDataFrame([(w,) for w in words[::-1]], "w string"), "w", "n").collect()}
+    assert got == {w: i for i, w in enumerate(words)}
+
+
+def test_percentiles_against_numpy(spark):
+    from tabdrift.functions import ordering
+
+    rng = np.random.default_rng(1)
+    data = {"a": rng.normal(size=301).tolist(), "b": [1.0], "c": [2.0, 2.0, 5.0, None], "d": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
+    got = {r["k"]: (r["m"], r["p"]) for r in ordering.percentiles(df, ["k"], "v", {"m": 0.5, "p": 0.9}).collect()}
+    want = {k: tuple(np.percentile([v for v in vs if v is not None], [50, 90])) for k, vs in data.items() if k != "d"}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_text_ranks_follow_code_points(spark):

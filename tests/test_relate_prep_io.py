@@ -11,8 +11,8 @@ def test_null_keys_match_and_form_a_group(spark):
     base = spark.createDataFrame([(None, 1), (1, 2), (3, 3)], "k int, a int")
     child = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, None)], "k int, x double")
     got = {r["k"]: r for r in relate.join_child(base, child, "k").collect()}
-    assert got[None]["__agg__k__row_count"] == 2 and got[None]["__agg__k__x_mean"] == 2.0
-    assert got[1]["__agg__k__x_mean"] is None and got[3]["__agg__k__row_count"] is None
+    assert got[None]["__agg__k__row_count"] == 2 and got[None]["__agg__x__mean"] == 2.0
+    assert got[1]["__agg__x__mean"] is None and got[3]["__agg__k__row_count"] is None
 
 
 def test_relationship_rounds_first(spark):
@@ -112,3 +112,104 @@ def test_inferred_targets(spark):
 def test_domain_ties_and_none(spark):
     df = spark.createDataFrame([(["wind", "price"],), (["zzz"],)], "c array<string>")
     assert [tuple(r[0]) for r in df.select(profile.domain(F.col("c"))).collect()] == [("weather", 1), ("unknown", 0)]
+
+
+def test_cells_of_long_lines(spark):
+    many, long = ",".join(f'"a,{i}"' for i in range(10_000)), '"' + "x,y" * 400_000 + '",b'
+    df = spark.createDataFrame([(many,), (long,), ('1,"say ""hi"", you",',), ("",), ('"',)], "value string")
+    got = [r[0] for r in df.select(tables.csv_cells(F.col("value"))).collect()]
+    assert len(got[0]) == 10_000 and got[0][-1] == "a,9999" and [len(c) for c in got[1]] == [1_200_000, 1]
+    assert got[2:] == [["1", 'say "hi", you', ""], [""], ['"']]
+
+
+def test_each_log_file_is_read_once(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n} x.jsonl").write_text(f'{{"task_id": "{n}"}}\n')
+    names = [f"{tmp_path}/*.jsonl", f"{tmp_path}/a x.jsonl", f"{tmp_path}/none*.jsonl"]
+    assert sorted(r["task_id"] for r in tables.read_run_logs(spark, names, "task_id string").collect()) == ["a", "b"]
+    with pytest.raises(FileNotFoundError):
+        tables.read_run_logs(spark, [f"{tmp_path}/none*.jsonl"], "task_id string")
+
+
+def test_files_are_kept_byte_for_byte(spark, tmp_path):
+    import hashlib
+
+    raw = b"a,b\r\n1,\xff\n"
+    (tmp_path / "target.csv").write_bytes(raw)
+    tables.copy_files(spark, [str(tmp_path / "target.csv")], str(tmp_path / "out"), "baseline", "t1")
+    back = spark.read.parquet(str(tmp_path / "out" / "files")).first()
+    assert (back["name"], bytes(back["content"]), back["variant"], back["task_id"]) == ("target.csv", raw, "baseline", "t1")
+    mark = tables.file_fingerprints(spark, [str(tmp_path / "target.csv")]).first()
+    assert (mark["size"], mark["sha1_head"]) == (len(raw), hashlib.sha1(raw).hexdigest())
+
+
+def test_rows_of_a_sample_come_in_file_order(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.csv").write_text("id,v\n" + "".join(f"{n * 100 + i},x\n" for i in range(50)))
+    got = [r["id"] for r in tables.read_csv(spark, str(tmp_path), rows=60).collect()]
+    assert sorted(got) == [*range(50), *range(100, 110)]
+
+
+def test_labels_in_any_case_and_the_second_pass(spark):
+    rows = [("t", "a", 0, 0, "Target"), ("t", "b", 1, 0, "score"), ("t", "b", 1, 1, "SCORE"), ("u", "c", 0, 0, "x"), ("u", "d", 1, 0, "z"), ("w", "e", 0, 0, "q")]
+    names = spark.createDataFrame(rows, "task_id string, table string, table_idx int, ordinal int, column string")
+    assert {tuple(r) for r in profile.label_name_first(names).collect()} == {("t", "b", "SCORE")}
+    targets = spark.createDataFrame([("c", "x", 0.05), ("d", "z", 0.06), ("e", None, None)], "table string, target string, filled_share double")
+    assert {tuple(r) for r in profile.label_table_first(names, targets).collect()} == {("t", "a", "Target"), ("u", "d", "z")}
+
+
+def test_all_null_columns_are_columns(spark):
+    df = spark.createDataFrame([(1, None)], "k int, gone string")
+    got = relate.column_table({"a": df, "b": df.limit(0)})
+    assert {(r["table"], r["column"], r["n_rows"]) for r in got.collect()} == {("a", "k", 1), ("a", "gone", 1), ("b", "k", 0), ("b", "gone", 0)}
+
+
+def test_lost_keys_of_test_tables(spark):
+    base = spark.createDataFrame([(1, 10, "x"), (2, 10, "y")], "id int, par int, label string")
+    child = spark.createDataFrame([(1, 1.0), (1, 2.0)], "id int, v double")
+    parent = spark.createDataFrame([(10, "p"), (11, "q")], "par int, w string")
+    train = {"training_0": base, "training_1": child, "training_2": parent}
+    test = {"test_0": base.drop("label"), "test_1": child.withColumnRenamed("id", "id2"), "test_2": parent.withColumnRenamed("par", "par2")}
+    x, t, log = relate.build_features(train, test, "training_0", "label")
+    assert set(t.columns) == set(x.columns) - {"y"} and {r["__agg__v__mean"] for r in t.collect()} == {None} and {r["w"] for r in t.collect()} == {None}
+    assert [(r["train_table"], r["key"], r["status"]) for r in log.orderBy("step").collect()] == [("training_1", "id", "ok"), ("training_2", "par", "UNKNOWN_ERROR")]
+    assert {r["id"]: r["__agg__v__mean"] for r in x.collect()} == {1: 1.5, 2: None}
+
+
+def test_join_chain_stops_before_a_join_that_grows(spark):
+    a, b = (spark.createDataFrame([(i % 3, i) for i in range(60)], f"k int, {c} int") for c in "ab")
+    assert relate.join_chain({"a": a, "b": b}) == (None, "join expansion")
+    assert relate.join_chain({"a": a, "b": b.select("b")}) == (None, "no common columns")
+    few = spark.createDataFrame([(0, 5), (0, 6), (1, 7)], "k int, b int")
+    assert relate.join_chain({"a": a, "b": few}) == (None, "many-to-many")
+    same = spark.createDataFrame([(i % 3, 7) for i in range(60)], "k int, a int")
+    out, error = relate.join_chain({"a": same, "b": spark.createDataFrame([(0, 5)], "k int, a int")})
+    assert error is None and out.columns == ["k", "a_x", "a_y"] and out.count() == 60
+
+
+def test_texts_are_counted_alike_alone_and_together(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", None), (None, "b", None), (None, "c", None)], "k int, s string, t string")
+    got = {r["k"]: (r["__agg__s__nunique"], r["__agg__t__nunique"]) for r in relate.aggregate_child(df, "k").collect()}
+    one = {r["k"]: r["__agg__s__nunique"] for r in relate.aggregate_child(df.drop("t"), "k").collect()}
+    assert got == {1: (1, 1), None: (2, 0)} and one == {k: s for k, (s, _) in got.items()}
+
+
+def test_logistic_reaches_the_optimum(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 2))
+    y = (x @ [1.5, -2.0] + 0.3 + rng.logistic(size=120) > 0).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
+    got = model.logistic(df, ["a", "b"], "y").stages[-1]
+    w, z = np.zeros(3), np.column_stack([x, np.ones(120)])
+    for _ in range(50):  # Newton steps on summed loss and half the squared weights, the intercept free
+        p = 1 / (1 + np.exp(-z @ w))
+        keep = np.diag([1.0, 1.0, 0.0])
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + keep, z.T @ (p - y) + keep @ w)
+    assert np.allclose([*got.coefficients, got.intercept], w, atol=1e-3)
+
+
+def test_medians_and_modes_of_odd_columns(spark):
+    train = spark.createDataFrame([(1.0, "b", None), (2.0, "a", None), (4.0, "a", None), (8.0, "b", None)], "x double, s string, z double")
+    df = spark.createDataFrame([(None, None, None)], "x double, s string, z double")
+    assert prep.impute_median(train, df, ["x", "z"]).first()[:3] == (3.0, None, None)
+    assert prep.impute_mode(train, df, ["s"]).first()["s"] == "a"
