@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
 
@@ -12,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabdrift.functions.stored import written  # noqa: F401
+
 T = TypeVar("T")
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -24,35 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Where neither is set, a session on this machine alone takes a temporary folder
-    and keeps it; on a cluster that is an error, as executors would not see it. Tables
-    that are written there stay until the folder is cleared.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabdrift-"))
-        base = context.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the rerun of the stages above
-    the table, never of what came before it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Hand at most ``BATCH_ROWS`` rows at a time to Python in this session, if it has no setting of its own.
 

@@ -36,7 +36,7 @@ from tabdrift.llm.common import in_blocks, mixed, small_batches, small_side, wri
 #: Buckets of at most so many classes are paired directly.
 SMALL_BUCKET = 32
 #: Most document names that are broadcast to the texts; with more, the texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 400_000
 #: Shingles whose frequency the order of the crowd's sets knows; all others count as rare.
 COMMON = 200_000
 #: Shingles hashed at a time in a task, and words whose hashes a task remembers.
