@@ -15,8 +15,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabdrift.llm.common import lower_ascii, written
+from tabdrift.llm.common import lower_ascii, small_side, written
 
+#: Most blocked hosts that are broadcast to the pages; with more, the pages are joined by shuffle.
+BROADCAST_HOSTS = 200_000
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -158,6 +160,7 @@ def judge_urls(
     ranks = propagate(hosts, edges, **how)
     n = hosts.count()
     bad = ranks.filter((F.col("distrust") - F.col("trust")) * F.lit(float(n)) > margin).select(F.col("host").alias("uf_host"), F.lit("block").alias("uf_bad"))
+    bad = small_side(written(bad, "bad-hosts"), BROADCAST_HOSTS)  # a broadcast leaves the pages of a large host where they are
     return (
         judged.join(bad, "uf_host", "left")
         .withColumn("uf_rule", F.col("uf_found.name"))
