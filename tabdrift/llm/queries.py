@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabdrift.llm import chat_format, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter
+from tabdrift.llm import chat_format, embedding_dedup, exact_dedup, importance, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity, url_filter, vector_codes
 from tabdrift.llm.common import table
 from tabdrift.llm.labelled import fold
 
@@ -111,6 +111,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), embedding_dedup.GraphSpec())[0]
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), importance.ResampleSpec())
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), vector_codes.CodeSpec())
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_preference_chat": op2_preference_chat,
@@ -122,10 +135,16 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixture": op9_mixture,
     "op10_quality": op10_quality,
+    "op11_embedding_graph": op11_embedding_graph,
+    "op12_importance": op12_importance,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op2_preference_chat": chat_format.oracle_sql(),
     "op9_mixture": mixing.oracle_sql(),
+    "op11_embedding_graph": embedding_dedup.oracle_sql(),
+    "op12_importance": importance.oracle_sql(),
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
