@@ -49,7 +49,7 @@ class GraphSpec:
     overlap: int = 2
     degree: int = 16
     alpha: float = 1.2
-    beam: int = 24
+    beam: int = 40
     passes: int = 2
     slack: float = 0.03
     spread: float = 4.0
