@@ -17,12 +17,13 @@ UNION ALL SELECT 'orderstatus', CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_or
 UNION ALL SELECT 'totalprice', CASE WHEN o_orderkey % 10 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS {text}) END FROM orders
 UNION ALL SELECT 'empty', NULL FROM nation"""
 NUM = r"CASE WHEN regexp_matches(label, '^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$') THEN TRY_CAST(label AS DOUBLE) END"
-KIND_SQL = f"""l AS ({LABELS.format(text="VARCHAR")}), x AS (SELECT task, label, {NUM} AS x FROM l),
+KIND_OF = f"""l AS ({{labels}}), x AS (SELECT task, label, {NUM} AS x FROM l),
 s AS (SELECT task, count(*) AS n, coalesce(bool_and(lower(label) IN ('true', 'false') OR coalesce(x IN (0, 1), false)) FILTER (label IS NOT NULL), true) AS b,
   count(x) AS numbers, count(DISTINCT x) AS kinds, coalesce(bool_and(abs(x - round_even(x, 0)) <= 1e-8 + 1e-5 * abs(round_even(x, 0))) FILTER (x IS NOT NULL), false) AS whole,
   count(DISTINCT label) AS n_distinct FROM x GROUP BY task),
 k AS (SELECT task, n, n_distinct, CASE WHEN b THEN 'boolean_class' WHEN numbers >= 0.85 * n AND whole AND kinds <= 20 AND kinds < 0.2 * numbers THEN 'integer_class'
   WHEN numbers >= 0.85 * n THEN 'regression' ELSE 'text_class' END AS kind FROM s)"""
+KIND_SQL = KIND_OF.format(labels=LABELS.format(text="VARCHAR"))
 
 
 def _kinds(spark, sf_dir):
