@@ -132,12 +132,12 @@ def crash_rate(log: DataFrame) -> DataFrame:
 def crash_delta(log: DataFrame) -> DataFrame:
     """Crash counts with the baseline's counts of the same mode repeated, and the differences."""
     rates = crash_rate(log)
-    names = ["n_tasks", "n_success", "n_crash", "crash_rate"]
+    names = ["n_tasks", "n_success", "n_crash", "n_missing_evolved", "crash_rate", "success_rate"]
     base = rates.filter("variant = 'baseline'").select(F.col("align_mode").alias("_m"), *(F.col(c).alias(f"baseline_{c}") for c in names))
     out = rates.join(base, rates["align_mode"].eqNullSafe(base["_m"]), "left").drop("_m")
-    return out.withColumn("delta_crash_count", F.col("n_crash") - F.col("baseline_n_crash")).withColumn(
-        "delta_crash_rate", two_digits(F.col("crash_rate") - F.col("baseline_crash_rate"))
-    )
+    deltas = {"delta_crash_count": F.col("n_crash") - F.col("baseline_n_crash"), "delta_success_count": F.col("n_success") - F.col("baseline_n_success")}
+    out = out.withColumns(deltas | {"delta_crash_rate": two_digits(F.col("crash_rate") - F.col("baseline_crash_rate"))})
+    return out.orderBy("align_mode", F.desc("delta_crash_count"), F.desc("n_tasks"), "variant")
 
 
 def failures(log: DataFrame) -> DataFrame:

@@ -112,12 +112,12 @@ def _usable(df: DataFrame, column: str | None, protected: Sequence[str]) -> bool
 def add_columns(df: DataFrame, seed: int, row_key: str, sparse: float = 0.2) -> DataFrame:
     """Add __new_constant, __new_sparse (1.0 in about ``sparse`` of the rows, by a hash of seed
     and row key, else null) and __row_id, 0 to n - 1 in the order of the numeric ``row_key``."""
-    counts = written(df.groupBy(F.col(row_key).alias("_k")).agg(F.count("*").alias("_n"), F.count("*").alias("_upto")).withColumn("_one", F.lit(1)), "row-keys")
+    counts = written(df.groupBy(F.col(f"`{row_key}`").alias("_k")).agg(F.count("*").alias("_n"), F.count("*").alias("_upto")).withColumn("_one", F.lit(1)), "row-keys")
     upto = running_sums(counts, ["_one"], "_k", ["_upto"]).select("_k", (F.col("_upto") - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(row_key).orderBy(*(F.col(f"`{c}`") for c in df.columns)))
-    chance = hash_number(F.concat_ws(":", F.lit(str(seed)), F.col(row_key).cast("string"))) / F.lit(4294967296.0)
+    place = F.row_number().over(Window.partitionBy(F.col(f"`{row_key}`")).orderBy(*(F.col(f"`{c}`") for c in df.columns)))
+    chance = hash_number(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{row_key}`").cast("string"))) / F.lit(4294967296.0)
     return (
-        df.join(upto, df[row_key].eqNullSafe(upto["_k"]), "left")
+        df.join(upto, F.col(f"`{row_key}`").eqNullSafe(F.col("_k")), "left")
         .withColumn("__new_constant", F.lit("unknown"))
         .withColumn("__new_sparse", F.when(chance < sparse, 1.0))
         .withColumn("__row_id", (F.col("_before") + place - 1).cast("long"))
@@ -175,25 +175,26 @@ def numeric_candidate(df: DataFrame, row_key: str, protected: Sequence[str] = ()
 
 def to_numeric(df: DataFrame, column: str | None, protected: Sequence[str] = ()) -> DataFrame:
     """The text column as numbers, null where it does not read as one."""
-    return df.withColumn(column, number(F.col(column))) if _usable(df, column, protected) else df
+    return df.withColumn(column, number(F.col(f"`{column}`"))) if _usable(df, column, protected) else df
 
 
 def unit_scale(df: DataFrame, column: str | None, divisor: float, protected: Sequence[str] = ()) -> DataFrame:
     """A number column over ``divisor``."""
     if not _usable(df, column, protected) or column not in numeric_columns(df):
         return df
-    return df.withColumn(column, F.col(column) / F.lit(float(divisor)))
+    return df.withColumn(column, F.col(f"`{column}`") / F.lit(float(divisor)))
 
 
 def collapse_categories(df: DataFrame, column: str | None, k: int, row_id: str, protected: Sequence[str] = ()) -> DataFrame:
     """Keep the ``k`` most frequent values, the one that appears first on ties; all else, nulls too, is 'Other'.
 
-    The kept values are ``k`` rows, which bounds the broadcast.
+    A column without values stays as it is. The kept values are ``k`` rows, which bounds the broadcast.
     """
-    if not _usable(df, column, protected):
+    filled = F.col(f"`{column}`").isNotNull()
+    if not _usable(df, column, protected) or df.filter(filled).isEmpty():
         return df
-    text = F.col(column).cast("string")
-    kept = df.filter(F.col(column).isNotNull()).groupBy(text.alias("_kept")).agg(F.count("*").alias("n"), F.min(row_id).alias("first"))
+    text = F.col(f"`{column}`").cast("string")
+    kept = df.filter(filled).groupBy(text.alias("_kept")).agg(F.count("*").alias("n"), F.min(F.col(f"`{row_id}`")).alias("first"))
     kept = kept.orderBy(F.desc("n"), "first", "_kept").limit(k).select("_kept")
     return df.join(F.broadcast(kept), text == F.col("_kept"), "left").withColumn(column, F.coalesce("_kept", F.lit("Other"))).drop("_kept")
 
@@ -265,7 +266,7 @@ def evolve_address(df: DataFrame, base: str | None = None, protected: Sequence[s
     text = base if base in df.columns else parts.get("street")
     if not text:
         return df
-    value = F.col(text).cast("string")
+    value = F.col(f"`{text}`").cast("string")
     shares = df.agg(F.avg(value.contains(",").cast("int")).alias("comma"), F.avg(value.contains("|").cast("int")).alias("bar")).first()
     sign = "," if (shares["comma"] or 0) > 0.2 else r"\|" if (shares["bar"] or 0) > 0.2 else None
     if sign is None:
@@ -324,7 +325,7 @@ def op_infos(df: DataFrame, op: str, plan: Mapping, row_key: str, protected: Seq
     nothing = spark.range(1)
     skip = lambda c: "protected or missing in the plan" if not c or c in protected else "not in this table" if c not in df.columns else None
     if op == "add":
-        chance = hash_number(F.concat_ws(":", F.lit(str(plan["seed"])), F.col(row_key).cast("string"))) / F.lit(4294967296.0)
+        chance = hash_number(F.concat_ws(":", F.lit(str(plan["seed"])), F.col(f"`{row_key}`").cast("string"))) / F.lit(4294967296.0)
         rows.append(_info(df.agg(F.avg((chance < 0.2).cast("int")).alias("after_ratio")), op, "sparse", "__new_sparse"))
     elif op in ("rename", "drop"):
         c = plan.get(f"{op}_col")
@@ -350,7 +351,8 @@ def op_infos(df: DataFrame, op: str, plan: Mapping, row_key: str, protected: Seq
             rows.append(_info(means, op, f"divide_by_{plan['unit_scale_divisor']:g}", c))
             df = unit_scale(df, c, plan["unit_scale_divisor"], protected)
         if not skip(k):
-            rows.append(_info(_collapse_figures(df, k, plan["category_keep_topk"], row_key), op, f"keep_top{plan['category_keep_topk']}_else_Other", k))
+            figures = _collapse_figures(df, k, plan["category_keep_topk"], row_key).filter("cardinality_before > 0")
+            rows.append(_info(figures, op, f"keep_top{plan['category_keep_topk']}_else_Other", k))
     elif op == "address_split":
         c = plan.get("address_col")
         done = [] if c and c in protected else sorted(set(df.columns) - set(evolve_address(df, c, protected).columns))
@@ -370,7 +372,7 @@ def _collapse_figures(df: DataFrame, column: str, k: int, row_id: str) -> DataFr
     The values are ranked by count from one row each; the ``k`` largest are a bounded sort.
     """
     text = F.col(f"`{column}`").cast("string")
-    counts = df.groupBy(text.alias("v")).agg(F.count("*").alias("n"), F.min(row_id).alias("first"))
+    counts = df.groupBy(text.alias("v")).agg(F.count("*").alias("n"), F.min(F.col(f"`{row_id}`")).alias("first"))
     kept = counts.filter("v IS NOT NULL").orderBy(F.desc("n"), "first", "v").limit(k).agg(F.sum("n").alias("kept"), F.count("*").alias("stay"), F.count_if(F.col("v") == "Other").alias("named"))
     whole = counts.agg(F.sum("n").alias("rows"), F.count("v").alias("cardinality_before"), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("filled"))
     both = whole.crossJoin(kept)  # one row each

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +13,18 @@ def ridge(train: DataFrame, features: Sequence[str], label: str, alpha: float =
     """Weights and intercept of the ridge regression, intercept not penalised.
 
     The normal equations need only sums of products, one row of a map-side aggregation;
-    the small system is solved where the plan is built.
+    the small system is solved where the plan is built. For a few number columns; ``fit`` has the sparse
+    form. Rows with a null or NaN in a feature or the label are left out of all sums.
     """
-    names = [*features, label]
-    sums = [F.count("*").cast("double").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in names)]
+    names, kinds = [*features, label], dict(train.dtypes)
+    filled = F.lit(True)
+    for c in names:
+        filled = filled & F.col(f"`{c}`").isNotNull() & (~F.isnan(f"`{c}`") if kinds[c] in ("double", "float") else F.lit(True))
+    train = train.filter(filled).select(*(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(names)))
+    places = {c: f"x{i}" for i, c in enumerate(names)}
+    sums = [F.count("*").cast("double").alias("n"), *(F.avg(places[c]).alias(f"m_{c}") for c in names)]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = train.agg(*sums, *(F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs)).first()
+    row = train.agg(*sums, *(F.covar_pop(places[a], places[b]).alias(f"c_{a}_{b}") for a, b in pairs)).first()
     cov = {(a, b): row[f"c_{a}_{b}"] * row["n"] for a, b in pairs}
     cov |= {(b, a): v for (a, b), v in list(cov.items())}
     gram = np.array([[cov[a, b] for b in features] for a in features]) + alpha * np.eye(len(features))
@@ -30,7 +35,7 @@ def ridge(train: DataFrame, features: Sequence[str], label: str, alpha: float =
 
 def linear_score(weights: dict[str, float]) -> Column:
     """Prediction of a fitted linear model; a null feature makes it null."""
-    return sum((F.col(c) * F.lit(w) for c, w in weights.items() if c != "_intercept"), F.lit(weights["_intercept"]))
+    return sum((F.col(f"`{c}`") * F.lit(w) for c, w in weights.items() if c != "_intercept"), F.lit(weights["_intercept"]))
 
 
 def score_pair(base: DataFrame, evolved: DataFrame, row_id: str, weights: dict[str, float]) -> DataFrame:
@@ -58,28 +63,3 @@ def logistic(train: DataFrame, features: Sequence[str], label: str, cost: float
     fit = LogisticRegression(labelCol=label, featuresCol="_x", regParam=1.0 / (cost * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=2_000, tol=1e-9)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), fit]).fit(train)
 
-
-def ridge_per_task(train: DataFrame, features: Sequence[str], label: str, key: str = "task_id", alpha: float = 1.0) -> DataFrame:
-    """Ridge weights of many small tasks at once: key, feature, weight.
-
-    Sums of products are aggregated per task first, so no task's rows have to meet; only
-    the small systems are solved in Python.
-    """
-    names = [*features, label]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    sums = train.groupBy(key).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in names), *(F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs))
-    kind = train.schema[key].dataType.simpleString()
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_dict("records"):
-                cov = {(a, b): r[f"c_{a}_{b}"] * r["n"] for a, b in pairs}
-                cov |= {(b, a): v for (a, b), v in list(cov.items())}
-                gram = np.array([[cov[a, b] for b in features] for a in features]) + alpha * np.eye(len(features))
-                w = np.linalg.solve(gram, np.array([cov[a, label] for a in features]))
-                rows += [(r[key], f, float(x)) for f, x in zip(features, w, strict=True)]
-                rows.append((r[key], "_intercept", float(r[f"m_{label}"] - sum(x * r[f"m_{f}"] for f, x in zip(features, w, strict=True)))))
-            yield pd.DataFrame(rows, columns=[key, "feature", "weight"])
-
-    return sums.mapInPandas(solve, f"`{key}` {kind}, feature string, weight double")

@@ -126,7 +126,7 @@ def catalog(tables: Mapping[str, DataFrame], unreadable: Sequence[str] = ()) ->
 def first_values(df: DataFrame, row_id: str, columns: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` non-null values of each column in row order: column, ordinal, value."""
     parts = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)))
-    long = df.select(F.col(row_id).alias("_row"), F.explode(parts).alias("c")).select("_row", "c.*").filter("value IS NOT NULL")
+    long = df.select(F.col(f"`{row_id}`").alias("_row"), F.explode(parts).alias("c")).select("_row", "c.*").filter("value IS NOT NULL")
     return long.withColumn("_r", F.row_number().over(Window.partitionBy("ordinal", "column").orderBy("_row"))).filter(F.col("_r") <= n).drop("_r", "_row")
 
 

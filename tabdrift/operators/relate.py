@@ -13,6 +13,9 @@ from tabdrift.functions.numbers import two_digits
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
+#: What a step log says.
+SKIP, AGGREGATE, MERGE, NO_KEY, UNSAFE = "skip", "aggregate_then_merge", "safe_left_merge", "no_common_key_with_base", "many_to_many_unsafe"
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, NUMERIC)]
@@ -128,8 +131,8 @@ def relationships(stats: DataFrame, keyed: DataFrame) -> DataFrame:
 def step_log(related: DataFrame) -> DataFrame:
     """What a feature build does with each other table, and why it skips one."""
     kind = F.col("relationship")
-    action = F.when(F.col("key").isNull(), "skip").when(kind == "one_to_many", "aggregate_join").when(kind.isin("one_to_one", "many_to_one"), "join").otherwise("skip")
-    reason = F.when(F.col("key").isNull(), "no_common_key").when(action == "skip", kind)
+    action = F.when(F.col("key").isNull(), SKIP).when(kind == "one_to_many", AGGREGATE).when(kind.isin("one_to_one", "many_to_one"), MERGE).otherwise(SKIP)
+    reason = F.when(F.col("key").isNull(), NO_KEY).when(action == SKIP, UNSAFE)
     return related.withColumn("action", action).withColumn("reason", reason)
 
 
@@ -147,11 +150,12 @@ def aggregate_child(child: DataFrame, key: str) -> DataFrame:
             aggs += [F.avg(x).alias(f"__agg__{c}__mean"), F.stddev_samp(x).alias(f"__agg__{c}__std"), F.min(x).alias(f"__agg__{c}__min"), F.max(x).alias(f"__agg__{c}__max")]
     texts = [f.name for f in child.schema if f.name != key and isinstance(f.dataType, T.StringType)]
     if len(texts) < 2:
-        return child.groupBy(key).agg(*aggs, *(F.count_distinct(F.col(f"`{c}`")).alias(f"__agg__{c}__nunique") for c in texts))
+        return child.groupBy(F.col(f"`{key}`")).agg(*aggs, *(F.count_distinct(F.col(f"`{c}`")).alias(f"__agg__{c}__nunique") for c in texts))
     cells_ = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(texts)))
-    values = child.select(key, F.explode(cells_).alias("s")).select(key, "s.*").distinct()
-    kinds = values.groupBy(key).agg(*(F.count(F.when(F.col("i") == i, F.col("v"))).alias(f"__agg__{c}__nunique") for i, c in enumerate(texts)))
-    return null_safe_left_join(child.groupBy(key).agg(*aggs), kinds, key)
+    k = F.col(f"`{key}`")
+    values = child.select(k, F.explode(cells_).alias("s")).select(k, "s.*").distinct()
+    kinds = values.groupBy(k).agg(*(F.count(F.when(F.col("i") == i, F.col("v"))).alias(f"__agg__{c}__nunique") for i, c in enumerate(texts)))
+    return null_safe_left_join(child.groupBy(k).agg(*aggs), kinds, key)
 
 
 def null_safe_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -162,7 +166,7 @@ def null_safe_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFram
     both = {c for c in right.columns if c != key and c in left.columns}
     left = left.withColumnsRenamed({c: f"{c}_x" for c in both})
     other = right.withColumnsRenamed({key: "_right_key"} | {c: f"{c}_y" for c in both})
-    return left.join(other, left[key].eqNullSafe(other["_right_key"]), "left").drop("_right_key")
+    return left.join(other, F.col(f"`{key}`").eqNullSafe(F.col("_right_key")), "left").drop("_right_key")
 
 
 def join_child(base: DataFrame, child: DataFrame, key: str) -> DataFrame:
@@ -173,7 +177,7 @@ def join_child(base: DataFrame, child: DataFrame, key: str) -> DataFrame:
 def join_parent(base: DataFrame, parent: DataFrame, key: str, exclude: Sequence[str] = ()) -> DataFrame:
     """Attach the columns that ``base`` does not have yet from a table with a unique key."""
     fresh = [c for c in parent.columns if c != key and c not in base.columns and c not in exclude]
-    return null_safe_left_join(base, parent.select(key, *(F.col(f"`{c}`") for c in fresh)), key)
+    return null_safe_left_join(base, parent.select(F.col(f"`{key}`"), *(F.col(f"`{c}`") for c in fresh)), key)
 
 
 def relational_features(base: DataFrame, others: Mapping[str, DataFrame], label: str, steps: Mapping[str, tuple[str | None, str | None]]) -> DataFrame:
@@ -219,7 +223,7 @@ def build_features(train: Mapping[str, DataFrame], test: Mapping[str, DataFrame]
         partner = named if named in test else largest(name)
         df, other = train[name].drop(label), test[partner].drop(label)
         if key is None or kind not in ("one_to_many", "one_to_one", "many_to_one"):
-            log.append((i, name, partner, key, kind, "skip", "no_common_key" if key is None else kind, 0, "ok"))
+            log.append((i, name, partner, key, kind, SKIP, NO_KEY if key is None else UNSAFE, 0, "ok"))
             continue
         before, child = x_train.columns, kind == "one_to_many"
         x_train = join_child(x_train, df, key) if child else join_parent(x_train, df, key, exclude=("y",))
@@ -227,11 +231,11 @@ def build_features(train: Mapping[str, DataFrame], test: Mapping[str, DataFrame]
         status = "ok" if key in x_test.columns and (child or key in other.columns) else "UNKNOWN_ERROR"
         if status == "ok" and key in other.columns:
             if not child:
-                other = other.select(key, *(F.col(f"`{f.name}`") for f in added if f.name in other.columns and f.name not in x_test.columns))
+                other = other.select(F.col(f"`{key}`"), *(F.col(f"`{f.name}`") for f in added if f.name in other.columns and f.name not in x_test.columns))
             x_test = join_child(x_test, other, key) if child else null_safe_left_join(x_test, other, key)
         else:
             x_test = x_test.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added if f.name not in x_test.columns})
-        log.append((i, name, partner, key, kind, "aggregate_join" if child else "join", None, len(added), status))
+        log.append((i, name, partner, key, kind, AGGREGATE if child else MERGE, None, len(added), status))
     return x_train, x_test, spark.createDataFrame(log, STEP_LOG)
 
 
@@ -250,8 +254,8 @@ def match_tables(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def join_expansion(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Mean matches a left row finds, at least 1 each, over all left rows; from counts per key only."""
-    a = left.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    b = right.groupBy(F.col(key).alias("k2")).agg(F.count("*").alias("m"))
+    a = left.groupBy(F.col(f"`{key}`").alias("k")).agg(F.count("*").alias("n"))
+    b = right.groupBy(F.col(f"`{key}`").alias("k2")).agg(F.count("*").alias("m"))
     both = a.join(b, a["k"].eqNullSafe(b["k2"]), "left")
     mean = F.sum(F.col("n") * F.greatest(F.coalesce("m", F.lit(1)), F.lit(1))) / F.sum("n")
     return both.agg(two_digits(mean).alias("expansion"))

@@ -99,7 +99,8 @@ def an_crash_rate(spark, sf_dir):
 @query(
     "an_crash_delta",
     f"""WITH {LOG}, {RATE} SELECT r.*, b.n_tasks AS baseline_n_tasks, b.n_success AS baseline_n_success, b.n_crash AS baseline_n_crash,
-b.crash_rate AS baseline_crash_rate, r.n_crash - b.n_crash AS delta_crash_count, {two("r.crash_rate - b.crash_rate")} AS delta_crash_rate
+b.n_missing_evolved AS baseline_n_missing_evolved, b.crash_rate AS baseline_crash_rate, b.success_rate AS baseline_success_rate, r.n_crash - b.n_crash AS delta_crash_count,
+r.n_success - b.n_success AS delta_success_count, {two("r.crash_rate - b.crash_rate")} AS delta_crash_rate
 FROM rates r LEFT JOIN rates b ON b.variant = 'baseline' AND b.align_mode = r.align_mode""",
 )
 def an_crash_delta(spark, sf_dir):

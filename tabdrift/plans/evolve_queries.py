@@ -150,6 +150,15 @@ def ev_meaning_topk_other(spark, sf_dir):
     return evolve.collapse_categories(evolve.collapse_categories(bound(spark, sf_dir, NAMES), "name", 5, "id"), "brand", 2, "id")
 
 
+BLANK = "SELECT p_partkey AS id, CASE WHEN p_partkey < 0 THEN p_name END AS blank FROM part"
+
+
+@query("ev_meaning_no_values", f"SELECT id, blank FROM ({BLANK}) b")
+def ev_meaning_no_values(spark, sf_dir):
+    """A column without values has no categories to collapse."""
+    return evolve.collapse_categories(bound(spark, sf_dir, BLANK), "blank", 5, "id")
+
+
 #: Shapes of address tables and the parts that are found in them.
 SHAPES = {
     "SELECT c_custkey AS id, c_name AS provider_street_address, c_mktsegment AS provider_city, c_nationkey AS provider_zip_code FROM customer": ("provider_street_address", "city=provider_city,street=provider_street_address,zip=provider_zip_code"),

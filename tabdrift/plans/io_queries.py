@@ -45,15 +45,15 @@ def io_write_variant(spark, sf_dir):
 
 HEADER = ["id", "status", "priority", "note"]
 RAGGED = """SELECT o_orderkey AS k, CASE o_orderkey % 10 WHEN 0 THEN concat(o_orderkey, ',', o_orderstatus)
-WHEN 1 THEN concat(o_orderkey, ',', o_orderstatus, ',', o_orderpriority, ',a,b,c') WHEN 2 THEN concat(o_orderkey, ',"', o_orderstatus, ',x",', o_orderpriority, ',')
+WHEN 3 THEN concat(o_orderkey, ',', o_orderstatus, ' 5" pipe,', o_orderpriority, ',say "a, b') WHEN 4 THEN concat(o_orderkey, ',', o_orderstatus, ' 5" pipe,', o_orderpriority, ',n') WHEN 1 THEN concat(o_orderkey, ',', o_orderstatus, ',', o_orderpriority, ',a,b,c') WHEN 2 THEN concat(o_orderkey, ',"', o_orderstatus, ',x",', o_orderpriority, ',')
 ELSE concat(o_orderkey, ',', o_orderstatus, ',', o_orderpriority, ',n') END AS value FROM orders"""
 
 
 @query(
     "io_ragged_rows",
-    """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 10 = 2 THEN o_orderstatus || ',x' ELSE o_orderstatus END AS status,
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 10 WHEN 2 THEN o_orderstatus || ',x' WHEN 4 THEN o_orderstatus || ' 5" pipe' ELSE o_orderstatus END AS status,
 CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 10 IN (0, 2) THEN NULL ELSE 'n' END AS note
-FROM orders WHERE o_orderkey % 10 <> 1""",
+FROM orders WHERE o_orderkey % 10 NOT IN (1, 3)""",
 )
 def io_ragged_rows(spark, sf_dir):
     return tables.parse_ragged(bound(spark, sf_dir, RAGGED), HEADER)
@@ -61,13 +61,14 @@ def io_ragged_rows(spark, sf_dir):
 
 PACKED = """SELECT CASE o_orderkey % 10 WHEN 0 THEN concat(o_orderkey, ',"', o_orderstatus, ',', o_orderpriority, ',n"')
 WHEN 1 THEN concat(o_orderkey, ',"', o_orderstatus, ',""q"" ', o_orderpriority, '",,,,') WHEN 2 THEN concat(o_orderkey, ',', o_orderstatus, ',', o_orderpriority, ',n,extra')
-WHEN 3 THEN concat(o_orderkey, ',', o_orderstatus) ELSE concat(o_orderkey, ',', o_orderstatus, ',', o_orderpriority, ',n') END AS value FROM orders"""
+WHEN 4 THEN concat(o_orderkey, ',', o_orderstatus, ',5" ', o_orderpriority, ',"a, b" c"d') WHEN 3 THEN concat(o_orderkey, ',', o_orderstatus) ELSE concat(o_orderkey, ',', o_orderstatus, ',', o_orderpriority, ',n') END AS value FROM orders"""
 
 
 @query(
     "io_repair_embedded",
     """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status,
-CASE o_orderkey % 10 WHEN 1 THEN '"q" ' || o_orderpriority WHEN 3 THEN NULL ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 10 IN (1, 3) THEN NULL ELSE 'n' END AS note FROM orders""",
+CASE o_orderkey % 10 WHEN 1 THEN 'q ' || o_orderpriority WHEN 3 THEN NULL WHEN 4 THEN '5" ' || o_orderpriority ELSE o_orderpriority END AS priority,
+CASE WHEN o_orderkey % 10 IN (1, 3) THEN NULL WHEN o_orderkey % 10 = 4 THEN 'a, b c"d' ELSE 'n' END AS note FROM orders""",
 )
 def io_repair_embedded(spark, sf_dir):
     return tables.repair_embedded(bound(spark, sf_dir, PACKED), HEADER)

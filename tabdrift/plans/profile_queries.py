@@ -128,21 +128,19 @@ def pr_domain_guess(spark, sf_dir):
     return _catalog(spark, sf_dir).select("table", "n_rows", "domain_guess", "domain_score")
 
 
-TASKS = "CASE WHEN {t} IN ('lineitem', 'orders', 'customer') THEN 'sales' WHEN {t} IN ('nation', 'region', 'supplier') THEN 'places' ELSE 'parts' END"
-
-
-def _columns(spark, sf_dir):
-    return relate.column_table(_tables(spark, sf_dir, list(SCHEMAS))).withColumn("task_id", F.expr(TASKS.format(t="table")))
+#: Columns of the tables of tasks, of which each event names one.
+NAMED = """SELECT DISTINCT concat('task_', user_id) AS task_id, event_type AS tbl, CASE WHEN event_id % 19 = 0 THEN 'Unnamed: 0' ELSE concat('c', event_id % 23) END AS col
+FROM events WHERE user_id % 7 > 0 OR event_type = 'click'"""
 
 
 @query(
     "pr_join_keys",
-    f"""WITH s AS ({columns_sql({t: t for t in SCHEMAS})}), t AS (SELECT *, {TASKS.format(t="tbl")} AS task_id FROM s),
+    f"""WITH t AS ({NAMED}),
 many AS (SELECT task_id FROM t GROUP BY task_id HAVING count(DISTINCT tbl) >= 2)
-SELECT task_id, col AS "column", count(DISTINCT tbl) AS n_tables FROM t WHERE task_id IN (SELECT task_id FROM many) GROUP BY ALL HAVING count(DISTINCT tbl) >= 2""",
+SELECT task_id, col AS "column", count(DISTINCT tbl) AS n_tables FROM t WHERE task_id IN (SELECT task_id FROM many) AND col <> 'Unnamed: 0' GROUP BY ALL HAVING count(DISTINCT tbl) >= 2""",
 )
 def pr_join_keys(spark, sf_dir):
-    return relate.join_keys(_columns(spark, sf_dir).select("task_id", "table", "column"))
+    return relate.join_keys(bound(spark, sf_dir, NAMED).withColumnsRenamed({"tbl": "table", "col": "column"}))
 
 
 DATED = """SELECT o_orderkey AS id, {iso} AS iso, CASE WHEN o_orderkey % 10 = 0 THEN 'bad' ELSE {us} END AS us,
@@ -284,14 +282,19 @@ LABELLED_SQL = "\nUNION ALL ".join(
 _WANTED = lambda names: ", ".join(f"({i}, '{n.lower()}')" for i, n in enumerate(names))
 
 
+#: Headers of the tables of tasks, of which each event is a column.
+HEADERS = """SELECT concat('task_', user_id) AS task_id, event_type AS tbl, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE 3 END AS table_idx, event_id AS ordinal,
+CASE event_id % 41 WHEN 0 THEN 'SCORE' WHEN 1 THEN 'Label' WHEN 2 THEN 'target' WHEN 3 THEN 'y' WHEN 4 THEN 'Outcome' ELSE concat('c', event_id) END AS col FROM events"""
+
+
 @query(
     "pr_label_name_first",
-    f"""WITH c AS ({LABELLED_SQL}), w AS (SELECT * FROM (VALUES {_WANTED(profile.LABEL_PRIORITY)}) v(prio, low))
+    f"""WITH c AS ({HEADERS}), w AS (SELECT * FROM (VALUES {_WANTED(profile.LABEL_PRIORITY)}) v(prio, low))
 SELECT task_id, tbl AS "table", col AS label
 FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY prio, table_idx, ordinal DESC) AS r FROM c JOIN w ON lower(c.col) = w.low) WHERE r = 1""",
 )
 def pr_label_name_first(spark, sf_dir):
-    return profile.label_name_first(_labelled(spark, sf_dir))
+    return profile.label_name_first(bound(spark, sf_dir, HEADERS).withColumnsRenamed({"tbl": "table", "col": "column"}))
 
 
 _UNNAMED = LABELLED["task_1"]

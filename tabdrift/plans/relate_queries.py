@@ -85,8 +85,8 @@ def jn_relationship(spark, sf_dir):
 @query(
     "jn_step_log",
     f"""WITH {KEYED} SELECT base, other, key, relationship,
-CASE WHEN key IS NULL OR relationship = 'many_to_many' THEN 'skip' WHEN relationship = 'one_to_many' THEN 'aggregate_join' ELSE 'join' END AS action,
-CASE WHEN key IS NULL THEN 'no_common_key' WHEN relationship = 'many_to_many' THEN relationship END AS reason FROM related""",
+CASE WHEN key IS NULL OR relationship = 'many_to_many' THEN 'skip' WHEN relationship = 'one_to_many' THEN 'aggregate_then_merge' ELSE 'safe_left_merge' END AS action,
+CASE WHEN key IS NULL THEN 'no_common_key_with_base' WHEN relationship = 'many_to_many' THEN 'many_to_many_unsafe' END AS reason FROM related""",
 )
 def jn_step_log(spark, sf_dir):
     return relate.step_log(_related(spark, sf_dir)).select("base", "other", "key", "relationship", "action", "reason")
@@ -139,21 +139,22 @@ def jn_many_to_one(spark, sf_dir):
     return relate.join_parent(bound(spark, sf_dir, ORDERS_NULL_CUST), bound(spark, sf_dir, CUSTOMERS), "custkey")
 
 
-#: Training tables against tables that lost or renamed columns, by (table, columns).
-TRAIN = {"training_0": "orders", "training_1": "customer", "training_2": "part"}
-TEST = {"test_1": "orders", "test_0": "customer", "test_3": "part"}
+#: Columns of training and test tables, of which each event names one.
+TRAIN = "SELECT DISTINCT concat('training_', user_id % 40) AS tbl, user_id % 40 AS table_idx, concat('c', (event_id // 7) % 60) AS col FROM events WHERE event_id % 3 > 0"
+TEST = "SELECT DISTINCT concat('test_', user_id % 37 + 9) AS tbl, user_id % 37 AS table_idx, concat('c', (event_id // 7) % 60) AS col FROM events WHERE event_id % 3 < 2"
 
 
 @query(
     "jn_match_tables",
-    f"""WITH a AS ({columns_sql(TRAIN)}), b AS ({columns_sql(TEST)}),
+    f"""WITH a AS ({TRAIN}), b AS ({TEST}),
 o AS (SELECT a.tbl AS train_table, b.tbl AS test_table, b.table_idx, count(*) AS overlap FROM a JOIN b USING (col) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY train_table ORDER BY CASE WHEN replace(train_table, 'training_', 'test_') = test_table THEN 0 ELSE 1 END,
                                    overlap DESC, table_idx) AS r FROM o)
 SELECT train_table, test_table, overlap FROM r WHERE r = 1""",
 )
 def jn_match_tables(spark, sf_dir):
-    shown = lambda names: relate.column_table({t: table(spark, sf_dir, src) for t, src in names.items()})
+    named = {"tbl": "table", "col": "column"}
+    shown = lambda sql: bound(spark, sf_dir, sql.replace("//", "DIV")).withColumnsRenamed(named)
     return relate.match_tables(shown(TRAIN), shown(TEST))
 
 
@@ -207,8 +208,8 @@ def jn_build_test(spark, sf_dir):
 @query(
     "jn_build_log",
     """SELECT *, (SELECT count(*) FROM orders) AS n_rows FROM (VALUES
-(0, 'training_1', 'test_1', 'orderkey', 'one_to_many', 'aggregate_join', NULL, 11, 'ok'), (1, 'training_2', 'test_2', 'custkey', 'many_to_one', 'join', NULL, 4, 'ok'),
-(2, 'training_3', 'test_1', NULL, NULL, 'skip', 'no_common_key', 0, 'ok')) v(step, train_table, test_table, key, relationship, action, reason, n_added_cols, status)""",
+(0, 'training_1', 'test_1', 'orderkey', 'one_to_many', 'aggregate_then_merge', NULL, 11, 'ok'), (1, 'training_2', 'test_2', 'custkey', 'many_to_one', 'safe_left_merge', NULL, 4, 'ok'),
+(2, 'training_3', 'test_1', NULL, NULL, 'skip', 'no_common_key_with_base', 0, 'ok')) v(step, train_table, test_table, key, relationship, action, reason, n_added_cols, status)""",
 )
 def jn_build_log(spark, sf_dir):
     x_train, _, log = _build(spark, sf_dir)

@@ -72,8 +72,8 @@ def test_ridge_against_normal_equations(spark):
     want = np.linalg.solve(xc.T @ xc + np.eye(2), xc.T @ (y - y.mean()))
     got = model.ridge(df, ["a", "b"], "y")
     assert np.allclose([got["a"], got["b"]], want)
-    many = {r["feature"]: r["weight"] for r in model.ridge_per_task(df, ["a", "b"], "y").collect()}
-    assert many["a"] == pytest.approx(got["a"]) and many["_intercept"] == pytest.approx(got["_intercept"])
+    holes = spark.createDataFrame([("t", None, 1.0, 9.0), ("t", 1.0, 1.0, None), ("t", float("nan"), 0.0, 0.0)], df.schema)
+    assert model.ridge(df.unionByName(holes), ["a", "b"], "y") == pytest.approx(got)
 
 
 def test_csv_hygiene_and_round_trip(spark, tmp_path):
@@ -119,7 +119,47 @@ def test_cells_of_long_lines(spark):
     df = spark.createDataFrame([(many,), (long,), ('1,"say ""hi"", you",',), ("",), ('"',)], "value string")
     got = [r[0] for r in df.select(tables.csv_cells(F.col("value"))).collect()]
     assert len(got[0]) == 10_000 and got[0][-1] == "a,9999" and [len(c) for c in got[1]] == [1_200_000, 1]
-    assert got[2:] == [["1", 'say "hi", you', ""], [""], ['"']]
+    assert got[2:] == [["1", 'say "hi", you', ""], [""], [""]]
+
+
+def test_cells_equal_a_csv_reader(spark):
+    import csv
+    import random
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choice(['"', '"', ",", ",", "a", " ", "bc", "\t", "é"]) for _ in range(rng.randint(1, 24))) for _ in range(10_000)]
+    lines += ['a,5" pipe,b', '1,he said "x, y" ok,z', '"a"b"c,d', '"x""y"z,', '"never, closed', "x" * 1_000_000 + ',"' + '""' * 200_000 + '",y', ",".join(['"', "z"] * 3)]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, value string").repartition(4)
+    got = {r["i"]: r["c"] for r in df.select("i", tables.csv_cells(F.col("value")).alias("c")).collect()}
+    csv.field_size_limit(10_000_000)
+    assert [i for i, line in enumerate(lines) if got[i] != next(csv.reader([line]))] == []
+
+
+def test_names_with_dots(spark):
+    from tabdrift.operators import evolve
+
+    df = spark.createDataFrame([(1, "2", "u", 4.0), (1, "x", "v", 6.0), (2, "3", "u", 8.0)], "`k.id` int, `n.m` string, `c.d` string, `x.y` double")
+    assert [r[0] for r in evolve.to_numeric(df, "n.m").select("`n.m`").collect()] == [2.0, None, 3.0]
+    assert [r[0] for r in evolve.unit_scale(df, "x.y", 2).select("`x.y`").collect()] == [2.0, 3.0, 4.0]
+    assert sorted(r[0] for r in evolve.collapse_categories(df, "c.d", 1, "k.id").select("`c.d`").collect()) == ["Other", "u", "u"]
+    agg = {r["k.id"]: r for r in relate.aggregate_child(df, "k.id").collect()}
+    assert agg[1]["__agg__x.y__mean"] == 5.0 and agg[1]["__agg__n.m__nunique"] == 2 and agg[2]["__agg__k.id__row_count"] == 1
+    base = spark.createDataFrame([(1,), (3,)], "`k.id` int")
+    assert relate.join_child(base, df, "k.id").count() == 2 and relate.join_parent(base, df, "k.id").count() == 3
+    assert relate.join_expansion(base, df, "k.id").first()[0] == 1.5
+    assert sorted(r["__row_id"] for r in evolve.add_columns(df, 7, "k.id").collect()) == [0, 1, 2]
+    assert len(evolve.op_infos(df, "meaning", {"meaning_num_col": "x.y", "meaning_cat_col": "c.d", "unit_scale_divisor": 10.0, "category_keep_topk": 1}, "k.id").collect()) == 2
+    w = model.ridge(df, ["x.y"], "k.id")
+    assert df.select(model.linear_score(w)).count() == 3
+
+
+def test_a_column_without_values_is_not_collapsed(spark):
+    from tabdrift.operators import evolve
+
+    df = spark.createDataFrame([(1, None), (2, None)], "id int, c string")
+    assert [r["c"] for r in evolve.collapse_categories(df, "c", 2, "id").collect()] == [None, None]
+    plan = {"meaning_num_col": None, "meaning_cat_col": "c", "unit_scale_divisor": 10.0, "category_keep_topk": 2}
+    assert evolve.op_infos(df, "meaning", plan, "id").count() == 0
 
 
 def test_each_log_file_is_read_once(spark, tmp_path):
