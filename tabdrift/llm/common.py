@@ -45,6 +45,17 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN))
 
 
+def carried(docs: DataFrame, *named: str) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row``, with the named ones beside it, so that no helper column can meet a name of theirs."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, *(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(named)))
+
+
+def released(df: DataFrame) -> DataFrame:
+    """The columns that ``carried`` packed."""
+    return df.select("row.*")
+
+
 def in_blocks(values: Iterable[T], weight: Callable[[T], int], most: int) -> Iterator[tuple[int, list[T]]]:
     """Runs of ``values`` that end once they weigh more than ``most``, each with the place of its first.
 

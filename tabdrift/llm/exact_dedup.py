@@ -9,12 +9,15 @@ the batch: a run that is repeated under its name decides as the first did.
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabdrift.llm.common import written
+from tabdrift.llm.common import carried, released, written
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, batch string"
 
@@ -35,6 +38,9 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name, self.spare = spark, name, f"{name}_compact"
+        own = os.path.join(os.getcwd(), "spark-warehouse")
+        if not spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/") == own:
+            raise RuntimeError("set spark.sql.warehouse.dir to a folder that all executors share")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if spark.catalog.tableExists(self.spare) and not spark.catalog.tableExists(name):
             self._take_spare()  # a compaction was lost between its last two steps
@@ -116,6 +122,24 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, text: str = "te
     Equal texts meet as one partial row per task and key in the aggregation; the join
     back shuffles both sides by digest, so adaptive execution can split a large group.
     """
+    return _marked(docs, _decided(docs, index, batch, text, key), text, key)
+
+
+def dedup_in_batches(docs: DataFrame, index: DigestIndex, batches: Sequence[tuple[str, Column]], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``exact_dedup`` of one table in batches, one after the other: names, and conditions on its rows of which each row meets one.
+
+    A later batch is decided by what the index holds of the earlier ones. dd_group_size counts the rows of all these batches.
+    """
+    parts = [(docs.filter(rows), name) for name, rows in batches]
+    decided = [_decided(part, index, name, text, key) for part, name in parts]
+    sizes = reduce(DataFrame.unionByName, decided).groupBy("dd_digest").agg(F.sum("dd_group_size").alias("dd_group_size"))
+    sizes = written(sizes, "dd-sizes")
+    marked = [_marked(part, d.drop("dd_group_size").join(sizes, "dd_digest"), text, key) for (part, _), d in zip(parts, decided, strict=True)]
+    return reduce(DataFrame.unionByName, marked)
+
+
+def _decided(docs: DataFrame, index: DigestIndex, batch: str, text: str, key: str) -> DataFrame:
+    """What is decided of each text of a batch, its digests being added to the index; written."""
     groups = written(text_groups(docs, text, key), "dd-groups")
     index.add(groups, batch)
     seen = index.read().withColumnRenamed("keep_id", "seen_id")
@@ -126,7 +150,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str, text: str = "te
         F.when(own, F.col("dd_repeats")).otherwise(0).alias("dd_repeats"),
         "dd_group_size",
     )
-    decided = written(decided, "dd-decided")
+    return written(decided, "dd-decided")
+
+
+def _marked(docs: DataFrame, decided: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``docs`` with what is decided of their texts."""
     marked = docs.drop(*(c for c in docs.columns if c.startswith("dd_"))).withColumn("dd_digest", digest(F.col(text)))
     rows = marked.join(decided, "dd_digest").withColumn("dd_kept", (F.col("dd_repeats") > 0) & F.col(key).eqNullSafe(F.col("dd_keep_id")))
     if not decided.filter("dd_repeats > 1").isEmpty():
@@ -144,5 +172,8 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 
 def keep_first_of_each(docs: DataFrame, index: DigestIndex, batch: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns only."""
-    return exact_dedup(docs, index, batch, text, key).filter("dd_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that stay, with their own columns of any names.
+
+    Nulls, empty and very long texts, ties, repeated rows and empty tables are decided as ``exact_dedup`` says.
+    """
+    return released(exact_dedup(carried(docs, text, key), index, batch, "in_0", "in_1").filter("dd_kept"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabdrift.llm.common import BLANKS, small_side, written
+from tabdrift.llm.common import BLANKS, carried, released, small_side, written
 
 #: Most sources that are broadcast to the rows; with more, the rows are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -88,10 +88,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def emit_mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mixture itself: every row of ``docs`` as often as its copies say, with its own columns."""
-    mixed = mix(docs, **how)
-    repeated = mixed.filter("mx_copies > 0").withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The mixture itself: every row of ``docs`` as often as its copies say, with its own columns of any names.
+
+    Null keys, texts and sources, texts of any length, repeated rows and empty tables count as ``mix`` says. There are no
+    ties: a row's copies depend on its own draw.
+    """
+    names = [how.pop(k, d) for k, d in (("text", "text"), ("key", "doc_id"), ("source", "source"))]
+    mixed = mix(carried(docs, *names), text="in_0", key="in_1", source="in_2", **how)
+    repeated = mixed.filter("mx_copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("mx_copies"))))
+    return released(repeated)
 
 
 def oracle_sql(weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> str:

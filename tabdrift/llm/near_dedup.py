@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import IntegerType
 
-from tabdrift.llm.common import in_blocks, mixed, small_batches, small_side, written
+from tabdrift.llm.common import carried, in_blocks, mixed, released, small_batches, small_side, written
 
 #: Buckets of at most so many classes are paired directly.
 SMALL_BUCKET = 32
@@ -384,7 +384,7 @@ def near_classes(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: st
     ``key`` is an integer. component_id is the smallest key reachable over links,
     the row's own included; kept marks the row that carries it. Rows with empty sets
     (null, empty or blank text) and rows with a null key are linked with nothing,
-    and are kept. A key may repeat over different texts: these are documents of their
+    and are kept. Very long texts are read whole, their shingles in blocks. A key may repeat over different texts: these are documents of their
     own, and if several of a class carry its smallest key, those of one set are kept.
     Rows that repeat key and set share a class and are kept or not together. Other
     columns may have any names; an empty table gives an empty result.
@@ -394,7 +394,11 @@ def near_classes(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: st
 
 
 def keep_one_of_each(docs: DataFrame, spec: NearDupSpec, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without those that another document of the class stands for."""
+    """The rows of ``docs`` without those that another document of the class stands for, with their columns of any names.
+
+    Rows without words, without a text or without a key stay; texts are read whole, however long; of a class the rows stay that
+    ``near_classes`` keeps, so that rows which repeat key and text stay or go together; an empty table stays empty.
+    """
     gone = _decided(docs, spec, text, key).filter("NOT kept").select(F.col("id").alias("nd_key"), F.col("text_hash").alias("nd_text")).distinct()
-    same = (F.col(key).cast("bigint") == F.col("nd_key")) & (text_hash(F.col(text)) == F.col("nd_text"))
-    return docs.join(small_side(written(gone, "nd-gone"), BROADCAST_IDS), same, "left_anti")
+    same = (F.col("in_1").cast("bigint") == F.col("nd_key")) & (text_hash(F.col("in_0")) == F.col("nd_text"))
+    return released(carried(docs, text, key).join(small_side(written(gone, "nd-gone"), BROADCAST_IDS), same, "left_anti"))

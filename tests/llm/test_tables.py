@@ -309,6 +309,34 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert stage[name](spark, none, sf).count() == 0
 
 
+def test_stages_keep_columns_of_any_names(spark, tmp_path):
+    """Columns named as helpers are inside the operators come out as they went in."""
+    names = ["dd_x", "dd_note", "dd_digest", "nd_key", "nd_text", "tx_score", "mx_size", "mx_copies", "sp_ids", "row", "in_0", "in_1", "id", "text_hash", "n.m", "_c", "col"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, t, "en", "s", 1, *(f"{n}-{i}" for n in names)) for i, t in enumerate(["one two three four five six", "one two three four five six", "plain other words here", None])]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/named")
+    docs, stage, known = spark.read.schema(schema).parquet(f"{tmp_path}/named"), dict(corpus_pipeline.STAGES), set(rows)
+    for name in list(stage)[:-1]:
+        out = stage[name](spark, docs, f"{DATA}/sf0.001")
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) <= known and (len(got) == 3 if "dup" in name or "copies" in name or "dedup" in name else got)
+    assert stage["SentencePiece"](spark, docs, f"{DATA}/sf0.001").count() == 4
+
+
+def test_every_source_lies_near_its_target(spark):
+    """Four standard deviations of the draws that a source's sizes and fraction allow."""
+    rows = mixing.mix(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    for own in by.values():
+        rate = own[0]["mx_target"] / max(own[0]["mx_source_size"], 1)
+        f = rate - int(rate)
+        deviation = (f * (1 - f) * sum(r["mx_size"] ** 2 for r in own)) ** 0.5
+        assert abs(sum(r["mx_size"] * r["mx_copies"] for r in own) - own[0]["mx_target"]) <= 4 * deviation + 1
+
+
 def components(texts, words=5, percent=80):
     sets = {}
     for i, t in texts.items():

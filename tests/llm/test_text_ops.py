@@ -392,3 +392,25 @@ def test_scores_keep_other_columns_and_split_at_the_bound(spark):
     assert got.columns == docs.columns and {r["tx_score"] for r in got.collect()} == {0.5}
     rows = {tuple(r) for r in qc.score_documents(docs, qc.NbSvmModel(qc.NbSvmSpec(), empty.astype(int), empty, empty, 0.0)).collect()}
     assert rows == {(1, "a", 0.5, "q", 0.5), (2, None, 0.5, "q", 0.5)}
+
+
+def test_default_machine_learns_pairs_that_a_linear_model_misses(spark):
+    """Hostile words with group names, and their denials with other names, are toxic; crosswise they are not."""
+    from dataclasses import replace
+
+    rng = np.random.default_rng(3)
+    hostile, group, denial, other = (s.split() for s in ("zorb quib flan drek snip morg", "avari belen corda dovin elara fenor", "nevor quissa ontil barrel haspen mirto", "jorun kapel lodrin usvet wendra yolim"))
+    rows = []
+    for i in range(3400):
+        k = rng.choice(5, p=[0.2, 0.1, 0.1, 0.1, 0.5])
+        pair = {0: (hostile, group), 1: (denial, other), 2: (hostile, other), 3: (denial, group)}.get(int(k))
+        words = [*(f"w{j}" for j in rng.integers(0, 300, 12)), *(rng.choice(p) for p in pair or ())]
+        rows.append((i, " ".join(words), int(k < 2)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    truth, share = {r[0]: r[2] for r in rows}, {}
+    for name, spec in (("pairs", tx.FmSpec()), ("linear", replace(tx.FmSpec(), factor_rate=0.0))):
+        scored = tx.score_documents(docs, tx.train(docs, labels, spec)).select("doc_id", "tx_score").collect()
+        held = [r for r in scored if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+        share[name] = np.mean([(r["tx_score"] >= 0.5) == truth[r["doc_id"]] for r in held])
+    assert share["pairs"] > 0.94 and share["linear"] < 0.85
