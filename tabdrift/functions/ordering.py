@@ -11,6 +11,8 @@ from tabdrift.functions.stored import written
 
 #: Ranges that the values of one group are cut into, and values that texts are cut by are chosen from.
 RANGES, SAMPLED = 64, 1024
+#: Most values of a group that one task sorts.
+SORTED = 1_000_000
 
 
 def _range_of(value: Column, cuts: Column) -> Column:
@@ -22,10 +24,20 @@ def running_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[
     """Replace each column of ``sums`` by its running sum over rising ``value`` within ``keys``.
 
     ``value`` is a number and occurs once per group; ``df`` is best a stored table, as it is
-    read three times. The values of a group are cut into ranges at approximate
-    quantiles; sums run inside a range and start from the total of the ranges below. So
+    read again for its groups' sizes. Groups of up to ``SORTED`` values are sorted in one task each. The values of a larger one
+    are cut into ranges at approximate quantiles; sums run inside a range and start from the total of the ranges below. So
     a single huge group is spread over tasks, however its values are spread.
     """
+    large = df.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > SORTED).drop("_size")
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    plain = lambda part: part.withColumns({s: F.sum(s).over(upto) for s in sums})
+    if large.isEmpty():
+        return plain(df)
+    large = written(large, "large-groups")
+    return plain(joined(df, large, keys, "left_anti")).unionByName(_ranged_sums(joined(df, large, keys, "left_semi"), keys, value, sums))
+
+
+def _ranged_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     parts = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
     cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), parts, 1000).alias("_cuts"))
     ranged = joined(df, cuts, keys).withColumn("_range", _range_of(F.col(value).cast("double"), F.col("_cuts")))
@@ -43,7 +55,8 @@ def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return left.join(other, same, how).drop(*(f"_k_{k}" for k in keys))
+    out = left.join(other, same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*(f"_k_{k}" for k in keys))
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Mapping[str, float]) -> DataFrame:

@@ -13,6 +13,8 @@ from tabdrift.functions.numbers import two_digits
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
+#: Text columns that a child's aggregation counts beside its numbers.
+TEXTS = 4
 #: What a step log says.
 SKIP, AGGREGATE, MERGE, NO_KEY, UNSAFE = "skip", "aggregate_then_merge", "safe_left_merge", "no_common_key_with_base", "many_to_many_unsafe"
 
@@ -140,8 +142,8 @@ def aggregate_child(child: DataFrame, key: str) -> DataFrame:
     """One row per key (a null key is a group): row count; mean, sample deviation, least and
     largest of numbers; distinct non-null count of texts. Other types are left out.
 
-    Several text columns are counted as rows (key, column, value) that are made distinct
-    once, instead of a copy of every row per column.
+    Up to ``TEXTS`` text columns are counted in the one aggregation, which copies partial rows once a column; more of
+    them as rows (key, column, value) that are made distinct once.
     """
     aggs = [F.count("*").alias(f"__agg__{key}__row_count")]
     for c in numeric_columns(child):
@@ -149,7 +151,7 @@ def aggregate_child(child: DataFrame, key: str) -> DataFrame:
             x = F.col(f"`{c}`")
             aggs += [F.avg(x).alias(f"__agg__{c}__mean"), F.stddev_samp(x).alias(f"__agg__{c}__std"), F.min(x).alias(f"__agg__{c}__min"), F.max(x).alias(f"__agg__{c}__max")]
     texts = [f.name for f in child.schema if f.name != key and isinstance(f.dataType, T.StringType)]
-    if len(texts) < 2:
+    if len(texts) <= TEXTS:
         return child.groupBy(F.col(f"`{key}`")).agg(*aggs, *(F.count_distinct(F.col(f"`{c}`")).alias(f"__agg__{c}__nunique") for c in texts))
     cells_ = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(texts)))
     k = F.col(f"`{key}`")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabdrift.functions.stored import written
 from tabdrift.operators import evolve, profile, relate
 from tabdrift.plans.bindings import SCHEMAS, bound, plain, table
 from tabdrift.plans.profile_queries import dated
@@ -76,7 +77,7 @@ SELECT *, CASE datetime_col WHEN 'orderdate' THEN ({_DETECTED.format(c="o_orderd
 
 @query("ev_plan", _plan_sql())
 def ev_plan(spark, sf_dir):
-    names = _plan_columns(spark, sf_dir)
+    names = written(_plan_columns(spark, sf_dir), "columns")
     labels = profile.label_name_first(names, LABELS).select("task_id", F.col("label").alias("label_col"))
     plan = evolve.plans(names, SEED, protected=labels.withColumnRenamed("label_col", "column"), formats=_formats(spark, sf_dir))
     return plan.join(labels, "task_id", "left").withColumn("join_keys", F.array_join("join_keys", ","))
