@@ -41,7 +41,7 @@ BROKEN = "CASE WHEN user_id % 10 = 3 THEN 'bytes' WHEN user_id % 10 = 4 THEN 'em
     "pr_file_catalog",
     f"""WITH u AS (SELECT DISTINCT concat('task_', user_id) AS task_id, user_id % 3 AS k, {BROKEN} AS state FROM events)
 SELECT task_id, 'training_0.csv' AS file, CASE WHEN state = 'fine' THEN 3 END AS n_cols, CASE WHEN state = 'fine' THEN '["price","order","k' || k || '"]' END AS columns_json,
-CASE WHEN state = 'fine' THEN 'finance' ELSE 'error' END AS domain_guess, CASE WHEN state = 'fine' THEN 1 ELSE 0 END AS domain_score,
+CASE WHEN state = 'fine' THEN 'sales' ELSE 'error' END AS domain_guess, CASE WHEN state = 'fine' THEN 2 ELSE 0 END AS domain_score,
 CASE state WHEN 'bytes' THEN 'UnicodeDecodeError(''utf-8'')' WHEN 'empty' THEN 'StopIteration()' END AS error FROM u""",
 )
 def pr_file_catalog(spark, sf_dir):

@@ -39,9 +39,24 @@ FILES = "variant string, task_id string, name string, content binary"
 
 
 def corpus_files(spark: SparkSession, root: str) -> DataFrame:
-    """All CSV files of the task folders under ``root``: path, length, content, task_id, role, table_idx; other files are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
-    return task_files(found.select("path", "length", "content"))
+    """All CSV files of the task folders under ``root``: path, length, content, task_id, role, table_idx; other files are left out.
+
+    Spark's scan passes empty files over, so they are listed beside it.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path", "length", "content")
+    empty = [(p, 0, bytearray()) for p in empty_files(spark, root) if p.endswith(".csv")]
+    return task_files(found.unionByName(spark.createDataFrame(empty, found.schema)) if empty else found)
+
+
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the files of no length under ``root``, by the listing of its store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
 
 
 def records(text: Column) -> Column:
