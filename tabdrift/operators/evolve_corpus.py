@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabdrift.functions.dates import EVOLVE_FORMATS, parsed
+from tabdrift.functions.dates import EVOLVE_FORMATS, parsed, pick_format
 from tabdrift.functions.numbers import NUMBER, number
 from tabdrift.functions.stored import written
-from tabdrift.operators.evolve import address_parts, hash_number
-from tabdrift.operators.profile import NUMERIC_LIKE, schema_diff
+from tabdrift.operators.evolve import address_parts, batch_summary, hash_number
+from tabdrift.operators.evolve import plans as build_plans
+from tabdrift.operators.profile import LABEL_PRIORITY, NUMERIC_LIKE, label_name_first, schema_diff
+from tabdrift.sources import corpus
 
 TABLE = ["task_id", "role", "table_idx"]
 CELL = [*TABLE, "row_id", "ordinal", "column", "value"]
@@ -194,3 +196,55 @@ def corpus_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     out = schema_diff(named(before), named(after))
     at = F.from_json("table", "task_id string, role string, table_idx int")
     return out.select(at.alias("t"), *(c for c in out.columns if c != "table")).select("t.*", *(c for c in out.columns if c != "table"))
+
+
+def corpus_plans(cells: DataFrame, global_seed: int, labels: Sequence[str] = LABEL_PRIORITY) -> DataFrame:
+    """A plan for each task from its training tables: the columns of ``evolve.plans``, and label_col, which is protected.
+
+    The format of a date column is detected on the first values of each table, all formats in one pass.
+    """
+    train = cells.filter("role = 'training'")
+    table = F.concat_ws("_", "role", F.col("table_idx").cast("string")).alias("table")
+    columns = written(train.select("task_id", table, "table_idx", "ordinal", "column").distinct(), "evc-columns")
+    label = label_name_first(columns, labels).select("task_id", F.col("label").alias("label_col"))
+    low = F.lower("column")
+    dated = train.filter((low.contains("date") | low.contains("time") | low.endswith("_dt")) & F.col("value").isNotNull())
+    place = F.row_number().over(Window.partitionBy("task_id", "column").orderBy("table_idx", "row_id"))
+    first = dated.withColumn("_r", place).filter(F.col("_r") <= FIRST)
+    shares = first.groupBy("task_id", "column").agg(*(F.avg(parsed(F.col("value"), f).isNotNull().cast("int")).alias(f"s{i}") for i, f in enumerate(EVOLVE_FORMATS)))
+    formats = shares.select("task_id", "column", pick_format({f: F.col(f"s{i}") for i, f in enumerate(EVOLVE_FORMATS)}).alias("format"))
+    return build_plans(columns, global_seed, label.withColumnRenamed("label_col", "column"), formats=formats).join(label, "task_id", "left")
+
+
+def evolve_files(spark: SparkSession, root: str, out: str, variant: str, ops: Sequence[str], global_seed: int) -> DataFrame:
+    """Evolve the corpus of files under ``root`` into ``out``; one row per task as ``evolve.batch_summary`` tells it.
+
+    Every task's training and test tables change by its plan, its target is copied byte for byte, and plan and log are written beside
+    them, the log with the rows and the schema changes of each table. Without ``ops`` all files are copied. Tasks that are complete under
+    ``out`` are skipped, so a run that was lost is taken up by running it again.
+    """
+    files = written(corpus.corpus_files(spark, root), "evc-files")
+    done = written(corpus.completed(spark, out).filter(F.col("variant") == variant).select("task_id", F.lit(True).alias("done")), "evc-done")
+    has = lambda r: F.max((F.col("role") == r).cast("int")) == 1
+    able = files.groupBy("task_id").agg((has("target") & (has("training") | has("test"))).alias("able")).filter("able").select("task_id")
+    todo = files.join(able, "task_id", "left_semi").join(done, "task_id", "left_anti")
+    cells = written(corpus.file_cells(todo.filter("role <> 'target'")), "evc-cells")
+    plan = written(corpus_plans(cells, global_seed), "evc-plans")
+    if ops:
+        changed = written(evolve_corpus(cells, plan, ops), "evc-changed")
+        made = corpus.csv_files(changed, variant).unionByName(corpus.copied_files(todo.filter("role = 'target'"), variant))
+        count = lambda df, n: df.groupBy(*TABLE).agg(F.count_distinct("row_id").alias(n))
+        both = _with(_with(corpus_diff(corpus.column_types(cells), corpus.column_types(changed)), count(cells, "rows_before")), count(changed, "rows_after"))
+        tables = both.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("role", "table_idx", "rows_before", "rows_after", "added", "removed"))).alias("files"))
+    else:
+        made = corpus.copied_files(todo, variant)
+        tables = todo.select("task_id").distinct().withColumn("files", F.array().cast("array<string>"))
+    names = F.array(*(F.lit(o) for o in ops or ["baseline"]))
+    marks = todo.select("task_id").distinct().join(tables, "task_id", "left").join(plan, "task_id", "left").select(
+        F.lit(variant).alias("variant"), "task_id",
+        F.to_json(F.struct("task_id", names.alias("ops"), F.lit(global_seed).alias("global_seed"), *(F.col(c) for c in plan.columns if c != "task_id"))).alias("plan"),
+        F.to_json(F.struct("task_id", names.alias("ops"), "files")).alias("log"),
+    )
+    corpus.write_files(made.unionByName(corpus.marker_files(marks)), out)
+    told = files.join(done, "task_id", "left").join(plan.select("task_id", F.col("label_col").alias("label")), "task_id", "left")
+    return batch_summary(told.select("task_id", "role", "label", F.coalesce("done", F.lit(False)).alias("done"), F.lit(False).alias("broken")))

@@ -64,6 +64,47 @@ def io_resume_files(spark, sf_dir):
     return tables.pending(tasks.select("task_id"), corpus.completed(spark, root).filter("variant = 'rename'"))
 
 
+TARGET = "concat('row,', user_id, chr(10))"
+
+
+@query(
+    "io_baseline_copy",
+    f"""WITH u AS (SELECT DISTINCT user_id, {TARGET} AS t FROM events) SELECT concat('task_', user_id) AS task_id, 'target.csv' AS name, CAST(strlen(t) AS BIGINT) AS size, sha1(t) AS sha1_head FROM u""",
+)
+def io_baseline_copy(spark, sf_dir):
+    """Files that a baseline copies byte for byte, by their fingerprints at their new place."""
+    root, out = scratch_path(spark, "original"), scratch_path(spark, "baseline")
+    users = bound(spark, sf_dir, f"SELECT DISTINCT user_id, {TARGET} AS t FROM events")
+    corpus.write_files(users.select(F.lit("original").alias("variant"), F.concat(F.lit("task_"), "user_id").alias("task_id"), F.lit("target.csv").alias("name"), F.col("t").cast("binary").alias("content")), root)
+    corpus.write_files(corpus.copied_files(corpus.corpus_files(spark, root), "baseline"), out)
+    marks = tables.fingerprints(spark.read.format("binaryFile").load(f"{out}/baseline/*/target.csv"))
+    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)$", i)
+    return marks.select(part(1).alias("task_id"), part(2).alias("name"), "size", "sha1_head")
+
+
+SEEDED = "CAST(('0x' || substr(sha1({x}), 1, 8)) AS BIGINT)"
+
+
+@query(
+    "wf_evolve_corpus",
+    f"""WITH e AS ({EVENTS.format(text="VARCHAR")}), s AS (SELECT *, {SEEDED.format(x="'7:' || task_id")} AS seed FROM e)
+SELECT task_id, role, count(*) AS n_rows, {len(COLUMNS) + 3} AS n_columns, count(*) FILTER ({SEEDED.format(x="seed || ':' || row_id")} / 4294967296.0 < 0.2) AS n_sparse,
+'ok' AS status, true AS complete FROM s GROUP BY task_id, role""",
+)
+def wf_evolve_corpus(spark, sf_dir):
+    """A corpus of files evolved into files: original tables and targets written, all tasks evolved in one job, plan and log beside them."""
+    root, out = scratch_path(spark, "original"), scratch_path(spark, "evolved")
+    cells = _cells(spark, sf_dir)
+    users = bound(spark, sf_dir, f"SELECT DISTINCT user_id, {TARGET} AS t FROM events")
+    targets = users.select(F.lit("original").alias("variant"), F.concat(F.lit("task_"), "user_id").alias("task_id"), F.lit("target.csv").alias("name"), F.col("t").cast("binary").alias("content"))
+    corpus.write_files(corpus.csv_files(cells, "original").unionByName(targets), root)
+    summary = written(evolve_corpus.evolve_files(spark, f"{root}/original", out, "add", ["add"], 7), "summary")
+    back = corpus.file_cells(corpus.corpus_files(spark, f"{out}/add").filter("role <> 'target'"))
+    shown = back.groupBy("task_id", "role").agg(F.count_distinct("row_id").alias("n_rows"), F.count_distinct("column").cast("int").alias("n_columns"), F.count(F.when(F.col("column") == "__new_sparse", F.col("value"))).alias("n_sparse"))
+    done = corpus.completed(spark, out).select("task_id", F.lit(True).alias("complete"))
+    return shown.join(summary.select("task_id", "status"), "task_id").join(done, "task_id", "left")
+
+
 #: One plan a task: what is dropped, by what is divided and which column is protected differ.
 PLANS = """SELECT DISTINCT concat('task_', user_id) AS task_id, user_id AS seed, CASE WHEN user_id % 5 = 0 THEN 'kind' END AS label_col, 'note' AS rename_col, CASE WHEN user_id % 2 = 0 THEN 'id' ELSE 'nowhere' END AS drop_col,
 'price' AS meaning_num_col, CASE WHEN user_id % 2 = 0 THEN 10.0D ELSE 1000.0D END AS unit_scale_divisor, 'kind' AS meaning_cat_col, 2 AS category_keep_topk FROM events"""

@@ -149,3 +149,32 @@ def test_a_corpus_evolves_as_its_tables_do(spark, op):
             alone = evolve.evolve(wide(spark, cells, table), [op], plan, "rid", [plan["label_col"]] if plan["label_col"] else [])
             want = {(r["rid"], c): same(r[c]) for r in alone.collect() for c in alone.columns if c != "rid"}
             assert got[table] == want, (op, table)
+
+
+def test_a_corpus_of_files_is_evolved_and_taken_up_again(spark, tmp_path):
+    import json
+
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    for t in range(4):
+        os.makedirs(root / f"t{t}")
+        (root / f"t{t}" / "training_0.csv").write_text(",Score,name,sale_date\n" + "".join(f"{i},{i},n{i % 2},{i + 1}/2/2024\n" for i in range(12)))
+        (root / f"t{t}" / "test_0.csv").write_text("Score,name,sale_date\n1,n1,2/2/2024\n")
+        if t != 3:
+            (root / f"t{t}" / "target.csv").write_bytes(b"x,y\r\n1,\xff\r\n")
+    os.makedirs(root / "bare")
+    (root / "bare" / "target.csv").write_text("a\n")
+    status = lambda df: {r["task_id"]: (r["status"], r["label_col"]) for r in df.collect()}
+    first = status(evolve_corpus.evolve_files(spark, str(root), out, "rename", ["rename"], 5))
+    assert first == {**{f"t{t}": ("ok", "Score") for t in range(3)}, "t3": ("skipped_no_target", None), "bare": ("skipped_no_train_test", None)}
+    before = tree(out)
+    assert before["rename/t0/target.csv"] == b"x,y\r\n1,\xff\r\n"
+    plan, log = (json.loads(before[f"rename/t0/{n}"]) for n in ("manifest.json", "evo_log.json"))
+    assert plan["label_col"] == "Score" and plan["datetime_col"] == "sale_date" and plan["datetime_format"] == "M/d/yyyy" and plan["rename_col"] != "Score"
+    assert [f["role"] for f in log["files"]] == ["test", "training"] and log["files"][1]["rows_before"] == log["files"][1]["rows_after"] == 12
+    assert log["files"][0]["added"] == [plan["rename_col"] + "__renamed"] and log["files"][0]["removed"] == [plan["rename_col"]]
+    assert before["rename/t0/test_0.csv"].decode().splitlines()[0] == ",".join(c + "__renamed" if c == plan["rename_col"] else c for c in ("Score", "name", "sale_date"))
+    again = status(evolve_corpus.evolve_files(spark, str(root), out, "rename", ["rename"], 5))
+    assert again["t0"][0] == "skipped_resume_exists" and tree(out) == before
+    evolve_corpus.evolve_files(spark, str(root), out, "baseline", [], 5)
+    copied = tree(out)
+    assert all(copied[f"baseline/t0/{n}"] == (root / "t0" / n).read_bytes() for n in ("training_0.csv", "test_0.csv", "target.csv"))
