@@ -13,6 +13,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyarrow import fs
 from pyspark.errors import AnalysisException
@@ -41,22 +42,16 @@ FILES = "variant string, task_id string, name string, content binary"
 def corpus_files(spark: SparkSession, root: str) -> DataFrame:
     """All CSV files of the task folders under ``root``: path, length, content, task_id, role, table_idx; other files are left out.
 
-    Spark's scan passes empty files over, so they are listed beside it.
+    Spark lists empty files and then passes them over, so what was listed and not read is added.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path", "length", "content")
-    empty = [(p, 0, bytearray()) for p in empty_files(spark, root) if p.endswith(".csv")]
-    return task_files(found.unionByName(spark.createDataFrame(empty, found.schema)) if empty else found)
-
-
-def empty_files(spark: SparkSession, root: str) -> list[str]:
-    """Paths of the files of no length under ``root``, by the listing of its store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listed, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
-    while listed.hasNext():
-        status = listed.next()
-        if status.getLen() == 0:
-            out.append(status.getPath().toString())
-    return out
+    listed = found.inputFiles()  # the driver has this list for the scan
+    if len(listed) > found.select("path").count():
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        names = spark.createDataFrame([(unquote(p),) for p in listed], "path string").withColumn("path", plain("path"))
+        empty = names.join(found.select(plain("path").alias("path")), "path", "left_anti")
+        found = found.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(bytearray()).alias("content")))
+    return task_files(found)
 
 
 def records(text: Column) -> Column:
