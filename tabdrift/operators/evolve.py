@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tabdrift.functions.dates import parsed
 from tabdrift.functions.numbers import number
-from tabdrift.functions.ordering import running_sums
+from tabdrift.functions.ordering import SORTED, running_sums
 from tabdrift.functions.stored import written
 from tabdrift.operators.profile import first_values, numeric_like
 from tabdrift.operators.relate import is_bad_name, join_keys, numeric_columns
@@ -111,17 +111,40 @@ def _usable(df: DataFrame, column: str | None, protected: Sequence[str]) -> bool
 
 def add_columns(df: DataFrame, seed: int, row_key: str, sparse: float = 0.2) -> DataFrame:
     """Add __new_constant, __new_sparse (1.0 in about ``sparse`` of the rows, by a hash of seed
-    and row key, else null) and __row_id, 0 to n - 1 in the order of the numeric ``row_key``."""
-    counts = written(df.groupBy(F.col(f"`{row_key}`").alias("_k")).agg(F.count("*").alias("_n"), F.count("*").alias("_upto")).withColumn("_one", F.lit(1)), "row-keys")
-    upto = running_sums(counts, ["_one"], "_k", ["_upto"]).select("_k", (F.col("_upto") - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(F.col(f"`{row_key}`")).orderBy(*(F.col(f"`{c}`") for c in df.columns)))
-    chance = hash_number(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{row_key}`").cast("string"))) / F.lit(4294967296.0)
-    return (
-        df.join(upto, F.col(f"`{row_key}`").eqNullSafe(F.col("_k")), "left")
-        .withColumn("__new_constant", F.lit("unknown"))
-        .withColumn("__new_sparse", F.when(chance < sparse, 1.0))
-        .withColumn("__row_id", (F.col("_before") + place - 1).cast("long"))
-        .drop("_k", "_before")
+    and row key, else null) and __row_id, 0 to n - 1 in the order of the numeric ``row_key``, nulls first.
+
+    Rows that share a key are numbered in the order of their columns; those of a key with more than
+    ``SORTED`` rows part by part as they are read, within a part in that order.
+    """
+    key = F.col(f"`{row_key}`")
+    counts = written(df.groupBy(key.alias("_k")).agg(F.count("*").alias("_n"), F.count("*").alias("_upto")).withColumn("_one", F.lit(1)), "row-keys")
+    upto = running_sums(counts, ["_one"], "_k", ["_upto"]).select("_k", "_n", (F.col("_upto") - F.col("_n")).alias("_before"))
+    same = key.eqNullSafe(F.col("_k"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(f"`{c}`") for c in df.columns)))
+    numbered = lambda rows, keys: rows.join(keys.drop("_n"), same, "left").withColumn("__row_id", (F.col("_before") + place - 1).cast("long")).drop("_k", "_before")
+    if counts.filter(F.col("_n") > SORTED).isEmpty():
+        out = numbered(df, upto)
+    else:
+        # at most one such key in SORTED rows
+        hot = written(upto.filter(F.col("_n") > SORTED), "hot-keys")
+        few = df.join(F.broadcast(hot.select("_k")), same, "left_anti")
+        out = numbered(few, upto).unionByName(_numbered_parts(df, hot, same))
+    chance = hash_number(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))) / F.lit(4294967296.0)
+    added = {"__new_constant": F.lit("unknown"), "__new_sparse": F.when(chance < sparse, 1.0), "__row_id": F.col("__row_id")}
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c not in added), *(c.alias(n) for n, c in added.items()))
+
+
+def _numbered_parts(df: DataFrame, hot: DataFrame, same: Column) -> DataFrame:
+    """The rows of the keys of ``hot`` (_k, _before) with their __row_id, numbered in the parts they are stored in."""
+    rows = df.join(F.broadcast(hot.select("_k", "_before")), same).withColumn("_part", F.spark_partition_id())
+    rows = written(rows, "hot-rows")
+    sizes = rows.groupBy("_k", "_part").agg(F.count("*").alias("_n"))
+    below = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_k").alias("_key"), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_skip"))
+    placed = rows.join(starts, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
+    place = F.row_number().over(Window.partitionBy("_k", "_part").orderBy(*(F.col(f"`{c}`") for c in df.columns)))
+    return placed.withColumn("__row_id", (F.col("_before") + F.col("_skip") + place - 1).cast("long")).select(
+        *(F.col(f"`{c}`") for c in df.columns if c != "__row_id"), "__row_id"
     )
 
 

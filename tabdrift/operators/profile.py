@@ -124,18 +124,25 @@ def catalog(tables: Mapping[str, DataFrame], unreadable: Sequence[str] = ()) ->
 
 
 def first_values(df: DataFrame, row_id: str, columns: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` non-null values of each column in row order: column, ordinal, value."""
-    parts = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)))
-    long = df.select(F.col(f"`{row_id}`").alias("_row"), F.explode(parts).alias("c")).select("_row", "c.*").filter("value IS NOT NULL")
-    return long.withColumn("_r", F.row_number().over(Window.partitionBy("ordinal", "column").orderBy("_row"))).filter(F.col("_r") <= n).drop("_r", "_row")
+    """The first ``n`` non-null values of each column in row order: column, ordinal, value.
+
+    Each column is read beside the row id alone; a task keeps its first ``n`` values, so that rows are neither copied nor sorted.
+    """
+    out = None
+    for i, c in enumerate(columns):
+        value = F.col(f"`{c}`")
+        first = df.filter(value.isNotNull()).select(F.col(f"`{row_id}`").alias("_row"), value.alias("_value")).orderBy("_row").limit(n)
+        one = first.select(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col("_value").cast("string").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return df.sparkSession.createDataFrame([], "ordinal int, column string, value string") if out is None else out
 
 
-def date_formats(values: DataFrame, formats: Sequence[str] = tuple(EVOLVE_FORMATS), least: float = 0.8) -> DataFrame:
-    """Per column of ``values``: the detected format, and the share of values it parses."""
-    shares = values.groupBy("ordinal", "column").agg(*(F.avg(parsed(F.col("value"), f).isNotNull().cast("int")).alias(f"s{i}") for i, f in enumerate(formats)))
+def date_formats(values: DataFrame, formats: Sequence[str] = tuple(EVOLVE_FORMATS), least: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
+    """Per column of ``values``, and per ``by`` such as the task: the detected format, and the share of values it parses."""
+    shares = values.groupBy(*by, "ordinal", "column").agg(*(F.avg(parsed(F.col("value"), f).isNotNull().cast("int")).alias(f"s{i}") for i, f in enumerate(formats)))
     of = {f: F.col(f"s{i}") for i, f in enumerate(formats)}
     share = F.coalesce(*(F.when(F.col("format") == f, s) for f, s in of.items()))
-    return shares.withColumn("format", pick_format(of, least)).select("ordinal", "column", "format", share.alias("ok"))
+    return shares.withColumn("format", pick_format(of, least)).select(*by, "ordinal", "column", "format", share.alias("ok"))
 
 
 def numeric_like(values: DataFrame, protected: Sequence[str] = ()) -> DataFrame:

@@ -50,14 +50,18 @@ def cells(tables: Mapping[str, DataFrame]) -> DataFrame:
 def column_table(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column, all-null ones too: table, table_idx, ordinal, column, and the table's n_rows.
 
-    Names come from the schemas; of the tables only the rows are counted, which reads no column.
+    Names come from the schemas; of the tables only the rows are counted, which reads no column. All tables
+    are counted by one aggregation.
     """
-    out = None
-    for i, (name, df) in enumerate(tables.items()):
-        places = F.posexplode(F.array(*(F.lit(c) for c in df.columns)))
-        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), F.lit(i).alias("table_idx"), "n_rows", places.alias("ordinal", "column"))
-        out = one if out is None else out.unionByName(one)
-    return out.select("table", "table_idx", "ordinal", "column", "n_rows")
+    found = list(tables.items())
+    rows = found[0][1].sparkSession.range(len(found)).select(F.col("id").cast("int").alias("table_idx"), F.lit(0).alias("n"))
+    for i, (_, df) in enumerate(found):
+        rows = rows.unionByName(df.select(F.lit(i).alias("table_idx"), F.lit(1).alias("n")))
+    named = F.array(*(F.struct(F.lit(t).alias("table"), F.array(*(F.lit(c) for c in df.columns)).cast("array<string>").alias("columns")) for t, df in found))
+    out = rows.groupBy("table_idx").agg(F.sum("n").alias("n_rows")).withColumn("_t", F.get(named, F.col("table_idx")))
+    return out.select(F.col("_t.table").alias("table"), "table_idx", "n_rows", F.posexplode("_t.columns").alias("ordinal", "column")).select(
+        "table", "table_idx", "ordinal", "column", "n_rows"
+    )
 
 
 def column_stats(tables: Mapping[str, DataFrame]) -> DataFrame:

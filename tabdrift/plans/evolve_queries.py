@@ -40,11 +40,8 @@ _DETECTED = """SELECT CASE WHEN avg(CASE WHEN try_strptime(v, '%Y-%m-%d') IS NUL
 
 
 def _formats(spark, sf_dir):
-    out = None
-    for t, c in (("orders", "orderdate"), ("lineitem", "shipdate")):
-        one = profile.date_formats(profile.first_values(table(spark, sf_dir, t), "orderkey", [c], 300)).select(F.lit("sales").alias("task_id"), "column", "format")
-        out = one if out is None else out.unionByName(one)
-    return out
+    values = [profile.first_values(table(spark, sf_dir, t), "orderkey", [c], 300) for t, c in (("orders", "orderdate"), ("lineitem", "shipdate"))]
+    return profile.date_formats(values[0].unionByName(values[1])).select(F.lit("sales").alias("task_id"), "column", "format")
 
 
 def _plan_sql() -> str:

@@ -23,6 +23,17 @@ def test_row_ids_with_repeated_and_null_keys(spark):
     assert sorted(r["__row_id"] for r in evolve.add_columns(df, 1, "id").collect()) == [0, 1, 2, 3]
 
 
+def test_row_ids_of_keys_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(evolve, "SORTED", 50)
+    rows = [(None, i % 3) for i in range(200)] + [(7, 1)] * 120 + [(i % 20 + 10, i) for i in range(60)] + [(1, 0), (1, 0)]
+    for parts in (1, 6):
+        got = evolve.add_columns(spark.createDataFrame(rows, "`k.id` long, v long").repartition(parts), 3, "k.id").collect()
+        assert sorted(r["__row_id"] for r in got) == list(range(len(rows)))
+        keys = [r["k.id"] for r in sorted(got, key=lambda r: r["__row_id"])]
+        assert keys[:200] == [None] * 200 and keys[200:] == sorted(keys[200:])
+        assert sorted((r["k.id"] or 0, r["v"]) for r in got) == sorted((k or 0, v) for k, v in rows)
+
+
 def test_protected_missing_and_narrow_tables_stay(spark):
     df = spark.createDataFrame([(1, "a")], "id long, c string")
     assert evolve.rename_column(df, "c", ["c"]).columns == ["id", "c"] and evolve.rename_column(df, "x").columns == ["id", "c"]
