@@ -44,21 +44,22 @@ def _formats(spark, sf_dir):
     return profile.date_formats(values[0].unionByName(values[1])).select(F.lit("sales").alias("task_id"), "column", "format")
 
 
-def _plan_sql() -> str:
+def _plan_sql(shown: str, formats: str) -> str:
+    """The plans of the columns ``shown`` (task_id, tbl, table_idx, ordinal, col); ``formats`` gives a date column's format."""
+    bad = r"trim(col) = '' OR starts_with(lower(trim(col)), 'unnamed') OR regexp_matches(col, '^_c\d+$')"
     said = lambda words: "(" + " OR ".join(f"contains(lower(col), '{w}')" for w in words) + ")"
     chance = lambda use: f"sha1(seed || ':{use}:' || col)"
     some = lambda cond, order: f"arg_min(col, {order}) FILTER ({cond})"
     draw = lambda use, values, kind: f"CASE {H.format(x=f'seed || {chr(39)}:{use}{chr(39)}')} % {len(values)} " + " ".join(f"WHEN {i} THEN {v!r}" for i, v in enumerate(values)) + " END" if not kind else f"CAST({draw(use, values, '')} AS {kind})"
     free = "NOT is_key"
-    return f"""WITH s AS ({columns_sql({t: t for t in SCHEMAS})}), c AS (SELECT {TASK.format(t="tbl")} AS task_id, tbl, table_idx, ordinal, col FROM s),
-w AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n.lower()}')" for i, n in enumerate(LABELS))}) v(prio, low)),
+    return f"""WITH c AS ({shown}), w AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n.lower()}')" for i, n in enumerate(LABELS))}) v(prio, low)),
 lab AS (SELECT task_id, col AS label_col FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY prio, table_idx, ordinal DESC) AS r
         FROM c JOIN w ON lower(c.col) = w.low) WHERE r = 1),
 many AS (SELECT task_id FROM c GROUP BY task_id HAVING count(DISTINCT tbl) >= 2),
-k AS (SELECT task_id, col FROM c WHERE task_id IN (SELECT task_id FROM many) GROUP BY ALL HAVING count(DISTINCT tbl) >= 2),
-u AS (SELECT c.task_id, c.col, min(table_idx * 1000 + ordinal) AS p, any_value(k.col IS NOT NULL) AS is_key, {SEED_SQL.format(t="c.task_id")} AS seed
+k AS (SELECT task_id, col FROM c WHERE task_id IN (SELECT task_id FROM many) AND NOT ({bad}) GROUP BY ALL HAVING count(DISTINCT tbl) >= 2),
+u AS (SELECT c.task_id, c.col, min(table_idx * 1000000000000 + ordinal) AS p, any_value(k.col IS NOT NULL) AS is_key, {SEED_SQL.format(t="c.task_id")} AS seed
       FROM c LEFT JOIN k ON k.task_id = c.task_id AND k.col = c.col WHERE NOT EXISTS (FROM lab WHERE lab.task_id = c.task_id AND lab.label_col = c.col)
-      GROUP BY c.task_id, c.col),
+      AND NOT starts_with(c.col, '__') AND NOT ({bad.replace("col", "c.col")}) GROUP BY c.task_id, c.col),
 g AS (SELECT task_id, seed, coalesce(string_agg(col, ',' ORDER BY col) FILTER (is_key), '') AS join_keys,
   coalesce({some(free, chance("rename"))}, arg_min(col, {chance("rename")})) AS rename_col,
   coalesce({some(free, chance("drop"))}, arg_min(col, {chance("drop")})) AS drop_col,
@@ -67,12 +68,16 @@ g AS (SELECT task_id, seed, coalesce(string_agg(col, ',' ORDER BY col) FILTER (i
   coalesce({some(said(evolve.MONEY), "p")}, {some(free, chance("money"))}, arg_min(col, {chance("money")})) AS meaning_num_col,
   coalesce({some(said(evolve.CATEGORY), "p")}, {some(free, chance("category"))}, arg_min(col, {chance("category")})) AS meaning_cat_col
   FROM u GROUP BY task_id, seed)
-SELECT *, CASE datetime_col WHEN 'orderdate' THEN ({_DETECTED.format(c="o_orderdate", t="orders", k="o_orderkey")})
-  WHEN 'shipdate' THEN ({_DETECTED.format(c="l_shipdate", t="lineitem", k="l_orderkey")}) END AS datetime_format, {draw("date_rule", evolve.DATE_RULES, "")} AS datetime_rule, {draw("topk", evolve.TOP_K, "INTEGER")} AS category_keep_topk,
+SELECT *, {formats} AS datetime_format, {draw("date_rule", evolve.DATE_RULES, "")} AS datetime_rule, {draw("topk", evolve.TOP_K, "INTEGER")} AS category_keep_topk,
        {draw("divisor", evolve.DIVISORS, "DOUBLE")} AS unit_scale_divisor FROM g LEFT JOIN lab USING (task_id)"""
 
 
-@query("ev_plan", _plan_sql())
+_STARS = f"""SELECT {TASK.format(t="tbl")} AS task_id, tbl, table_idx, ordinal, col FROM ({columns_sql({t: t for t in SCHEMAS})})"""
+_STAR_FORMATS = f"""CASE datetime_col WHEN 'orderdate' THEN ({_DETECTED.format(c="o_orderdate", t="orders", k="o_orderkey")})
+  WHEN 'shipdate' THEN ({_DETECTED.format(c="l_shipdate", t="lineitem", k="l_orderkey")}) END"""
+
+
+@query("ev_plan", _plan_sql(_STARS, _STAR_FORMATS))
 def ev_plan(spark, sf_dir):
     names = written(_plan_columns(spark, sf_dir), "columns")
     labels = profile.label_name_first(names, LABELS).select("task_id", F.col("label").alias("label_col"))
@@ -80,6 +85,26 @@ def ev_plan(spark, sf_dir):
     return plan.join(labels, "task_id", "left").withColumn("join_keys", F.array_join("join_keys", ","))
 
 
+#: Columns of the tables of tasks, of which each event is one, with a value of it.
+TASK_COLUMNS = """SELECT concat('task_', user_id) AS task_id, event_type AS tbl, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE 3 END AS table_idx, event_id AS ordinal,
+CASE WHEN event_id % 8 = 0 THEN concat('ship_date_', user_id % 3) WHEN event_id % 8 = 1 AND value > 60 THEN 'UnitPrice' WHEN event_id % 37 = 2 THEN 'category' WHEN event_id % 41 = 3 THEN 'home_address'
+  WHEN event_id % 43 = 4 THEN 'TotalPrice' WHEN event_id % 47 = 5 THEN 'acctbal' WHEN event_id % 29 = 6 THEN 'Unnamed: 1' WHEN event_id % 31 = 7 THEN '__hidden' WHEN event_id % 53 = 8 THEN ' '
+  ELSE concat('c', event_id % 50) END AS col,
+CASE WHEN event_id % 7 < user_id % 4 THEN 'soon' ELSE CAST(CAST(ts AS DATE) AS {text}) END AS value FROM events"""
+_TASK_FORMATS = f"""(SELECT CASE WHEN avg(CASE WHEN value = 'soon' THEN 0 ELSE 1 END) >= 0.8 THEN 'yyyy-M-d' END FROM ({TASK_COLUMNS.format(text="VARCHAR")}) f
+  WHERE f.task_id = g.task_id AND f.col = g.datetime_col)"""
+
+
+@query("ev_plan_tasks", _plan_sql(TASK_COLUMNS.format(text="VARCHAR"), _TASK_FORMATS))
+def ev_plan_tasks(spark, sf_dir):
+    """Plans of many tasks, their columns, labels and date formats being rows."""
+    names = written(bound(spark, sf_dir, TASK_COLUMNS.format(text="STRING")).withColumnsRenamed({"tbl": "table", "col": "column"}), "columns")
+    labels = profile.label_name_first(names, LABELS).select("task_id", F.col("label").alias("label_col"))
+    dated_ = names.filter(F.lower("column").contains("date")).select("task_id", F.lit(0).alias("ordinal"), "column", "value")
+    plan = evolve.plans(names, SEED, protected=labels.withColumnRenamed("label_col", "column"), formats=profile.date_formats(dated_, by=["task_id"]))
+    return plan.join(labels, "task_id", "left").withColumn("join_keys", F.array_join("join_keys", ","))
+
+
 @query(
     "ev_add",
     f"""SELECT *, 'unknown' AS __new_constant, CASE WHEN {H.format(x="'7:' || partkey")} / 4294967296.0 < 0.2 THEN 1.0::DOUBLE END AS __new_sparse,

@@ -116,6 +116,25 @@ def fp_align_strict(spark, sf_dir):
     return out.select("task_id", F.array_join("first_missing", ",").alias("first_missing"), F.array_join("extra", ",").alias("extra"), "n_missing", "strict").join(rows, "task_id")
 
 
+#: Columns of the training and test side of tasks, of which each event is one; every fourth task's test side has all.
+SIDE = """SELECT concat('task_', user_id) AS task_id, concat('c', event_id % 60) AS col, min(event_id) AS ordinal FROM events WHERE {side} GROUP BY 1, 2"""
+SIDES = [SIDE.format(side="event_id % 3 <> 0"), SIDE.format(side="user_id % 4 = 0 OR event_id % 3 <> 1 OR value > 60")]
+
+
+@query(
+    "fp_align_strict_tasks",
+    f"""WITH a AS ({SIDES[0]}), b AS ({SIDES[1]}), j AS (SELECT task_id, col, a.ordinal AS i, b.ordinal AS j FROM a FULL JOIN b USING (task_id, col)),
+m AS (SELECT *, CASE WHEN j IS NULL THEN row_number() OVER (PARTITION BY task_id, j IS NULL ORDER BY i) END AS r FROM j)
+SELECT task_id, coalesce(string_agg(col, ',' ORDER BY i) FILTER (r <= 20), '') AS first_missing, coalesce(string_agg(col, ',' ORDER BY j) FILTER (i IS NULL), '') AS extra,
+CAST(count(r) AS INTEGER) AS n_missing, CASE WHEN count(r) > 0 THEN 'STRICT_SCHEMA_FAIL' ELSE 'ok' END AS strict FROM m GROUP BY task_id""",
+)
+def fp_align_strict_tasks(spark, sf_dir):
+    """What the strict mode says of every task, the columns of both sides being rows."""
+    train, test = (bound(spark, sf_dir, q).withColumnRenamed("col", "column") for q in SIDES)
+    out = prep.align_report(train, test)
+    return out.select("task_id", F.array_join("first_missing", ",").alias("first_missing"), F.array_join("extra", ",").alias("extra"), "n_missing", "strict")
+
+
 HOLES = "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS acctbal, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS mktsegment FROM customer"
 
 

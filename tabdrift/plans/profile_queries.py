@@ -73,6 +73,26 @@ def pr_schema_diff(spark, sf_dir):
     return out.select("table", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), changes.alias("dtype_changes")).join(rows, "table")
 
 
+#: Columns of tasks before and after a change, of which each event is one; types are those of the first event.
+TYPED = """SELECT concat('task_', user_id) AS task_id, event_type AS tbl, concat('c', event_id % 40) AS col,
+min(CASE WHEN value > 50 THEN 'float64' WHEN event_id % 5 = 0 THEN 'int64' ELSE 'str' END) AS dtype FROM events WHERE event_id % 3 <> {side} GROUP BY 1, 2, 3"""
+
+
+@query(
+    "pr_schema_diff_tasks",
+    f"""WITH a AS ({TYPED.format(side=0)}), b AS ({TYPED.format(side=1)}), j AS (
+SELECT task_id, tbl, col, a.dtype AS was, b.dtype AS now FROM a FULL JOIN b USING (task_id, tbl, col))
+SELECT task_id, tbl AS "table", coalesce(string_agg(col, ',' ORDER BY col) FILTER (was IS NULL), '') AS added, coalesce(string_agg(col, ',' ORDER BY col) FILTER (now IS NULL), '') AS removed,
+coalesce(string_agg(col || ':' || was || '>' || now, ',' ORDER BY col) FILTER (was <> now), '') AS dtype_changes FROM j GROUP BY ALL""",
+)
+def pr_schema_diff_tasks(spark, sf_dir):
+    """Schema changes of all tables of all tasks in one join, the schemas being rows."""
+    before, after = (bound(spark, sf_dir, TYPED.format(side=i)).withColumnsRenamed({"tbl": "table", "col": "column"}) for i in (0, 1))
+    out = profile.schema_diff(before, after, ["task_id", "table"])
+    changes = F.array_join(F.transform("dtype_changes", lambda x: F.concat(x["column"], F.lit(":"), x["before"], F.lit(">"), x["after"])), ",")
+    return out.select("task_id", "table", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), changes.alias("dtype_changes"))
+
+
 HOLES = """SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS acctbal,
 CASE WHEN c_custkey % 14 = 0 THEN NULL ELSE c_mktsegment END AS mktsegment, c_nationkey AS nationkey FROM customer"""
 
