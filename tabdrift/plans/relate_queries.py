@@ -205,11 +205,21 @@ def jn_build_test(spark, sf_dir):
     return _build(spark, sf_dir)[1]
 
 
+#: Whether a key repeats in at least one of a hundred rows, and the relation that two sides have by that.
+_REPEATS = "(SELECT floor(100 * round(1 - count(DISTINCT {key}) / count(*), 9) + 0.5) >= 1 FROM {table})"
+_KIND = "CASE WHEN {base} AND {other} THEN 'many_to_many' WHEN {other} THEN 'one_to_many' WHEN {base} THEN 'many_to_one' ELSE 'one_to_one' END"
+
+
 @query(
     "jn_build_log",
-    """SELECT *, (SELECT count(*) FROM orders) AS n_rows FROM (VALUES
-(0, 'training_1', 'test_1', 'orderkey', 'one_to_many', 'aggregate_then_merge', NULL, 11, 'ok'), (1, 'training_2', 'test_2', 'custkey', 'many_to_one', 'safe_left_merge', NULL, 4, 'ok'),
-(2, 'training_3', 'test_1', NULL, NULL, 'skip', 'no_common_key_with_base', 0, 'ok')) v(step, train_table, test_table, key, relationship, action, reason, n_added_cols, status)""",
+    f"""WITH r AS (SELECT {_REPEATS.format(key="o_orderkey", table="orders")} AS order_base, {_REPEATS.format(key="l_orderkey", table="lineitem")} AS order_other,
+  {_REPEATS.format(key="o_custkey", table="orders")} AS customer_base, {_REPEATS.format(key="c_custkey", table="customer")} AS customer_other),
+k AS (SELECT {_KIND.format(base="order_base", other="order_other")} AS orders, {_KIND.format(base="customer_base", other="customer_other")} AS customers FROM r),
+v AS (SELECT 0 AS step, 'training_1' AS train_table, 'test_1' AS test_table, 'orderkey' AS key, orders AS relationship, 11 AS n_added_cols FROM k
+  UNION ALL SELECT 1, 'training_2', 'test_2', 'custkey', customers, 4 FROM k UNION ALL SELECT 2, 'training_3', 'test_1', NULL, NULL, 0)
+SELECT step, train_table, test_table, key, relationship, CASE relationship WHEN 'one_to_many' THEN 'aggregate_then_merge' WHEN 'one_to_one' THEN 'safe_left_merge' WHEN 'many_to_one' THEN 'safe_left_merge' ELSE 'skip' END AS action,
+CASE WHEN key IS NULL THEN 'no_common_key_with_base' WHEN relationship NOT IN ('one_to_many', 'one_to_one', 'many_to_one') THEN 'many_to_many_unsafe' END AS reason, n_added_cols, 'ok' AS status,
+(SELECT count(*) FROM orders) AS n_rows FROM v""",
 )
 def jn_build_log(spark, sf_dir):
     x_train, _, log = _build(spark, sf_dir)
