@@ -9,7 +9,6 @@ the batch: a run that is repeated under its name decides as the first did.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -17,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabdrift.functions.stored import scratch_path
 from tabdrift.llm.common import carried, released, written
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, batch string"
@@ -28,9 +28,10 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A managed table ``digest, keep_id, batch``, bucketed and sorted by digest.
+    """A table ``digest, keep_id, batch``, bucketed and sorted by digest.
 
-    The bucket count is fixed when the table is made. By default it is the
+    Its files lie in the folder that all executors share and not in the warehouse, which a cluster
+    need not share and which by default is a folder of the driver's own. The bucket count is fixed when the table is made. By default it is the
     session's shuffle partition count, so that a batch already hashed for its own
     aggregation is written with one file per bucket. Batches are added one at a time.
     Whoever makes an index drops it.
@@ -38,9 +39,6 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name, self.spare = spark, name, f"{name}_compact"
-        own = os.path.join(os.getcwd(), "spark-warehouse")
-        if not spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/") == own:
-            raise RuntimeError("set spark.sql.warehouse.dir to a folder that all executors share")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if spark.catalog.tableExists(self.spare) and not spark.catalog.tableExists(name):
             self._take_spare()  # a compaction was lost between its last two steps
@@ -52,14 +50,17 @@ class DigestIndex:
             self._append(spark.createDataFrame([], INDEX_SCHEMA), name)
 
     def _append(self, rows: DataFrame, name: str) -> None:
-        (
-            rows.repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .mode("append")
-            .format("parquet")
-            .saveAsTable(name)
-        )
+        out = rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet")
+        if not self.spark.catalog.tableExists(name):
+            out = out.option("path", scratch_path(self.spark, name))
+        out.saveAsTable(name)
+
+    def _drop(self, name: str) -> None:
+        """Drop a table, and then its rows from the shared folder."""
+        if self.spark.catalog.tableExists(name):
+            path = self.spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Location'").first()["data_type"]
+            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.createDataFrame([], INDEX_SCHEMA).write.mode("overwrite").parquet(path)
 
     def _take_spare(self) -> None:
         self.spark.sql(f"ALTER TABLE {self.spare} RENAME TO {self.name}")
@@ -81,15 +82,15 @@ class DigestIndex:
         The new table is complete before the old one goes; if the run is lost between
         the two, the next to open the index finishes it.
         """
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.spare}")
+        self._drop(self.spare)
         # a digest made anew: for that of the table Spark leaves the repartition out and then reads without buckets
         self._append(self.read().withColumn("digest", F.concat("digest", F.lit(bytearray()))), self.spare)
-        self.spark.sql(f"DROP TABLE {self.name}")
+        self._drop(self.name)
         self._take_spare()
 
     def drop(self) -> None:
         for name in (self.name, self.spare):
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._drop(name)
 
 
 def text_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -167,7 +168,7 @@ def _marked(docs: DataFrame, decided: DataFrame, text: str, key: str) -> DataFra
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
-    """An empty index of its own name in the warehouse."""
+    """An empty index of its own name."""
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
 
 

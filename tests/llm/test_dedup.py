@@ -69,6 +69,17 @@ def test_compaction_keeps_rows_and_leaves_a_file_a_bucket(spark, tmp_path):
     assert not spark.catalog.tableExists(index.name)
 
 
+def test_index_lies_in_the_shared_folder_and_leaves_no_rows(spark, tmp_path):
+    """A warehouse of the driver's own, which is Spark's default, is not needed."""
+    index = ed.new_index(spark)
+    ed.exact_dedup(stored(spark, tmp_path, [(i, f"{i}") for i in range(20)]), index, "one")
+    files, shared = index.read().inputFiles(), spark.conf.get("spark.checkpoint.dir")
+    assert files and all(shared in f for f in files) and not any(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") in f for f in files)
+    folder = files[0].rsplit("/", 1)[0]
+    index.drop()
+    assert spark.read.schema(ed.INDEX_SCHEMA).parquet(folder).count() == 0 and not spark.catalog.tableExists(index.name)
+
+
 def test_exact_on_empty_and_clashing_columns(spark, tmp_path):
     assert ed.exact_dedup(stored(spark, tmp_path, []), ed.new_index(spark), "one").count() == 0
     names = "doc_id long, text string, digest int, keep_id int, batch string, dd_digest int, dd_keep_id int, dd_repeats int, dd_group_size int"
