@@ -278,8 +278,13 @@ def _usable(vector, label):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """The rows of a list column of one length."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    """The rows of a list column of one length, in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64, copy=False)
+
+
+def _component(rows: DataFrame) -> str:
+    """The type of the components in column vec."""
+    return rows.schema["vec"].dataType.elementType.simpleString()
 
 
 def _whole(table: pa.Table) -> pa.RecordBatch:
@@ -287,14 +292,15 @@ def _whole(table: pa.Table) -> pa.RecordBatch:
 
 
 def split_units(vertices: DataFrame, spec: GraphSpec) -> DataFrame:
-    """Rows (unit, cid, home, side, vec): every two vertices of a group that can be linked share a unit in which one of them
+    """Rows (unit, cid, home, side, copies, vec): every two vertices of a group that can be linked share a unit in which one of them
     is at home, but for a small chance that ``spread`` sets.
 
-    Each round splits the units that are too large, as many as their centroids fit ``SHIPPED`` numbers; the
+    Without ``copies`` a vertex counts once. Each round splits the units that are too large, as many as their centroids fit ``SHIPPED`` numbers; the
     driver sees these centroids and their units. Centroids come from a bounded sample of a unit.
     """
     spark = vertices.sparkSession
-    left = written(vertices.select(F.xxhash64("label", "dim").alias("unit"), "cid", F.lit(True).alias("home"), F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("of"), "dim", "vec"), "ed-units")
+    copies = F.col("copies") if "copies" in vertices.columns else F.lit(1).cast("bigint").alias("copies")
+    left = vertices.select(F.xxhash64("label", "dim").alias("unit"), "cid", F.lit(True).alias("home"), F.lit(0).alias("side"), copies, F.lit(0).cast("bigint").alias("of"), "dim", "vec")
     settled: list[DataFrame] = []
     while True:
         sizes = left.groupBy("unit").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.max("dim").alias("dim")).filter(F.col("n") > spec.unit)
@@ -327,7 +333,7 @@ def _tiles(rows: DataFrame, spec: GraphSpec) -> DataFrame:
     tile = F.pmod(F.xxhash64("cid"), tiles).cast("int")
     dealt = rows.withColumn("_t", tile).withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1)))
     pair = F.xxhash64("unit", F.least("_t", "_o"), F.greatest("_t", "_o"))
-    return dealt.select(pair.alias("unit"), "cid", "home", (F.col("_t") > F.col("_o")).cast("int").alias("side"), "of", "dim", "vec")
+    return dealt.select(pair.alias("unit"), "cid", "home", (F.col("_t") > F.col("_o")).cast("int").alias("side"), "copies", "of", "dim", "vec")
 
 
 def _cells_of(size: int, spec: GraphSpec) -> int:
@@ -352,7 +358,7 @@ def _centroids(rows: DataFrame, chosen: dict, spec: GraphSpec) -> dict[int, np.n
 
 def _cells(rows: DataFrame, books: dict[int, np.ndarray], spec: GraphSpec) -> DataFrame:
     """Each row in its own cell and in those it visits."""
-    schema = "unit bigint, cell int, cid bigint, home boolean, side int, of bigint, dim int, vec array<double>"
+    schema = f"unit bigint, cell int, cid bigint, home boolean, side int, copies bigint, of bigint, dim int, vec array<{_component(rows)}>"
     chord = float(np.sqrt(2 - 2 * spec.cosine))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,10 +378,10 @@ def _cells(rows: DataFrame, books: dict[int, np.ndarray], spec: GraphSpec) -> Da
                 row, cell = np.nonzero((border <= chord * min(1.0, spec.spread / np.sqrt(v.shape[1])) + 1e-6) & ((apart > 0) | (np.arange(len(book)) == own[:, None])))
                 home = part.column("home").to_numpy(zero_copy_only=False)[row] & (cell == own[row])
                 took = part.take(pa.array(row))
-                columns = [took.column("unit"), pa.array(cell, pa.int32()), took.column("cid"), pa.array(home), took.column("side"), took.column("size"), took.column("dim"), took.column("vec")]
-                yield pa.RecordBatch.from_arrays(columns, names=["unit", "cell", "cid", "home", "side", "of", "dim", "vec"])
+                columns = [took.column("unit"), pa.array(cell, pa.int32()), took.column("cid"), pa.array(home), took.column("side"), took.column("copies"), took.column("size"), took.column("dim"), took.column("vec")]
+                yield pa.RecordBatch.from_arrays(columns, names=["unit", "cell", "cid", "home", "side", "copies", "of", "dim", "vec"])
 
-    dealt = rows.select("unit", "cid", "home", "side", "size", "dim", "vec").mapInArrow(deal, schema)
+    dealt = rows.select("unit", "cid", "home", "side", "copies", "size", "dim", "vec").mapInArrow(deal, schema)
     return dealt.withColumn("unit", F.xxhash64("unit", "cell")).drop("cell")
 
 
@@ -401,24 +407,31 @@ def united_graph(units: DataFrame, spec: GraphSpec) -> DataFrame:
         near = [cid[g] for g in reachable(graph)]
         return pa.table({"unit": batch.column("unit"), "cid": batch.column("cid"), "near": pa.array(near, pa.list_(pa.int64())), "medoid": pa.array(np.arange(len(v)) == medoid)})
 
-    shards = units.select("unit", "cid", "vec").groupBy("unit").applyInArrow(cluster, "unit bigint, shard int, cid bigint, vec array<double>")
+    shards = units.select("unit", "cid", "vec").groupBy("unit").applyInArrow(cluster, f"unit bigint, shard int, cid bigint, vec array<{_component(units)}>")
     lists = shards.groupBy("unit", "shard").applyInArrow(build, "unit bigint, cid bigint, near array<bigint>, medoid boolean")
-    return lists.groupBy("unit", "cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
+    # dealt by unit, as the search needs them, so that they move once
+    return lists.repartition("unit").groupBy("unit", "cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
 
 
-def range_links(units: DataFrame, lists: DataFrame, vertices: DataFrame, spec: GraphSpec) -> DataFrame:
-    """Rows (cid, links, root): links of the vertices at home in a unit, and a vertex that each of a unit's is connected with."""
+def range_links(units: DataFrame, lists: DataFrame, spec: GraphSpec) -> DataFrame:
+    """Rows (cid, links, root): links of the vertices at home in a unit, and a vertex that each of a unit's is connected with.
 
-    def search(table: pa.Table) -> pa.Table:
-        batch = _whole(table.sort_by("cid"))
-        cid, near = batch.column("cid").to_numpy(), batch.column("near")
+    Vectors and lists of a unit meet in its task, so that vectors move once.
+    """
+    schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+    def search(vectors: pa.Table, lists: pa.Table) -> pa.Table:
+        if not len(vectors):
+            return schema.empty_table()
+        batch, own = _whole(vectors.sort_by("cid")), _whole(lists.sort_by("cid"))
+        cid, near = batch.column("cid").to_numpy(), own.column("near")
         graph = padded(np.split(np.searchsorted(cid, near.flatten().to_numpy()), np.cumsum(np.diff(near.offsets.to_numpy()))[:-1]))
-        flag = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-        links, root = search_unit(_matrix(batch.column("vec")), graph, np.flatnonzero(flag("medoid")), flag("home"), flag("side"), flag("copies"), spec)
-        return pa.table({"cid": batch.column("cid"), "links": pa.array(links), "root": pa.array(cid[root])})
+        flag = lambda b, c: b.column(c).to_numpy(zero_copy_only=False)
+        links, root = search_unit(_matrix(batch.column("vec")), graph, np.flatnonzero(flag(own, "medoid")), flag(batch, "home"), flag(batch, "side"), flag(batch, "copies"), spec)
+        return pa.table({"cid": batch.column("cid"), "links": pa.array(links), "root": pa.array(cid[root])}, schema=schema)
 
-    both = units.join(lists, ["unit", "cid"]).join(vertices.select("cid", "copies"), "cid")
-    return both.groupBy("unit").applyInArrow(search, "cid bigint, links bigint, root bigint")
+    held = units.select("unit", "cid", "home", "side", "copies", "vec").groupBy("unit")
+    return held.cogroup(lists.groupBy("unit")).applyInArrow(search, "cid bigint, links bigint, root bigint")
 
 
 def audited_recall(vertices: DataFrame, found: DataFrame, spec: GraphSpec) -> float:
@@ -458,16 +471,17 @@ def near_vectors(rows: DataFrame, spec: GraphSpec, vector: str = "embedding", ke
     each other; a key may repeat over different vectors. An empty table gives an empty result. Other
     columns may have any names.
     """
+    real = rows.schema[vector].dataType.elementType.simpleString()
     v, k, l = F.col(f"`{vector}`"), F.col(f"`{key}`").cast("bigint"), F.col(f"`{label}`").cast("bigint")
     digest = [F.xxhash64(F.lit(s), v).alias(f"h{s}") for s in (1, 2)]
-    marks = rows.select(k.alias("id"), l.alias("label"), v.cast("array<double>").alias("vec"), F.size(v).alias("dim"), *digest, (k.isNotNull() & _usable(v, l)).alias("fit"))
+    marks = rows.select(k.alias("id"), l.alias("label"), v.cast(f"array<{real if real == 'float' else 'double'}>").alias("vec"), F.size(v).alias("dim"), *digest, (k.isNotNull() & _usable(v, l)).alias("fit"))
     names = ["label", "dim", "h1", "h2"]
     vertices = marks.filter("fit").groupBy(*names).agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("vec").alias("vec"))
     vertices = written(vertices.withColumn("cid", F.monotonically_increasing_id()), "ed-vertices")
-    units = written(split_units(vertices, spec), "ed-dealt")
+    units = split_units(vertices, spec)  # read from the vertices or the last split, not stored once more
     for attempt in range(spec.attempts):
         wide = replace(spec, beam=spec.beam << attempt, degree=spec.degree << attempt)
-        found = written(range_links(units, united_graph(units, wide), vertices, wide), "ed-found")
+        found = written(range_links(units, united_graph(units, wide), wide), "ed-found")
         links = written(found.groupBy("cid").agg(F.sum("links").alias("links")), "ed-links")
         recall = audited_recall(vertices, links, wide)
         if recall >= spec.recall:

@@ -76,6 +76,18 @@ def test_units_are_split_and_tiled_without_loss(spark):
         assert recall == 1.0 and {tuple(r) for r in got.collect()} == plain_classes(rows)
 
 
+def test_vectors_are_stored_once_and_as_they_come(spark, monkeypatch):
+    rows = [(i, np.float32(v).tolist(), label) for i, v, label in clouds()]
+    stored, plain = [], ed.written
+    monkeypatch.setattr(ed, "written", lambda df, name: stored.append((name, dict(df.dtypes).get("vec"))) or plain(df, name))
+    for spec, most in ((ed.GraphSpec(shard=64, degree=8, beam=16), 1), (ed.GraphSpec(unit=100, shard=64), 5)):
+        stored.clear()
+        got, _ = ed.near_vectors(spark.createDataFrame(rows, VECTORS.replace("double", "float")), spec)
+        assert {tuple(r) for r in got.collect()} == plain_classes(rows)
+        kinds = [kind for _, kind in stored if kind]
+        assert set(kinds) == {"array<float>"} and len(kinds) <= most
+
+
 def test_odd_embeddings_link_with_nothing(spark):
     e = [1.0, 0.0]
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (5, [float("inf"), 1.0], 1), (6, [], 1), (7, e, None), (8, e, 1), (9, e, 1),
