@@ -101,3 +101,31 @@ def test_text_ranks_follow_code_points(spark):
     words = ["", "a", "aa", "ab", "b", "é", "Z", "日", "👍", "a"]
     got = {r["w"]: r["n"] for r in text_ranks(spark.createDataFrame([(w,) for w in [*words, None]], "w string"), "w", "n").collect()}
     assert got == {w: i for i, w in enumerate(sorted(set(words), key=lambda w: w.encode()))}
+
+
+def test_rank_metrics_move_rows_once_and_store_none(spark, monkeypatch):
+    """One group above the limit, in ranges, and a small one with a null key; ties, nulls, zeros of both signs."""
+    import os
+
+    import numpy as np
+
+    from tabdrift.functions import ordering
+
+    monkeypatch.setattr(ordering, "SORTED", 100)
+    rng = np.random.default_rng(5)
+    rows = [("a", float(round(x, 2)), float(round(x + e, 1))) for x, e in rng.normal(size=(3000, 2))] + [(None, float(i % 7), float(i % 5)) for i in range(40)]
+    rows += [("a", -0.0, 0.0), ("a", 0.0, -0.0), ("a", None, 9.0), ("a", 9.0, None), ("b", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, base double, evo double")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    ks = {r["k"]: r["ks"] for r in drift.ks_statistic(df, ["k"]).collect()}
+    rho = {r["k"]: r["spearman"] for r in drift.spearman(df, ["k"]).collect()}
+    ranked = lambda v: np.array([((v < x).sum() + (v <= x).sum() + 1) / 2 for x in v])
+    for key in ("a", None):
+        x, y = (np.array([r[i] for r in rows if r[0] == key and r[i] is not None]) for i in (1, 2))
+        assert abs(ks[key] - max(abs((x <= v).mean() - (y <= v).mean()) for v in np.concatenate([x, y]))) < 1e-12
+        x, y = np.array([r[1:] for r in rows if r[0] == key and None not in r[1:]]).T
+        assert abs(rho[key] - np.corrcoef(ranked(x), ranked(y))[0, 1]) < 1e-12
+    assert ks["b"] is None and "b" not in rho
+    made = set(os.listdir(shared)) - before
+    assert sum(spark.read.parquet(f"{shared}/{m}").count() for m in made) <= 6 * ordering.RANGES
