@@ -12,6 +12,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -35,6 +36,8 @@ NO_VALUE = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
 MARKERS = ("manifest.json", "evo_log.json")
 #: The sink's own mark, with names and SHA-1 of a task's files.
 COMPLETE = "complete.json"
+#: Folders that a commit moves side by side.
+MOVES = 16
 WHOLE = r"^\s*[+-]?\d+\s*$"
 FILES = "variant string, task_id string, name string, content binary"
 
@@ -143,10 +146,10 @@ def marker_files(tasks: DataFrame) -> DataFrame:
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """What one Spark task has staged: its folder, and names and SHA-1 of the files of each variant and task."""
+    """What one Spark task has staged: its folder, and the variant and task of each folder in it."""
 
     folder: str
-    files: dict[tuple[str, str], dict[str, str]]
+    tasks: list[tuple[str, str]]
 
 
 class CorpusWriter(DataSourceWriter):
@@ -159,30 +162,42 @@ class CorpusWriter(DataSourceWriter):
         return fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
 
     def write(self, iterator: Iterator) -> Staged:
+        """Stage files, and beside those of each task its mark, last of all, so that a task moves with it."""
         store, root = self._store()
         folder, done = f"{root}/_staging/{self.job}/{uuid.uuid4().hex}", {}
         for row in iterator:
             if row.name == COMPLETE or any(not p or "/" in p or p.startswith((".", "_")) for p in (row.variant, row.task_id, row.name)):
                 raise ValueError(f"no name of a file: {row.variant!r}, {row.task_id!r}, {row.name!r}")
-            at = f"{folder}/{row.variant}/{row.task_id}"
-            store.create_dir(at)
+            at, content = f"{folder}/{row.variant}/{row.task_id}", bytes(row.content)
+            if (row.variant, row.task_id) not in done:
+                store.create_dir(at)
             with store.open_output_stream(f"{at}/{row.name}") as out:
-                out.write(bytes(row.content))
-            done.setdefault((row.variant, row.task_id), {})[row.name] = hashlib.sha1(bytes(row.content)).hexdigest()
-        return Staged(folder, done)
+                out.write(content)
+            done.setdefault((row.variant, row.task_id), {})[row.name] = hashlib.sha1(content).hexdigest()
+        for (variant, task), names in done.items():
+            with store.open_output_stream(f"{folder}/{variant}/{task}/{COMPLETE}") as out:
+                out.write(json.dumps(names, sort_keys=True).encode())
+        return Staged(folder, list(done))
 
     def commit(self, messages: list[Staged | None]) -> None:
-        """Move each task's folder to its place, in the place of an older one; then its mark is written, last of all."""
+        """Move each task's folder, its mark in it, to its place, in the place of an older one: a rename a task, side by side."""
         store, root = self._store()
-        for m in filter(None, messages):
-            for (variant, task), names in m.files.items():
-                place = f"{root}/{variant}/{task}"
-                if store.get_file_info(place).type != fs.FileType.NotFound:
-                    store.delete_dir(place)
-                store.create_dir(f"{root}/{variant}")
-                store.move(f"{m.folder}/{variant}/{task}", place)
-                with store.open_output_stream(f"{place}/{COMPLETE}") as out:
-                    out.write(json.dumps(names, sort_keys=True).encode())
+        staged = [(m.folder, variant, task) for m in filter(None, messages) for variant, task in m.tasks]
+        older = {}
+        for variant in sorted({variant for _, variant, _ in staged}):
+            place = f"{root}/{variant}"
+            store.create_dir(place)
+            older[variant] = {f.base_name for f in store.get_file_info(fs.FileSelector(place))}
+
+        def move(one: tuple[str, str, str]) -> None:
+            folder, variant, task = one
+            if task in older[variant]:
+                store.delete_dir(f"{root}/{variant}/{task}")
+            store.move(f"{folder}/{variant}/{task}", f"{root}/{variant}/{task}")
+
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(move, staged):
+                pass
         self.abort(messages)
 
     def abort(self, messages: list[Staged | None]) -> None:

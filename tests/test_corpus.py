@@ -178,3 +178,28 @@ def test_a_corpus_of_files_is_evolved_and_taken_up_again(spark, tmp_path):
     evolve_corpus.evolve_files(spark, str(root), out, "baseline", [], 5)
     copied = tree(out)
     assert all(copied[f"baseline/t0/{n}"] == (root / "t0" / n).read_bytes() for n in ("training_0.csv", "test_0.csv", "target.csv"))
+
+
+def test_a_commit_renames_a_task_once_and_writes_nothing(tmp_path, monkeypatch):
+    """Marks are staged with their tasks, so the driver's share is one move a task, and an older task goes."""
+    from pyspark.sql import Row
+
+    store, calls = corpus.fs.LocalFileSystem(), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda *a, **k: calls.append(name) or getattr(store, name)(*a, **k)
+
+    def put(n):
+        writer = corpus.CorpusWriter(str(tmp_path))
+        monkeypatch.setattr(writer, "_store", lambda: (Counted(), str(tmp_path)))
+        staged = writer.write(Row(variant="v", task_id=f"t{i}", name=f"{n}.csv", content=b"x") for i in range(n))
+        assert not os.path.exists(tmp_path / "v" / f"t{n - 1}")
+        calls.clear()
+        writer.commit([staged, None])
+
+    put(20)
+    assert calls.count("move") == 20 and calls.count("open_output_stream") == 0 and len(calls) < 30
+    put(30)
+    assert calls.count("move") == 30 and calls.count("delete_dir") == 21
+    assert all(sorted(os.listdir(tmp_path / "v" / f"t{i}")) == ["30.csv", corpus.COMPLETE] for i in range(30)) and not os.listdir(tmp_path / "_staging")
