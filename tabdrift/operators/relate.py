@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabdrift.functions.numbers import two_digits
+from tabdrift.functions.stored import written
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
-#: Text columns that a child's aggregation counts beside its numbers.
-TEXTS = 4
 #: What a step log says.
 SKIP, AGGREGATE, MERGE, NO_KEY, UNSAFE = "skip", "aggregate_then_merge", "safe_left_merge", "no_common_key_with_base", "many_to_many_unsafe"
 
@@ -68,15 +67,19 @@ def column_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column: n_rows, n_null and n_distinct (of non-null values).
 
     Cells collapse to distinct values with their counts first, so a count over many
-    columns is one shuffle and a hot value is one row.
+    columns is one shuffle and a hot value is one row. Names join the counts, and are not moved with the values. Best
+    written where it is read more than once.
     """
-    by = ["table", "table_idx", "ordinal", "column"]
+    by = ["table_idx", "ordinal"]
     values = cells(tables).groupBy(*by, "value").agg(F.count("*").alias("n"))
-    return values.groupBy(*by).agg(
+    out = values.groupBy(*by).agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
         F.count("value").alias("n_distinct"),
     )
+    named = F.array(*(F.struct(F.lit(t).alias("table"), F.array(*(F.lit(c) for c in df.columns)).cast("array<string>").alias("columns")) for t, df in tables.items()))
+    at = F.get(named, F.col("table_idx"))
+    return out.select(at["table"].alias("table"), "table_idx", "ordinal", F.get(at["columns"], F.col("ordinal")).alias("column"), "n_rows", "n_null", "n_distinct")
 
 
 def shared_columns(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -146,8 +149,8 @@ def aggregate_child(child: DataFrame, key: str) -> DataFrame:
     """One row per key (a null key is a group): row count; mean, sample deviation, least and
     largest of numbers; distinct non-null count of texts. Other types are left out.
 
-    Up to ``TEXTS`` text columns are counted in the one aggregation, which copies partial rows once a column; more of
-    them as rows (key, column, value) that are made distinct once.
+    Texts are counted as rows (key, column, value) that are made distinct once: counted beside the numbers they would copy
+    all partial sums once a column, and once more.
     """
     aggs = [F.count("*").alias(f"__agg__{key}__row_count")]
     for c in numeric_columns(child):
@@ -155,8 +158,8 @@ def aggregate_child(child: DataFrame, key: str) -> DataFrame:
             x = F.col(f"`{c}`")
             aggs += [F.avg(x).alias(f"__agg__{c}__mean"), F.stddev_samp(x).alias(f"__agg__{c}__std"), F.min(x).alias(f"__agg__{c}__min"), F.max(x).alias(f"__agg__{c}__max")]
     texts = [f.name for f in child.schema if f.name != key and isinstance(f.dataType, T.StringType)]
-    if len(texts) <= TEXTS:
-        return child.groupBy(F.col(f"`{key}`")).agg(*aggs, *(F.count_distinct(F.col(f"`{c}`")).alias(f"__agg__{c}__nunique") for c in texts))
+    if not texts:
+        return child.groupBy(F.col(f"`{key}`")).agg(*aggs)
     cells_ = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(texts)))
     k = F.col(f"`{key}`")
     values = child.select(k, F.explode(cells_).alias("s")).select(k, "s.*").distinct()
@@ -217,7 +220,7 @@ def build_features(train: Mapping[str, DataFrame], test: Mapping[str, DataFrame]
     as the run would have ended there; else it is ok.
     """
     spark, others = train[base].sparkSession, [t for t in train if t != base]
-    stats = column_stats(shared_columns({t: train[t] for t in (base, *others)}))
+    stats = written(column_stats(shared_columns({t: train[t] for t in (base, *others)})), "stats")
     pairs = spark.createDataFrame([(base, t) for t in others], "base string, other string") if others else None
     found = {r["other"]: (r["key"], r["relationship"]) for r in relationships(stats, best_keys(stats, pairs, [label])).collect()} if others else {}
     shared = lambda t, u: len(set(train[t].columns) & set(test[u].columns))
@@ -279,7 +282,7 @@ def join_chain(tables: Mapping[str, DataFrame], most: float = 5.0) -> tuple[Data
         if not common:
             return None, "no common columns"
         pick = lambda t: t.select(*(F.col(f"`{c}`") for c in common))  # noqa: B023, E731
-        stats = column_stats({"left": pick(out), "right": pick(df)})
+        stats = written(column_stats({"left": pick(out), "right": pick(df)}), "stats")
         keyed = best_keys(stats, out.sparkSession.createDataFrame([("left", "right")], "base string, other string"))
         key = keyed.first()["key"]
         if key is None:

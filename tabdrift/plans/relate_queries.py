@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabdrift.functions.numbers import two_digits_sql as two
+from tabdrift.functions.stored import written
 from tabdrift.operators import relate
 from tabdrift.plans.bindings import SCHEMAS, bound, columns, plain, table
 from tabdrift.plans.registry import query
@@ -22,7 +23,7 @@ def _tables(spark, sf_dir, names=TABLES) -> dict[str, DataFrame]:
 
 
 def _key_stats(spark, sf_dir) -> DataFrame:
-    return relate.column_stats(relate.shared_columns(_tables(spark, sf_dir)))
+    return written(relate.column_stats(relate.shared_columns(_tables(spark, sf_dir))), "stats")
 
 
 def _pairs(spark) -> DataFrame:
@@ -169,7 +170,7 @@ FROM o LEFT JOIN a USING (orderkey) LEFT JOIN cu ON cu.custkey = o.custkey""",
 )
 def jn_relational_features(spark, sf_dir):
     base, others = table(spark, sf_dir, "orders"), {"lineitem": bound(spark, sf_dir, LINES), "customer": table(spark, sf_dir, "customer"), "region": table(spark, sf_dir, "region")}
-    stats = relate.column_stats(relate.shared_columns({"orders": base, **others}))
+    stats = written(relate.column_stats(relate.shared_columns({"orders": base, **others})), "stats")  # a row per column
     pairs = spark.createDataFrame([("orders", o) for o in others], "base string, other string")
     # the steps are a row per table; what they say decides the shape of the plan
     steps = {r["other"]: (r["key"], r["relationship"]) for r in relate.relationships(stats, relate.best_keys(stats, pairs, exclude=["orderstatus"])).collect()}

@@ -253,3 +253,26 @@ def test_medians_and_modes_of_odd_columns(spark):
     df = spark.createDataFrame([(None, None, None)], "x double, s string, z double")
     assert prep.impute_median(train, df, ["x", "z"]).first()[:3] == (3.0, None, None)
     assert prep.impute_mode(train, df, ["s"]).first()["s"] == "a"
+
+
+def test_a_childs_texts_are_counted_without_copies_of_its_sums(spark):
+    """One aggregation of sums and distinct counts copies each row once a text column and once more, sums and all."""
+    from tabdrift.operators import relate
+
+    child = spark.createDataFrame([(1, 2.0, "a", "x"), (1, 4.0, "a", "y"), (None, 1.0, None, "x"), (None, 3.0, "b", None), (2, 5.0, None, None)], "k int, v double, s string, t string")
+    out = relate.aggregate_child(child, "k")
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["k"]: (r["__agg__k__row_count"], r["__agg__v__mean"], r["__agg__s__nunique"], r["__agg__t__nunique"]) for r in out.collect()}
+    assert got == {1: (2, 3.0, 1, 2), None: (2, 2.0, 1, 1), 2: (1, 5.0, 0, 0)}
+    none = relate.aggregate_child(child.select("k", "v"), "k")
+    assert {r["k"]: r["__agg__v__max"] for r in none.collect()} == {1: 4.0, None: 3.0, 2: 5.0}
+
+
+def test_statistics_move_values_without_names(spark):
+    from tabdrift.operators import relate
+
+    tables = {"a": spark.createDataFrame([(1, None), (1, "x")], "k int, s string"), "b": spark.createDataFrame([(2,)], "k int")}
+    out = relate.column_stats(tables)
+    assert {(r["table"], r["column"]): (r["table_idx"], r["ordinal"], r["n_rows"], r["n_null"], r["n_distinct"]) for r in out.collect()} == {("a", "k"): (0, 0, 2, 0, 1), ("a", "s"): (0, 1, 2, 1, 1), ("b", "k"): (1, 0, 1, 0, 1)}
+    grouped = [x.split("Aggregate [")[1].split("]")[0] for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in x]
+    assert len(grouped) == 2 and all("table#" not in x and "column#" not in x for x in grouped)
