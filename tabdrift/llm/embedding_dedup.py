@@ -29,6 +29,8 @@ from tabdrift.llm.near_dedup import components
 
 #: Queries that are searched side by side, and numbers of centroids that one round of splits ships to the tasks.
 SIDE_BY_SIDE, SHIPPED = 512, 8_000_000
+#: Cosines that are held at once where rows are compared with all of a shard.
+HELD = 1 << 20
 #: Most vertices that are broadcast to the rows; with more, they are joined by shuffle.
 BROADCAST_VERTICES = 400_000
 
@@ -71,12 +73,11 @@ def robust_prune(v: np.ndarray, at: np.ndarray, near: np.ndarray, degree: int, a
     near = np.where(near == at[:, None], -1, near)
     near = np.sort(near, axis=1)
     near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-    own = v[near]
-    sims = np.where(near < 0, -np.inf, np.einsum("bkd,bd->bk", own, v[at]))
+    sims = np.where(near < 0, -np.inf, (v[near] @ v[at][:, :, None])[:, :, 0])
     order = np.argsort(-sims, axis=1, kind="stable")
     near, sims = np.take_along_axis(near, order, 1), np.take_along_axis(sims, order, 1)
-    own = np.take_along_axis(own, order[:, :, None], 1)
-    gap, between = 2 - 2 * sims, 2 - 2 * np.einsum("bkd,bjd->bkj", own, own, optimize=True)
+    own = v[near]
+    gap, between = 2 - 2 * sims, 2 - 2 * own @ own.transpose(0, 2, 1)
     alive, kept, room = near >= 0, np.zeros(near.shape, bool), np.full(len(at), degree)
     for j in range(near.shape[1]):
         take = alive[:, j] & (room > 0)
@@ -155,12 +156,20 @@ def _blocks(rows: np.ndarray) -> list[np.ndarray]:
     return np.array_split(rows, -(-len(rows) // SIDE_BY_SIDE)) if len(rows) else []
 
 
+def nearest_rows(v: np.ndarray, at: np.ndarray, among: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` rows of ``v`` out of ``among`` that are nearest to each of the rows ``at``, in no order, or all if they are fewer."""
+    if len(among) <= most:
+        return np.broadcast_to(among, (len(at), len(among)))
+    others, step = v[among].T, max(1, HELD // len(among))
+    return np.concatenate([among[np.argpartition(-(v[at[i : i + step]] @ others), most - 1, axis=1)[:, :most]] for i in range(0, len(at), step)])
+
+
 def build_graph(v: np.ndarray, spec: GraphSpec, seed: int = 7) -> tuple[np.ndarray, int]:
     """A robust-pruned graph over the rows of ``v`` [n, degree], -1 being none, and the medoid.
 
-    Vertices are inserted in batches that double: each searches the graph of those before it, prunes what it
-    met, and is entered into the lists of its neighbours, which are pruned when full. Further ``passes`` do it
-    on the whole graph.
+    Vertices are inserted in batches that double: each prunes the nearest of those before it, and is entered into the lists
+    of its neighbours, which are pruned when full. Further ``passes`` do it with the nearest of all. A shard is small, so
+    they are found by products of whole blocks, at a fraction of what as many searches of the growing graph cost.
     """
     n = len(v)
     medoid = int((v @ v.mean(0)).argmax())
@@ -168,10 +177,9 @@ def build_graph(v: np.ndarray, spec: GraphSpec, seed: int = 7) -> tuple[np.ndarr
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[medoid], order[order != medoid]])
 
-    def insert(batch: np.ndarray) -> None:
+    def insert(batch: np.ndarray, among: np.ndarray) -> None:
         for part in _blocks(batch):
-            ids, _, _ = beam_search(v, graph, v[part], np.full((len(part), 1), medoid), spec.beam)
-            graph[part] = robust_prune(v, part, np.hstack([ids, graph[part]]), spec.degree, spec.alpha)
+            graph[part] = robust_prune(v, part, np.hstack([nearest_rows(v, part, among, spec.beam), graph[part]]), spec.degree, spec.alpha)
         source, place = np.nonzero(graph[batch] >= 0)
         to, source = graph[batch][source, place], batch[source]
         rank = np.argsort(to, kind="stable")
@@ -187,12 +195,12 @@ def build_graph(v: np.ndarray, spec: GraphSpec, seed: int = 7) -> tuple[np.ndarr
     for turn in range(spec.passes):
         at, size = (0, 4 * SIDE_BY_SIDE) if turn else (1, 1)
         while at < n:
-            insert(order[at : at + size])
+            insert(order[at : at + size], order if turn else order[:at])
             at, size = at + size, max(size, min(2 * size, SIDE_BY_SIDE))
     return graph, medoid
 
 
-def reachable(graph: np.ndarray, least: int = 3) -> list[np.ndarray]:
+def reachable(graph: np.ndarray, least: int = 8) -> list[np.ndarray]:
     """The adjacency lists of ``graph``, in which whatever fewer than ``least`` others lead to is led to by its own nearest neighbours as well."""
     entries = np.bincount(graph[graph >= 0], minlength=len(graph))
     poor = np.flatnonzero(entries < least)

@@ -107,6 +107,25 @@ def test_graph_prunes_what_is_nearer_to_a_neighbour():
     assert set(ed.robust_prune(v, np.array([0]), np.array([[1, 2, 3, 3, 0, -1]]), 3, 1.0)[0].tolist()) == {1, 2, 3}
 
 
+def test_a_shard_graph_knows_the_nearest_of_all_and_is_connected(monkeypatch):
+    v = np.random.default_rng(3).normal(size=(900, 64)).astype(np.float32)
+    v[:200] = v[0] + 0.1 * v[:200]  # a cloud
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    searches = []
+    monkeypatch.setattr(ed, "beam_search", lambda *a, plain=ed.beam_search: searches.append(1) or plain(*a))
+    for held in (ed.HELD, 5_000):
+        monkeypatch.setattr(ed, "HELD", held)
+        graph, medoid = ed.build_graph(v, ed.GraphSpec(degree=8, beam=12))
+        sims = v @ v.T
+        np.fill_diagonal(sims, -1)
+        assert not searches and (graph == sims.argmax(1)[:, None]).any(1).all()
+        lists, met, new = ed.reachable(graph), {medoid}, [medoid]
+        while new:
+            new = [x for x in {int(y) for n in new for y in lists[n]} if x not in met]
+            met.update(new)
+        assert len(met) == len(v)
+
+
 # --- importance resampling --------------------------------------------------------------------------------------
 
 
