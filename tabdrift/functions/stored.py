@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,3 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
+
+    The check counts the table first, so a side that grows with the data falls
+    back to a shuffled join.
+    """
+    return F.broadcast(df) if is_small(df, rows) else df

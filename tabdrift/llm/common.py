@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabdrift.functions.stored import written  # noqa: F401
+from tabdrift.functions.stored import small_side, written  # noqa: F401
 
 T = TypeVar("T")
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -77,12 +77,3 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
-
-
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
-
-    The check counts the table first, so a side that grows with the data falls
-    back to a shuffled join.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

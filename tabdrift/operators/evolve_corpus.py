@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabdrift.functions.dates import EVOLVE_FORMATS, parsed, pick_format
 from tabdrift.functions.numbers import NUMBER, number
-from tabdrift.functions.stored import written
+from tabdrift.functions.stored import is_small, small_side, written
 from tabdrift.operators.evolve import address_parts, batch_summary, hash_number
 from tabdrift.operators.evolve import plans as build_plans
 from tabdrift.operators.profile import LABEL_PRIORITY, NUMERIC_LIKE, label_name_first, schema_diff
@@ -24,6 +24,8 @@ TABLE = ["task_id", "role", "table_idx"]
 CELL = [*TABLE, "row_id", "ordinal", "column", "value"]
 #: First values of a column that tell whether it reads as numbers.
 FIRST = 300
+#: Most plans, or facts of one row a table, that are broadcast to the cells.
+BROADCAST_ROWS = 600_000
 
 
 def _with(cells: DataFrame, part: DataFrame, by: Sequence[str] = TABLE, how: str = "inner") -> DataFrame:
@@ -35,6 +37,17 @@ def _with(cells: DataFrame, part: DataFrame, by: Sequence[str] = TABLE, how: str
     return cells.join(other, same, how).drop(*(f"_{c}" for c in by))
 
 
+def _told(cells: DataFrame, hit: Column, facts: DataFrame, name: str) -> DataFrame:
+    """``cells`` with the ``facts`` of their table, one row a table, where they are ``hit``; other cells may have them or nulls.
+
+    Cells stay where they are; where there are too many facts to broadcast, those that are hit move.
+    """
+    facts = written(facts, name)
+    if is_small(facts, BROADCAST_ROWS):
+        return _with(cells, F.broadcast(facts), how="left")
+    return _with(cells.filter(hit), facts, how="left").unionByName(cells.filter(~hit), allowMissingColumns=True)
+
+
 def _planned(cells: DataFrame, plans: DataFrame, *fields: str) -> DataFrame:
     return cells.join(plans.select("task_id", "label_col", *fields), "task_id", "left")
 
@@ -70,8 +83,9 @@ def rename(cells: DataFrame, plans: DataFrame) -> DataFrame:
 
 def drop(cells: DataFrame, plans: DataFrame) -> DataFrame:
     """Without the planned column, where the table has more than two."""
-    planned = _with(_planned(cells, plans, "drop_col"), _widths(cells))
-    return planned.filter(~(_hit("drop_col") & (F.col("n_cols") > 2))).select(*CELL)
+    narrow = _widths(cells).filter("n_cols <= 2").select(*TABLE, F.lit(True).alias("narrow"))
+    planned = _told(_planned(cells, plans, "drop_col"), _hit("drop_col"), narrow, "evc-narrow")
+    return planned.filter(~_hit("drop_col") | F.col("narrow").isNotNull()).select(*CELL)
 
 
 def _parsed(value: Column, pattern: str) -> Column:
@@ -114,19 +128,20 @@ def _first_numbers(cells: DataFrame, plans: DataFrame) -> DataFrame:
 def rescale(cells: DataFrame, plans: DataFrame) -> DataFrame:
     """A number column over its divisor, where all its values are numbers; then the categories of another are collapsed to the most frequent."""
     planned = _planned(cells, plans, "meaning_num_col", "unit_scale_divisor")
-    numeric = F.count("value") == F.count(number(F.col("value")))
-    tables = planned.filter(_hit("meaning_num_col")).groupBy(*TABLE).agg(numeric.alias("numeric")).filter("numeric")
-    scaled = _with(planned, tables, how="left").withColumn("value", F.when(_hit("meaning_num_col") & F.col("numeric"), (number(F.col("value")) / F.col("unit_scale_divisor")).cast("string")).otherwise(F.col("value")))
+    texts = F.count("value") > F.count(number(F.col("value")))
+    tables = planned.filter(_hit("meaning_num_col")).groupBy(*TABLE).agg(texts.alias("texts")).filter("texts")
+    scaled = _told(planned, _hit("meaning_num_col"), tables, "evc-texts")
+    scaled = scaled.withColumn("value", F.when(_hit("meaning_num_col") & F.col("texts").isNull(), (number(F.col("value")) / F.col("unit_scale_divisor")).cast("string")).otherwise(F.col("value")))
     cells = written(scaled.select(*CELL), "evc-scaled")
     planned = _planned(cells, plans, "meaning_cat_col", "category_keep_topk")
     held = planned.filter(_hit("meaning_cat_col") & F.col("value").isNotNull())
     counts = held.groupBy(*TABLE, "value", "category_keep_topk").agg(F.count("*").alias("n"), F.min("row_id").alias("first"))
     place = F.row_number().over(Window.partitionBy(*TABLE).orderBy(F.desc("n"), "first", "value"))
-    kept = counts.withColumn("_r", place).select(*TABLE, F.col("value").alias("kept"), (F.col("_r") <= F.col("category_keep_topk")).alias("stays"))
-    filled = kept.select(*TABLE, F.lit(True).alias("filled")).distinct()
-    named = planned.withColumn("kept", F.when(_hit("meaning_cat_col"), F.col("value")))
-    out = _with(_with(named, kept.filter("stays"), [*TABLE, "kept"], "left"), filled, how="left")
-    return out.withColumn("value", F.when(_hit("meaning_cat_col") & F.col("filled") & F.col("stays").isNull(), "Other").otherwise(F.col("value"))).select(*CELL)
+    stays = F.when(F.col("_r") <= F.col("category_keep_topk"), F.col("value"))
+    kept = counts.withColumn("_r", place).groupBy(*TABLE).agg(F.collect_list(stays).alias("kept"))
+    out = _told(planned, _hit("meaning_cat_col"), kept, "evc-kept")
+    other = F.col("kept").isNotNull() & ~F.coalesce(F.array_contains("kept", F.col("value")), F.lit(False))
+    return out.withColumn("value", F.when(_hit("meaning_cat_col") & other, "Other").otherwise(F.col("value"))).select(*CELL)
 
 
 def _text(numeric: Column) -> Column:
@@ -184,6 +199,7 @@ def evolve_corpus(cells: DataFrame, plans: DataFrame, ops: Sequence[str]) -> Dat
     plan keep their tables.
     """
     out = cells.filter("role <> 'target'").select(*CELL)
+    plans = small_side(written(plans, "evc-plan"), BROADCAST_ROWS)
     for op in ops:
         out = OPS[op](out, plans)
     return out

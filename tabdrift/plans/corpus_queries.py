@@ -23,7 +23,9 @@ CELLS = "WITH e AS (" + EVENTS + ")\n" + "\nUNION ALL ".join(f"SELECT task_id, r
 
 
 def _cells(spark, sf_dir):
-    return bound(spark, sf_dir, CELLS.format(text="STRING")).withColumnRenamed("col", "column")
+    """The rows of ``CELLS``, all cells of an event made from it at once, as its row is numbered once."""
+    made = ", ".join(f"struct({i} AS ordinal, {name} AS column, {value.format(text='STRING')} AS value)" for i, (name, value) in enumerate(COLUMNS))
+    return bound(spark, sf_dir, EVENTS.format(text="STRING")).selectExpr("task_id", "role", "0 AS table_idx", "row_id", f"inline(array({made}))")
 
 
 @query("io_corpus_cells", f'SELECT task_id, role, table_idx, row_id, ordinal, col AS "column", value FROM ({CELLS.format(text="VARCHAR")})')

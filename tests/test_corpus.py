@@ -8,6 +8,7 @@ import random
 
 import pandas as pd
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tabdrift.operators import evolve, evolve_corpus
@@ -151,6 +152,42 @@ def test_a_corpus_evolves_as_its_tables_do(spark, op):
             assert got[table] == want, (op, table)
 
 
+def test_cells_stay_where_they_are_while_plans_are_few(spark, monkeypatch):
+    cells, plans = [], []
+    for t in range(6):
+        names = ["cost", "kind"] + (["more"] if t % 2 else [])
+        values = {"cost": ["1", "2.5", None, "x" if t == 3 else "4"], "kind": [None] * 4 if t == 4 else ["a", "b", None, "b"], "more": list("pqrs")}
+        cells += [(f"t{t}", role, i, row, o, c, values[c][row]) for role, i in (("training", 0), ("test", 0), ("target", None)) for row in range(4) for o, c in enumerate(names)]
+        plans.append((f"t{t}", "more" if t == 5 else None, "kind", ["cost", "more"][t % 2], "cost", "kind__renamed", [1, 0, None][t % 3], 2.0))
+    df = spark.createDataFrame(cells, "task_id string, role string, table_idx int, row_id long, ordinal int, column string, value string")
+    told = spark.createDataFrame(plans, "task_id string, label_col string, rename_col string, drop_col string, meaning_num_col string, meaning_cat_col string, category_keep_topk int, unit_scale_divisor double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for most in (evolve_corpus.BROADCAST_ROWS, 3, 0):
+            monkeypatch.setattr(evolve_corpus, "BROADCAST_ROWS", most)
+            out = evolve_corpus.evolve_corpus(df, told, ["rename", "drop", "meaning"])
+            found.append(sorted(map(repr, out.collect())))
+            if most > 6:
+                assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] == found[2]
+    got = {(r["task_id"], r["role"], r["row_id"], r["column"]): r["value"] for r in out.collect()}
+    costs = {t: [got.get((f"t{t}", "test", row, "cost")) for row in range(4)] for t in range(6)}
+    kinds = {t: [got.get((f"t{t}", "test", row, "kind__renamed")) for row in range(4)] for t in range(6)}
+    assert costs[0] == costs[1] == ["0.5", "1.25", None, "2.0"] and costs[3] == ["1", "2.5", None, "x"]
+    assert kinds[0] == kinds[3] == ["Other", "b", "Other", "b"] and kinds[1] == kinds[2] == ["Other"] * 4 and kinds[4] == [None] * 4
+    assert {c for t, *_, c in got if t == "t5"} == {"cost", "kind__renamed", "more"} and {c for t, *_, c in got if t == "t1"} == {"cost", "kind__renamed"}
+
+
+def test_rows_of_a_corpus_are_numbered_once(spark):
+    from tabdrift.plans import corpus_queries
+
+    plan = corpus_queries._cells(spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number") == 1
+
+
 def test_a_corpus_of_files_is_evolved_and_taken_up_again(spark, tmp_path):
     import json
 
