@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabdrift.functions.dates import EVOLVE_FORMATS, parsed, pick_format
 from tabdrift.functions.numbers import NUMBER, number
-from tabdrift.functions.stored import is_small, small_side, written
+from tabdrift.functions.stored import is_small, written
 from tabdrift.operators.evolve import address_parts, batch_summary, hash_number
 from tabdrift.operators.evolve import plans as build_plans
 from tabdrift.operators.profile import LABEL_PRIORITY, NUMERIC_LIKE, label_name_first, schema_diff
@@ -24,7 +24,8 @@ TABLE = ["task_id", "role", "table_idx"]
 CELL = [*TABLE, "row_id", "ordinal", "column", "value"]
 #: First values of a column that tell whether it reads as numbers.
 FIRST = 300
-#: Most plans, or facts of one row a table, that are broadcast to the cells.
+#: Most plans, or facts of one row a table, that are broadcast to the cells. More are shuffled, though their files may be as small as those
+#: that Spark broadcasts unasked.
 BROADCAST_ROWS = 600_000
 
 
@@ -45,7 +46,7 @@ def _told(cells: DataFrame, hit: Column, facts: DataFrame, name: str) -> DataFra
     facts = written(facts, name)
     if is_small(facts, BROADCAST_ROWS):
         return _with(cells, F.broadcast(facts), how="left")
-    return _with(cells.filter(hit), facts, how="left").unionByName(cells.filter(~hit), allowMissingColumns=True)
+    return _with(cells.filter(hit), facts.hint("merge"), how="left").unionByName(cells.filter(~hit), allowMissingColumns=True)
 
 
 def _planned(cells: DataFrame, plans: DataFrame, *fields: str) -> DataFrame:
@@ -199,7 +200,8 @@ def evolve_corpus(cells: DataFrame, plans: DataFrame, ops: Sequence[str]) -> Dat
     plan keep their tables.
     """
     out = cells.filter("role <> 'target'").select(*CELL)
-    plans = small_side(written(plans, "evc-plan"), BROADCAST_ROWS)
+    plans = written(plans, "evc-plan")
+    plans = F.broadcast(plans) if is_small(plans, BROADCAST_ROWS) else plans.hint("merge")
     for op in ops:
         out = OPS[op](out, plans)
     return out
