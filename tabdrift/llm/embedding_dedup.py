@@ -2,16 +2,16 @@
 
 Vectors are compared within their group: equal label, equal length. Equal vectors are one
 vertex. A unit is a set of vertices that a task can hold. In a unit, clusters of vertices, each
-vertex in its nearest ones, are shards that overlap; a task builds the graph of a shard, and the
-adjacency lists of all shards are united. On the united graph every vertex is a query: a beam
+vertex in its nearest ones, are shards that overlap; its task builds the graph of each shard, and the
+adjacency lists of all shards are united, so that vectors move to their unit once and lists not at all. On the united graph every vertex is a query: a beam
 search goes from the medoids to its neighbourhood, and from what is near enough the range is
 expanded until nothing new lies in it. Cosines are verified in double precision, components
 are joined over all units, and the recall is audited against brute force for a sample of vertices;
 where it falls short the graph is built again, wider.
 
 A group that is larger than a unit is split by centroids. A vertex is at home in the cell of its nearest
-centroid and visits every cell on whose side of the bisector a linked vector may lie. Cells
-that do not shrink this way are dealt as tiles, each pair of tiles being a unit, which loses no pair.
+centroid and visits every cell on whose side of the bisector a linked vector may lie. Where that would make more
+copies than tiles do, as with vectors that lie in all directions, the group is dealt as tiles, each pair of tiles being a unit, which loses no pair.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabdrift.llm.common import small_side, written
@@ -29,6 +29,8 @@ from tabdrift.llm.near_dedup import components
 
 #: Queries that are searched side by side, and numbers of centroids that one round of splits ships to the tasks.
 SIDE_BY_SIDE, SHIPPED = 512, 8_000_000
+#: Components of the vectors that a task searches, at most.
+COMPONENTS = 1 << 23
 #: Cosines that are held at once where rows are compared with all of a shard.
 HELD = 1 << 20
 #: Most vertices that are broadcast to the rows; with more, they are joined by shuffle.
@@ -37,7 +39,7 @@ BROADCAST_VERTICES = 400_000
 
 @dataclass(frozen=True)
 class GraphSpec:
-    """``unit`` bounds the vertices that a task searches, ``shard`` those it builds a graph of, in the mean.
+    """``unit`` bounds the vertices that a task searches, with long vectors ``COMPONENTS`` does, and ``shard`` those it builds a graph of, in the mean.
 
     A vertex has ``degree`` neighbours in a shard, pruned with ``alpha``, and lies in ``overlap`` shards;
     ``beam`` is the width of the search, which expands what is within ``slack`` of the threshold. Cells are visited up to
@@ -46,7 +48,7 @@ class GraphSpec:
     """
 
     cosine: float = 0.93
-    unit: int = 16_384
+    unit: int = 131_072
     shard: int = 2_048
     overlap: int = 2
     degree: int = 16
@@ -59,6 +61,10 @@ class GraphSpec:
     recall: float = 0.95
     attempts: int = 3
 
+    def held(self, dim: int) -> int:
+        """The vertices of that length that a task searches, at most."""
+        return min(self.unit, max(2, COMPONENTS // dim))
+
 
 # --- graphs in one task -----------------------------------------------------------------------------------------
 
@@ -311,23 +317,23 @@ def split_units(vertices: DataFrame, spec: GraphSpec) -> DataFrame:
     left = vertices.select(F.xxhash64("label", "dim").alias("unit"), "cid", F.lit(True).alias("home"), F.lit(0).alias("side"), copies, F.lit(0).cast("bigint").alias("of"), "dim", "vec")
     settled: list[DataFrame] = []
     while True:
-        sizes = left.groupBy("unit").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.max("dim").alias("dim")).filter(F.col("n") > spec.unit)
+        sizes = left.groupBy("unit").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.max("dim").alias("dim")).filter(F.col("n") > _held(spec))
         widest = sizes.agg(F.max("dim")).first()[0]
         if widest is None:
             break
         most = max(1, SHIPPED // (32 * widest))
         large = sizes.orderBy("unit").limit(most + 1).collect()
         chosen = {r["unit"]: r for r in large[:most]}
-        stuck = [u for u, r in chosen.items() if r["of"] and r["n"] > 0.8 * r["of"]]
-        names = spark.createDataFrame([(u, u in stuck, r["n"]) for u, r in chosen.items()], "unit bigint, stuck boolean, size bigint")
-        joined = left.join(F.broadcast(names), "unit", "left")
+        named = lambda rows, schema: left.join(F.broadcast(spark.createDataFrame(rows, f"unit bigint, {schema}")), "unit", "left")  # noqa: B023, E731
+        books = _centroids(named([(u, r["n"]) for u, r in chosen.items() if r["n"] <= 0.8 * r["of"] or not r["of"]], "size bigint").filter("size IS NOT NULL"), chosen, spec)
+        books = {u: book for u, (book, visits) in books.items() if _shrinks(chosen[u], len(book), visits, spec)}
+        joined = named([(u, u not in books, r["n"]) for u, r in chosen.items()], "stuck boolean, size bigint")
         rest = joined.filter("stuck IS NULL").drop("stuck", "size")
         if len(large) <= most:
             settled.append(rest)
             rest = rest.limit(0)
-        if stuck:
+        if len(books) < len(chosen):
             settled.append(_tiles(joined.filter("stuck"), spec))
-        books = _centroids(joined.filter("NOT stuck"), chosen, spec)
         left = written(rest.unionByName(_cells(joined.filter("NOT stuck"), books, spec)), "ed-units")
     out = left
     for part in settled:
@@ -335,55 +341,69 @@ def split_units(vertices: DataFrame, spec: GraphSpec) -> DataFrame:
     return out.drop("of", "dim")
 
 
+def _held(spec: GraphSpec) -> Column:
+    """``spec.held`` of column dim."""
+    return F.least(F.lit(spec.unit), F.greatest(F.lit(2), F.floor(F.lit(COMPONENTS) / F.col("dim"))))
+
+
+def _shrinks(unit: Row, cells: int, visits: float, spec: GraphSpec) -> bool:
+    """Whether cells that a vertex visits so many of, and tiles of what is too large of them, make fewer copies than tiles at once."""
+    tiled = lambda n: max(1.0, 2 * n / spec.held(unit["dim"]))
+    return visits * tiled(unit["n"] * visits / cells) < tiled(unit["n"])
+
+
 def _tiles(rows: DataFrame, spec: GraphSpec) -> DataFrame:
     """Rows of units that do not shrink, in all pairs of their tiles of half a unit each."""
-    tiles = F.ceil(F.col("size") * 2 / spec.unit).cast("int")
+    tiles = F.ceil(F.col("size") * 2 / _held(spec)).cast("int")
     tile = F.pmod(F.xxhash64("cid"), tiles).cast("int")
     dealt = rows.withColumn("_t", tile).withColumn("_o", F.explode(F.sequence(F.lit(0), tiles - 1)))
     pair = F.xxhash64("unit", F.least("_t", "_o"), F.greatest("_t", "_o"))
     return dealt.select(pair.alias("unit"), "cid", "home", (F.col("_t") > F.col("_o")).cast("int").alias("side"), "copies", "of", "dim", "vec")
 
 
-def _cells_of(size: int, spec: GraphSpec) -> int:
-    return int(min(32, max(2, -(-2 * size // spec.unit))))
+def _cells_of(size: int, held: int) -> int:
+    return int(min(32, max(2, -(-2 * size // held))))
+
+
+def _visited(v: np.ndarray, book: np.ndarray, spec: GraphSpec) -> tuple[np.ndarray, np.ndarray]:
+    """The own cell of each row, and [rows, cells] whether it is there or visits."""
+    far = 1 - 2 * v @ book.T + (book * book).sum(1)
+    own = far.argmin(1)
+    apart = np.sqrt(((book[:, None] - book[None]) ** 2).sum(2))[own]
+    border = (far - far[np.arange(len(v)), own][:, None]) / np.where(apart > 0, 2 * apart, np.inf)
+    border[np.arange(len(v)), own] = 0
+    chord = float(np.sqrt(2 - 2 * spec.cosine))
+    return own, (border <= chord * min(1.0, spec.spread / np.sqrt(v.shape[1])) + 1e-6) & ((apart > 0) | (np.arange(len(book)) == own[:, None]))
 
 
-def _centroids(rows: DataFrame, chosen: dict, spec: GraphSpec) -> dict[int, np.ndarray]:
-    """Centroids of each unit, from a sample of about 64 rows a centroid by their hashes."""
+def _centroids(rows: DataFrame, chosen: dict, spec: GraphSpec) -> dict[int, tuple[np.ndarray, float]]:
+    """Centroids of each unit, from a sample of about 64 rows a centroid by their hashes, and how many cells a row of it is in, in the mean."""
 
     def fit(table: pa.Table) -> pa.Table:
         batch = _whole(table)
         v = _matrix(batch.column("vec"))
         v = v / np.sqrt((v * v).sum(1))[:, None]
-        book = nearest_centroids(v, _cells_of(batch.column("size")[0].as_py(), spec))
-        return pa.table({"unit": batch.column("unit").slice(0, 1), "book": pa.array([book.tobytes()], pa.binary())})
+        book = nearest_centroids(v, _cells_of(batch.column("size")[0].as_py(), spec.held(v.shape[1])))
+        return pa.table({"unit": batch.column("unit").slice(0, 1), "book": pa.array([book.tobytes()], pa.binary()), "visits": pa.array([_visited(v, book, spec)[1].sum(1).mean()])})
 
     share = F.lit(64.0 * 32) / F.col("size")
     sample = rows.filter(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)).select("unit", "size", "vec")
-    found = sample.groupBy("unit").applyInArrow(fit, "unit bigint, book binary").collect()
-    return {r["unit"]: np.frombuffer(r["book"]).reshape(-1, chosen[r["unit"]]["dim"]) for r in found}
+    found = sample.groupBy("unit").applyInArrow(fit, "unit bigint, book binary, visits double").collect()
+    return {r["unit"]: (np.frombuffer(r["book"]).reshape(-1, chosen[r["unit"]]["dim"]), r["visits"]) for r in found}
 
 
 def _cells(rows: DataFrame, books: dict[int, np.ndarray], spec: GraphSpec) -> DataFrame:
     """Each row in its own cell and in those it visits."""
     schema = f"unit bigint, cell int, cid bigint, home boolean, side int, copies bigint, of bigint, dim int, vec array<{_component(rows)}>"
-    chord = float(np.sqrt(2 - 2 * spec.cosine))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = batch.column("unit").to_numpy()
             for unit in np.unique(units):
                 part = batch.filter(pa.array(units == unit))
-                v, book = _matrix(part.column("vec")), books.get(int(unit))
-                if book is None:  # a sample without rows
-                    book = np.zeros((1, v.shape[1]))
-                v = v / np.sqrt((v * v).sum(1))[:, None]
-                far = 1 - 2 * v @ book.T + (book * book).sum(1)
-                own = far.argmin(1)
-                apart = np.sqrt(((book[:, None] - book[None]) ** 2).sum(2))[own]
-                border = (far - far[np.arange(len(v)), own][:, None]) / np.where(apart > 0, 2 * apart, np.inf)
-                border[np.arange(len(v)), own] = 0
-                row, cell = np.nonzero((border <= chord * min(1.0, spec.spread / np.sqrt(v.shape[1])) + 1e-6) & ((apart > 0) | (np.arange(len(book)) == own[:, None])))
+                v = _matrix(part.column("vec"))
+                own, there = _visited(v / np.sqrt((v * v).sum(1))[:, None], books[int(unit)], spec)
+                row, cell = np.nonzero(there)
                 home = part.column("home").to_numpy(zero_copy_only=False)[row] & (cell == own[row])
                 took = part.take(pa.array(row))
                 columns = [took.column("unit"), pa.array(cell, pa.int32()), took.column("cid"), pa.array(home), took.column("side"), took.column("copies"), took.column("size"), took.column("dim"), took.column("vec")]
@@ -393,53 +413,41 @@ def _cells(rows: DataFrame, books: dict[int, np.ndarray], spec: GraphSpec) -> Da
     return dealt.withColumn("unit", F.xxhash64("unit", "cell")).drop("cell")
 
 
-def united_graph(units: DataFrame, spec: GraphSpec) -> DataFrame:
-    """Adjacency (unit, cid, near, medoid) of every unit, united over its overlapping cluster shards."""
-
-    def cluster(table: pa.Table) -> pa.Table:
-        batch = _whole(table)
-        v = _matrix(batch.column("vec"))
-        v = v / np.sqrt((v * v).sum(1))[:, None]
-        k = -(-len(v) * spec.overlap // spec.shard) if len(v) > spec.shard else 1
-        book = nearest_centroids(v, k)
-        far = (book * book).sum(1) - 2 * v @ book.T
-        near = np.argsort(far, axis=1, kind="stable")[:, : spec.overlap]
-        row = np.repeat(np.arange(len(v)), near.shape[1])
-        took = batch.take(pa.array(row))
-        return pa.table({"unit": took.column("unit"), "shard": pa.array(near.ravel(), pa.int32()), "cid": took.column("cid"), "vec": took.column("vec")})
-
-    def build(table: pa.Table) -> pa.Table:
-        batch = _whole(table.sort_by("cid"))
-        v, cid = _matrix(batch.column("vec")), batch.column("cid").to_numpy()
-        graph, medoid = build_graph((v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32), spec)
-        near = [cid[g] for g in reachable(graph)]
-        return pa.table({"unit": batch.column("unit"), "cid": batch.column("cid"), "near": pa.array(near, pa.list_(pa.int64())), "medoid": pa.array(np.arange(len(v)) == medoid)})
-
-    shards = units.select("unit", "cid", "vec").groupBy("unit").applyInArrow(cluster, f"unit bigint, shard int, cid bigint, vec array<{_component(units)}>")
-    lists = shards.groupBy("unit", "shard").applyInArrow(build, "unit bigint, cid bigint, near array<bigint>, medoid boolean")
-    # dealt by unit, as the search needs them, so that they move once
-    return lists.repartition("unit").groupBy("unit", "cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
-
-
-def range_links(units: DataFrame, lists: DataFrame, spec: GraphSpec) -> DataFrame:
+def united_graph(v: np.ndarray, spec: GraphSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency of the rows of ``v``, united over overlapping cluster shards, as rows filled up with -1; and the medoids of the shards."""
+    n = len(v)
+    k = -(-n * spec.overlap // spec.shard) if n > spec.shard else 1
+    book = nearest_centroids(v, k)
+    size, overlap = (book * book).sum(1), min(spec.overlap, len(book))
+    near = np.concatenate([np.argpartition(size - 2 * v[a] @ book.T, overlap - 1, axis=1)[:, :overlap] for a in np.array_split(np.arange(n), -(-n * len(book) // HELD))])
+    row, shard = np.repeat(np.arange(n), overlap), near.ravel()
+    order = np.argsort(shard, kind="stable")
+    pairs, medoids = [], []
+    for at in np.split(row[order], np.flatnonzero(np.diff(shard[order])) + 1):
+        graph, medoid = build_graph(v[at], spec)
+        lists = reachable(graph)
+        pairs.append(np.repeat(at, [len(g) for g in lists]) * n + at[np.concatenate(lists).astype(np.int64)])
+        medoids.append(at[medoid])
+    pairs = np.unique(np.concatenate(pairs))
+    return padded(np.split(pairs % n, np.searchsorted(pairs, np.arange(1, n) * n))), np.unique(medoids)
+
+
+def range_links(units: DataFrame, spec: GraphSpec) -> DataFrame:
     """Rows (cid, links, root): links of the vertices at home in a unit, and a vertex that each of a unit's is connected with.
 
-    Vectors and lists of a unit meet in its task, so that vectors move once.
+    A unit's graph is built where it is searched.
     """
     schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
-    def search(vectors: pa.Table, lists: pa.Table) -> pa.Table:
-        if not len(vectors):
-            return schema.empty_table()
-        batch, own = _whole(vectors.sort_by("cid")), _whole(lists.sort_by("cid"))
-        cid, near = batch.column("cid").to_numpy(), own.column("near")
-        graph = padded(np.split(np.searchsorted(cid, near.flatten().to_numpy()), np.cumsum(np.diff(near.offsets.to_numpy()))[:-1]))
-        flag = lambda b, c: b.column(c).to_numpy(zero_copy_only=False)
-        links, root = search_unit(_matrix(batch.column("vec")), graph, np.flatnonzero(flag(own, "medoid")), flag(batch, "home"), flag(batch, "side"), flag(batch, "copies"), spec)
+    def search(vectors: pa.Table) -> pa.Table:
+        batch = _whole(vectors.sort_by("cid"))
+        x, cid = _matrix(batch.column("vec")), batch.column("cid").to_numpy()
+        graph, medoids = united_graph((x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32), spec)
+        flag = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        links, root = search_unit(x, graph, medoids, flag("home"), flag("side"), flag("copies"), spec)
         return pa.table({"cid": batch.column("cid"), "links": pa.array(links), "root": pa.array(cid[root])}, schema=schema)
 
-    held = units.select("unit", "cid", "home", "side", "copies", "vec").groupBy("unit")
-    return held.cogroup(lists.groupBy("unit")).applyInArrow(search, "cid bigint, links bigint, root bigint")
+    return units.select("unit", "cid", "home", "side", "copies", "vec").groupBy("unit").applyInArrow(search, "cid bigint, links bigint, root bigint")
 
 
 def audited_recall(vertices: DataFrame, found: DataFrame, spec: GraphSpec) -> float:
@@ -489,7 +497,7 @@ def near_vectors(rows: DataFrame, spec: GraphSpec, vector: str = "embedding", ke
     units = split_units(vertices, spec)  # read from the vertices or the last split, not stored once more
     for attempt in range(spec.attempts):
         wide = replace(spec, beam=spec.beam << attempt, degree=spec.degree << attempt)
-        found = written(range_links(units, united_graph(units, wide), wide), "ed-found")
+        found = written(range_links(units, wide), "ed-found")
         links = written(found.groupBy("cid").agg(F.sum("links").alias("links")), "ed-links")
         recall = audited_recall(vertices, links, wide)
         if recall >= spec.recall:

@@ -76,6 +76,14 @@ def test_units_are_split_and_tiled_without_loss(spark):
         assert recall == 1.0 and {tuple(r) for r in got.collect()} == plain_classes(rows)
 
 
+def test_groups_that_cells_do_not_shrink_are_tiled_at_once(spark):
+    """Vectors in all directions lie at every border: cells of cells would copy each of them 80 times and more."""
+    rng = np.random.default_rng(5)
+    vertices = spark.createDataFrame([(i, 0, 16, rng.normal(size=16).tolist()) for i in range(300)], "cid long, label long, dim int, vec array<double>")
+    assert ed.split_units(vertices, ed.GraphSpec(unit=60)).count() == 300 * 10
+    assert ed.GraphSpec().held(64) == 131_072 and ed.GraphSpec().held(1024) == 8_192
+
+
 def test_vectors_are_stored_once_and_as_they_come(spark, monkeypatch):
     rows = [(i, np.float32(v).tolist(), label) for i, v, label in clouds()]
     stored, plain = [], ed.written
