@@ -79,7 +79,7 @@ def io_baseline_copy(spark, sf_dir):
     users = bound(spark, sf_dir, f"SELECT DISTINCT user_id, {TARGET} AS t FROM events")
     corpus.write_files(users.select(F.lit("original").alias("variant"), F.concat(F.lit("task_"), "user_id").alias("task_id"), F.lit("target.csv").alias("name"), F.col("t").cast("binary").alias("content")), root)
     corpus.write_files(corpus.copied_files(corpus.corpus_files(spark, root), "baseline"), out)
-    marks = tables.fingerprints(spark.read.format("binaryFile").load(f"{out}/baseline/*/target.csv"))
+    marks = tables.fingerprints(corpus.corpus_files(spark, f"{out}/baseline").filter("role = 'target'"))
     part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)$", i)
     return marks.select(part(1).alias("task_id"), part(2).alias("name"), "size", "sha1_head")
 

@@ -14,15 +14,16 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from urllib.parse import unquote
+from itertools import repeat
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tabdrift.functions.numbers import number
+from tabdrift.functions.stored import written
 from tabdrift.operators.profile import domain
 from tabdrift.operators.relate import is_bad_name
 from tabdrift.sources.tables import QUOTED, csv_cells, task_files
@@ -36,25 +37,68 @@ NO_VALUE = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
 MARKERS = ("manifest.json", "evo_log.json")
 #: The sink's own mark, with names and SHA-1 of a task's files.
 COMPLETE = "complete.json"
-#: Folders that a commit moves side by side.
-MOVES = 16
+#: Folders that a commit moves side by side, folders or files that one Spark task lists or reads, about, and bytes of files that it hands on at once.
+MOVES, LISTED, HANDED = 16, 2_000, 4 << 20
 WHOLE = r"^\s*[+-]?\d+\s*$"
 FILES = "variant string, task_id string, name string, content binary"
 
 
+def store_of(root: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder, and its path there."""
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """``df``, a stored table, in partitions of about ``LISTED`` rows."""
+    return df.repartition(max(1, min(n := df.count(), max(df.sparkSession.sparkContext.defaultParallelism, -(-n // LISTED)))))
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """The paths of all files under ``root``, of which none is read; what begins with a dot or an underscore is left out.
+
+    Folders are listed level by level by Spark tasks, so the driver does not see their names. The path of ``root`` itself begins each.
+    """
+    top = store_of(root)[1].rstrip("/")
+    if store_of(root)[0].get_file_info(top).type != fs.FileType.Directory:
+        raise FileNotFoundError(root)
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = store_of(root)[0]
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = [f for f in store.get_file_info(fs.FileSelector(folder)) if not f.base_name.startswith((".", "_"))]
+                yield pa.RecordBatch.from_arrays([pa.array([f.path for f in found], pa.string()), pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_())], names=["path", "folder"])
+
+    level, out = spark.createDataFrame([(top,)], "path string"), spark.createDataFrame([], "path string")
+    while not level.isEmpty():
+        found = written(_dealt(level).mapInArrow(names, "path string, folder boolean"), "listed")
+        out = out.unionByName(found.filter("NOT folder").select("path"))
+        level = found.filter("folder").select("path")
+    return out
+
+
 def corpus_files(spark: SparkSession, root: str) -> DataFrame:
-    """All CSV files of the task folders under ``root``: path, length, content, task_id, role, table_idx; other files are left out.
+    """All CSV files of the task folders under ``root``: path, length, content, task_id, role, table_idx; other files are left out, empty ones not.
 
-    Spark lists empty files and then passes them over, so what was listed and not read is added.
+    They are listed and read by Spark tasks: a listing of Spark's own would hold every file in the driver.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path", "length", "content")
-    listed = found.inputFiles()  # the driver has this list for the scan
-    if len(listed) > found.select("path").count():
-        plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-        names = spark.createDataFrame([(unquote(p),) for p in listed], "path string").withColumn("path", plain("path"))
-        empty = names.join(found.select(plain("path").alias("path")), "path", "left_anti")
-        found = found.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(bytearray()).alias("content")))
-    return task_files(found)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, paths, held, n = store_of(root)[0], [], [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(list(map(len, held)), pa.int64()), pa.array(held, pa.binary())], names=["path", "length", "content"])
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(path) as file:
+                    held.append(file.read())
+                paths.append(path)
+                n += len(held[-1])
+                if n > HANDED:
+                    yield made()
+                    paths, held, n = [], [], 0
+        yield made()
+
+    found = listed_files(spark, root).filter(F.col("path").endswith(".csv"))
+    return task_files(_dealt(found).mapInArrow(read, "path string, length bigint, content binary"))
 
 
 def records(text: Column) -> Column:
@@ -146,10 +190,9 @@ def marker_files(tasks: DataFrame) -> DataFrame:
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """What one Spark task has staged: its folder, and the variant and task of each folder in it."""
+    """What one Spark task has staged: its folder, in which each variant has a folder with one for each task."""
 
     folder: str
-    tasks: list[tuple[str, str]]
 
 
 class CorpusWriter(DataSourceWriter):
@@ -159,7 +202,7 @@ class CorpusWriter(DataSourceWriter):
         self.root, self.job = root, uuid.uuid4().hex
 
     def _store(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
+        return store_of(self.root)
 
     def write(self, iterator: Iterator) -> Staged:
         """Stage files, and beside those of each task its mark, last of all, so that a task moves with it."""
@@ -177,27 +220,32 @@ class CorpusWriter(DataSourceWriter):
         for (variant, task), names in done.items():
             with store.open_output_stream(f"{folder}/{variant}/{task}/{COMPLETE}") as out:
                 out.write(json.dumps(names, sort_keys=True).encode())
-        return Staged(folder, list(done))
+        return Staged(folder)
 
     def commit(self, messages: list[Staged | None]) -> None:
-        """Move each task's folder, its mark in it, to its place, in the place of an older one: a rename a task, side by side."""
+        """Move each task's folder, its mark in it, to its place, in the place of an older one: a rename a task, side by side.
+
+        The driver knows the tasks of one attempt at a time.
+        """
         store, root = self._store()
-        staged = [(m.folder, variant, task) for m in filter(None, messages) for variant, task in m.tasks]
-        older = {}
-        for variant in sorted({variant for _, variant, _ in staged}):
-            place = f"{root}/{variant}"
-            store.create_dir(place)
-            older[variant] = {f.base_name for f in store.get_file_info(fs.FileSelector(place))}
-
-        def move(one: tuple[str, str, str]) -> None:
-            folder, variant, task = one
-            if task in older[variant]:
-                store.delete_dir(f"{root}/{variant}/{task}")
-            store.move(f"{folder}/{variant}/{task}", f"{root}/{variant}/{task}")
+        inside = lambda folder: [f.base_name for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True))]
+        new: dict[str, bool] = {}
+
+        def move(task: str, folder: str, place: str, older: bool) -> None:
+            if older:
+                store.delete_dir(f"{place}/{task}")
+            store.move(f"{folder}/{task}", f"{place}/{task}")
 
         with ThreadPoolExecutor(MOVES) as pool:
-            for _ in pool.map(move, staged):
-                pass
+            for m in filter(None, messages):
+                for variant in inside(m.folder):
+                    place, tasks = f"{root}/{variant}", inside(f"{m.folder}/{variant}")
+                    if variant not in new:
+                        new[variant] = store.get_file_info(place).type == fs.FileType.NotFound
+                        store.create_dir(place)
+                    older = [False] * len(tasks) if new[variant] else [f.type != fs.FileType.NotFound for f in store.get_file_info([f"{place}/{t}" for t in tasks])]
+                    for _ in pool.map(move, tasks, repeat(f"{m.folder}/{variant}"), repeat(place), older):
+                        pass
         self.abort(messages)
 
     def abort(self, messages: list[Staged | None]) -> None:
@@ -233,19 +281,12 @@ def write_files(files: DataFrame, root: str) -> None:
 
 def completed(spark: SparkSession, root: str) -> DataFrame:
     """Tasks (variant, task_id) that are complete under ``root``, by their mark, or by the presence of plan and log; names are listed, no file is read."""
-    listed = None
-    for names in (COMPLETE, f"{{{','.join(MARKERS)}}}"):
-        try:
-            found = spark.read.format("binaryFile").load(f"{root}/*/*/{names}").select("path")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        listed = found if listed is None else listed.unionByName(found)
-    if listed is None:
+    store, top = store_of(root)
+    if store.get_file_info(top).type == fs.FileType.NotFound:
         return spark.createDataFrame([], "variant string, task_id string")
-    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)$", i)
-    names = listed.select(part(1).alias("variant"), part(2).alias("task_id"), part(3).alias("name")).groupBy("variant", "task_id").agg(F.collect_set("name").alias("names"))
+    parts = F.split(F.substring("path", len(top.rstrip("/")) + 2, 1 << 30), "/")
+    found = listed_files(spark, root).select(parts.alias("p")).filter((F.size("p") == 3) & F.get("p", F.lit(2)).isin(COMPLETE, *MARKERS))
+    names = found.select(*(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("variant", "task_id", "name")))).groupBy("variant", "task_id").agg(F.collect_set("name").alias("names"))
     there = F.array_contains("names", COMPLETE) | (F.size(F.array_intersect("names", F.array(*(F.lit(m) for m in MARKERS)))) == len(MARKERS))
     return names.filter(there).select("variant", "task_id")
 

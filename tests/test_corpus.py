@@ -240,3 +240,19 @@ def test_a_commit_renames_a_task_once_and_writes_nothing(tmp_path, monkeypatch):
     put(30)
     assert calls.count("move") == 30 and calls.count("delete_dir") == 21
     assert all(sorted(os.listdir(tmp_path / "v" / f"t{i}")) == ["30.csv", corpus.COMPLETE] for i in range(30)) and not os.listdir(tmp_path / "_staging")
+
+
+def test_the_driver_lists_no_files(spark, tmp_path):
+    """Tasks list and read files, empty ones and those of hidden folders' neighbours too; no plan holds their names."""
+    root = str(tmp_path / "out")
+    made = [("v", f"t {i}%2F", n, b"" if i % 3 == 0 else b"a\n1\n") for i in range(40) for n in ("training_0.csv", "target.csv")]
+    corpus.write_files(files_of(spark, made), root)
+    os.makedirs(tmp_path / "out" / "_staging" / "t" / "x")
+    (tmp_path / "out" / "_staging" / "t" / "x" / "target.csv").write_bytes(b"a")
+    (tmp_path / "out" / "v" / "t 1%2F" / ".target.csv.crc").write_bytes(b"a")
+    got = corpus.corpus_files(spark, root)
+    assert got.inputFiles() == [] or not any(f.endswith(".csv") for f in got.inputFiles())
+    assert sorted((r["task_id"], r["role"], bytes(r["content"]), r["length"]) for r in got.collect()) == sorted((t, n.split("_")[0].split(".")[0], c, len(c)) for _, t, n, c in made)
+    assert corpus.completed(spark, root).count() == 40
+    with pytest.raises(FileNotFoundError):
+        corpus.corpus_files(spark, str(tmp_path / "nothing"))
