@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabdrift.functions.dates import EVALUATE_FORMATS
+from tabdrift.functions.stored import written
 from tabdrift.operators import drift, evolve, model, prep
 from tabdrift.plans.bindings import CLASSES, REGRESSION, bound, plain, table
 from tabdrift.plans.profile_queries import dated
@@ -234,13 +235,26 @@ def ml_pred_summary(spark, sf_dir):
     })
 
 
+#: Rows for each distinct row from which equal rows are counted before they are scored.
+REPEATED = 4
+
+
+def _counted(rows):
+    """Rows as they are with n = 1, or distinct ones with their number where they repeat, by an estimate."""
+    names = rows.columns
+    total, kinds = rows.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*names))).first()
+    return rows.groupBy(*names).agg(F.count("*").alias("n")) if total >= REPEATED * kinds else rows.withColumn("n", F.lit(1).cast("long"))
+
+
 def schema_change_impact(spark, sf_dir):
     """The whole experiment: fit on baseline rows once, score them and each variant, drift per variant.
 
-    A column that a variant has lost is null after alignment and takes the training median.
+    A column that a variant has lost is null after alignment and takes the training median. A variant changes the columns of a row,
+    so the row keeps its baseline prediction and is joined with nothing.
     """
     rows, w = _ridge(spark, sf_dir)
-    train, test = (rows.filter(f"half = {h}").select("id", "quantity", "discount") for h in (0, 1))
+    train, test = (rows.filter(f"half = {h}").select("quantity", "discount") for h in (0, 1))
+    test = written(_counted(test).withColumn("base", model.linear_score(w)), "impact-rows")
     schema, out = test.dtypes, None
     variants = {
         "baseline": test,
@@ -248,9 +262,9 @@ def schema_change_impact(spark, sf_dir):
         "drop": prep.impute_median(train, prep.align(evolve.drop_column(test, "discount"), schema), ["discount"]),
     }
     for name, df in variants.items():
-        pairs = model.score_pair(test, df, "id", w).withColumn("variant", F.lit(name))
+        pairs = df.select(F.lit(name).alias("variant"), "base", model.linear_score(w).alias("evo"), "n")
         out = pairs if out is None else out.unionByName(pairs)
-    return drift.regression_record(out, ["variant"])
+    return drift.regression_record(written(out, "impact-pairs"), ["variant"], "n")
 
 
 @query("wf_schema_change_impact")

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from conftest import DATA
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -129,3 +130,24 @@ def test_rank_metrics_move_rows_once_and_store_none(spark, monkeypatch):
     assert ks["b"] is None and "b" not in rho
     made = set(os.listdir(shared)) - before
     assert sum(spark.read.parquet(f"{shared}/{m}").count() for m in made) <= 6 * ordering.RANGES
+
+
+def test_counted_pairs_give_the_record_of_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = [("ab"[i % 2], float(rng.integers(0, 6)), None if i % 17 == 0 else float(rng.integers(0, 6)), int(rng.integers(1, 5))) for i in range(80)]
+    df = spark.createDataFrame(rows, "g string, base double, evo double, n long")
+    got = {r["g"]: r.asDict() for r in drift.regression_record(df, ["g"], "n").collect()}
+    want = {r["g"]: r.asDict() for r in drift.regression_record(df.selectExpr("g", "base", "evo", "explode(sequence(1, n)) AS i"), ["g"]).collect()}
+    assert got.keys() == want.keys()
+    for g, record in want.items():
+        assert {k: v if isinstance(v, str | bool | int) else pytest.approx(v, abs=1e-9) for k, v in record.items()} == got[g]
+
+
+def test_the_experiment_is_the_same_with_rows_counted_or_not(spark, monkeypatch):
+    from tabdrift.plans import model_queries
+
+    found = []
+    for least in (1, 10**9):
+        monkeypatch.setattr(model_queries, "REPEATED", least)
+        found.append({r["variant"]: (r["n"], *(round(r[c], 6) for c in ("base_pred_mean", "base_pred_std", "rmse", "ks", "spearman")), r["silent_failure_candidate"]) for r in model_queries.schema_change_impact(spark, f"{DATA}/sf0.001").collect()})
+    assert found[0] == found[1] and set(found[0]) == {"baseline", "meaning", "drop"}
